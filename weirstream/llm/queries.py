@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, url_filter
+from . import decontaminate, minhash_dedup, mixing, url_filter
 
 QUERIES = {
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_mixing": mixing.op5_mixing,
+    "op6_minhash": minhash_dedup.op6_minhash,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
     "op4_decontamination": decontaminate.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op6_minhash": minhash_dedup.OP6_SQL,
 }
