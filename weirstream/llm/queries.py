@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash_dedup, mixing, url_filter
+from . import decontaminate, minhash_dedup, mixing, toxicity, url_filter
 
 QUERIES = {
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_mixing": mixing.op5_mixing,
     "op6_minhash": minhash_dedup.op6_minhash,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
