@@ -63,7 +63,9 @@ def contained_items(
     """(doc_id, item_id, n_item, n_shared): the items of which a document holds at least the given part of the shingles."""
     parts = (100 * containment).__round__()
     item_sets = materialise(
-        items.select(F.col(item_id_col).alias("item_id"), F.explode(shingle_hashes(F.col(item_text_col))).alias("h")).distinct(),
+        items.select(F.col(item_id_col).alias("item_id"), F.explode_outer(shingle_hashes(F.col(item_text_col))).alias("h"))
+        .where("h IS NOT NULL")
+        .distinct(),
         "items",
     )
     by_item = W.partitionBy("item_id")
@@ -79,7 +81,9 @@ def contained_items(
 
     sets = docs.select(F.col(id_col).alias("doc_id"), shingle_hashes(F.col(text_col)).alias("hs"))
     probes = sketches.select("h").distinct()
-    sketched = sets.select("doc_id", F.explode(F.filter("hs", lambda x: x <= F.lit(top if top is not None else 0))).alias("h"))
+    # explode_outer: for explode, the optimiser would compute the sets again to filter out empty ones
+    sketched = sets.select("doc_id", F.explode_outer(F.filter("hs", lambda x: x <= F.lit(top if top is not None else 0))).alias("h"))
+    sketched = sketched.where("h IS NOT NULL")
     candidates = materialise(
         sketched.join(hint(probes), "h", "left_semi").join(hint(sketches), "h").select("doc_id", "item_id").distinct(),
         "candidates",
@@ -89,7 +93,8 @@ def contained_items(
     known = item_sets.select("h").distinct()
     found = (
         docs.join(ids, docs[id_col] == ids["doc_id"], "left_semi")
-        .select(F.col(id_col).alias("doc_id"), F.explode(shingle_hashes(F.col(text_col))).alias("h"))
+        .select(F.col(id_col).alias("doc_id"), F.explode_outer(shingle_hashes(F.col(text_col))).alias("h"))
+        .where("h IS NOT NULL")
         .join(hint(known), "h", "left_semi")
         .distinct()
         .join(hint(item_sets), "h")
