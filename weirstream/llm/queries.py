@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash_dedup, mixing, toxicity, url_filter
+from . import decontaminate, minhash_dedup, mixing, suffix_tree, toxicity, url_filter
 
 QUERIES = {
+    "op3_suffix_tree": suffix_tree.op3_suffix_tree,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_mixing": mixing.op5_mixing,
     "op6_minhash": minhash_dedup.op6_minhash,
