@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash_dedup, mixing, suffix_tree, toxicity, url_filter
+from . import decontaminate, minhash_dedup, mixing, suffix_tree, token_files, toxicity, url_filter
 
 QUERIES = {
+    "op1_token_counts": token_files.op1_token_counts,
     "op3_suffix_tree": suffix_tree.op3_suffix_tree,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_mixing": mixing.op5_mixing,
