@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash_dedup, mixing, suffix_tree, token_files, toxicity, url_filter
+from . import decontaminate, minhash_dedup, mixing, pii, suffix_tree, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_token_counts": token_files.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_mixing": mixing.op5_mixing,
     "op6_minhash": minhash_dedup.op6_minhash,
+    "op7_pii": pii.op7_pii,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_url_filter": url_filter.op10_url_filter,
 }
