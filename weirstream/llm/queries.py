@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash_dedup, mixing, pii, subspace_join, suffix_tree, token_files, toxicity, url_filter
+from . import decontaminate, licenses, minhash_dedup, mixing, pii, subspace_join, suffix_tree, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_token_counts": token_files.op1_token_counts,
+    "op2_licenses": licenses.op2_licenses,
     "op3_suffix_tree": suffix_tree.op3_suffix_tree,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_mixing": mixing.op5_mixing,

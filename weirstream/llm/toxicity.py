@@ -38,6 +38,7 @@ SEPARATORS = "._-*~'"
 NGRAMS = (4, 5)
 BUCKET_BITS = 22
 MAX_FEATURES = 20_000
+CHUNK = 4096
 MAX_FIT = 20_000
 LEAST_DOCS = 3
 LEAST_MARGIN, LEXICON_MARGIN, MAX_LEXICON = 0.7, 4.0, 2000
@@ -203,6 +204,8 @@ def _add_frequencies(total: np.ndarray, data: np.ndarray, offsets: np.ndarray, r
 
 
 def _clean_counts(features: np.ndarray):
+    """Clean document frequencies of the features: dense counts of CHUNK features a row, so a part gives few rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, total = np.zeros(1 << BUCKET_BITS, bool), np.zeros(1 << BUCKET_BITS, np.int32)
         wanted[features] = True
@@ -210,12 +213,30 @@ def _clean_counts(features: np.ndarray):
             clean = batch.column(1).to_numpy(zero_copy_only=False) == 0
             for lo, hi, data, offsets in V.chunks(batch.column(0)):
                 _add_frequencies(total, data, offsets, clean[lo:hi], wanted)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["f", "clean"])
+        counts = total[features].astype(np.int64)
+        parts = [counts[i : i + CHUNK].tobytes() for i in range(0, len(counts), CHUNK)]
+        slot = np.random.default_rng(int(counts.sum()) + len(counts)).integers(0, 64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([int(slot)] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "slot", "counts"])
 
     return run
 
 
+def _summed(group: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist())
+    return pa.table([group.column("chunk").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
+
+
+def clean_frequencies(pairs: DataFrame, features: np.ndarray) -> np.ndarray:
+    """Sums over all rows, in two levels (64 slots a chunk, then one), so no task gathers the rows of every part."""
+    rows = pairs.mapInArrow(_clean_counts(features), "chunk int, slot int, counts binary")
+    half = rows.groupBy("chunk", "slot").applyInArrow(_summed, "chunk int, counts binary")
+    out = np.zeros(len(features), np.int64)
+    for r in half.groupBy("chunk").applyInArrow(_summed, "chunk int, counts binary").collect():
+        part = np.frombuffer(r["counts"], np.int64)
+        out[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
+    return out
+
+
 def _feature_rows(features: np.ndarray):
     index = np.full(1 << BUCKET_BITS, -1, np.int32)
     index[features] = np.arange(len(features))
@@ -340,11 +361,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     marked = pairs.mapInArrow(_marked, "f bigint, clean bigint, toxic bigint").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # clean counts are partial here (parts without toxic rows for f say nothing), so the margin is at least the true one
     marked = materialise(marked.where(F.col("toxic") >= LEAST_DOCS).where(margin("clean") > LEAST_MARGIN), "marked")
-    hopeful = np.array([r["f"] for r in marked.select("f").collect()], np.int64)  # at most 2**BUCKET_BITS
-    clean = pairs.mapInArrow(_clean_counts(hopeful), "f bigint, clean bigint").groupBy("f").agg(F.sum("clean").alias("clean_n"))
-    chosen = marked.join(clean, "f", "left").withColumn("clean_n", F.coalesce("clean_n", F.lit(0))).select("f", margin("clean_n").alias("margin"))
-    chosen = chosen.where(F.col("margin") > LEAST_MARGIN).orderBy(F.desc("margin"), "f").limit(MAX_FEATURES)
-    features = np.array(sorted(r["f"] for r in chosen.collect()), np.int64)
+    hopeful = np.array(sorted(tuple(r) for r in marked.select("f", "toxic").collect()), np.int64).reshape(-1, 2)  # at most 2**BUCKET_BITS
+    clean_n = clean_frequencies(pairs, hopeful[:, 0])
+    sure = np.log((hopeful[:, 1] + 0.5) / (n1 + 1.0)) - np.log((clean_n + 0.5) / (n0 + 1.0)) - 1.64 * np.sqrt(1 / (hopeful[:, 1] + 0.5) + 1 / (clean_n + 0.5))
+    best = np.lexsort((hopeful[:, 0], -sure))[:MAX_FEATURES]
+    features = np.sort(hopeful[best[sure[best] > LEAST_MARGIN], 0])
     share = min(1.0, max_fit / (n0 + n1))
     fit = rows.where(F.pmod(F.xxhash64("d_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "toxic")
     data = fit.mapInArrow(_feature_rows(features), "toxic int, fs array<int>").collect() if len(features) else []

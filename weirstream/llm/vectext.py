@@ -64,9 +64,9 @@ def chunks(column: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 21) -> Iter
         lo = hi
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and the index of the first word of each text (with the total at the end)."""
-    inside = IS_WORD[data]
+    inside = kinds[data]
     begins, ends = inside.copy(), inside.copy()
     if len(data):
         begins[1:] &= ~inside[:-1]
