@@ -1,0 +1,3 @@
+"""Operators of the dialect; importing this package registers them."""
+
+from . import basic, events, expansion, joins, running, sessions  # noqa: F401

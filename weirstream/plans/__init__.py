@@ -1,0 +1 @@
+"""Rewriting of streaming-SQL idioms."""

@@ -1,4 +1,396 @@
-"""Queries over the driver's tables, one or more for each operator, with DuckDB SQL."""
+"""Queries over the driver's tables, one or more for each operator, with DuckDB SQL for the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .engine import Engine
+from .functions import scalar, series, sketches
+from .operators.running import reducer
+from .plans.sqlcompat import rewrite_expression, rewrite_query
+from .sources import formats, lake
+from .sources.doris import DorisOptions, csv_line
+from .sources.elasticsearch import index_name
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def engine(spark: SparkSession, sf_dir: str, *tables: str) -> Engine:
+    """An engine that knows the tables; events arrive in event_id order."""
+    out = Engine(spark)
+    for t in tables:
+        out.register(t, read(spark, sf_dir, t), seq="event_id" if t == "events" else None)
+    return out
+
+
+def over_events(text: str, columns: str = "*"):
+    """A query that runs a dialect chain over events and selects from its view."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return engine(spark, sf_dir, "events").execute(f"PRINT FROM events {text}").visible().selectExpr(*columns.split("; "))
+
+    return run
+
+
+EVENT = "event_id; user_id; event_type; value"
+MS = "epoch_us(ts) // 1000"
+BY_USER = "KEY BY WITH('fields'='user_id')"
+
+query("dedup_first", f"SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {MS}, event_id DESC) AS n FROM events) WHERE n = 1")(
+    over_events(f"{BY_USER} PROCESS WITH('identity'='deduplicate', 'eventtime'='ts')", EVENT)
+)
+query("dedup_last", f"SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {MS} DESC, event_id DESC) AS n FROM events) WHERE n = 1")(
+    over_events(f"{BY_USER} PROCESS WITH('identity'='deduplicate', 'eventtime'='ts', 'order.type'='DESC')", EVENT)
+)
+#: Eras of a key's state: forgotten 1.5 * ttl after the row that last set the clean-up time.
+ERAS_SQL = """
+numbered AS (SELECT *, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+eras AS (
+  SELECT user_id, n, event_id, ms, ms + {hold} AS clean, 0 AS era FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT x.user_id, x.n, x.event_id, x.ms, CASE WHEN x.ms >= e.clean OR x.ms + {ttl} > e.clean THEN x.ms + {hold} ELSE e.clean END, e.era + (CASE WHEN x.ms >= e.clean THEN 1 ELSE 0 END)
+  FROM eras e JOIN numbered x ON x.user_id = e.user_id AND x.n = e.n + 1)
+""".format(ttl=43_200_000, hold=64_800_000)
+query("dedup_first_ttl", f"WITH RECURSIVE {ERAS_SQL} SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, era ORDER BY ms, event_id DESC) AS k FROM eras) WHERE k = 1")(
+    over_events(f"{BY_USER} PROCESS WITH('identity'='deduplicate', 'eventtime'='ts', 'table.exec.state.ttl'='12 h')", "event_id; user_id")
+)
+query("watch_changed", f"SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER w AS n, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY {MS}, event_id)) WHERE n = 1 OR event_type IS DISTINCT FROM before")(
+    over_events(f"{BY_USER} PROCESS WITH('identity'='field_value_watch_changed_emitter', 'eventtime'='ts', 'watch.field'='event_type')", EVENT)
+)
+query(
+    "watch_changed_ttl",
+    f"WITH RECURSIVE {ERAS_SQL} SELECT event_id, user_id, event_type FROM (SELECT v.*, row_number() OVER w AS k, lag(event_type) OVER w AS before FROM eras e JOIN events v USING (event_id, user_id) WINDOW w AS (PARTITION BY user_id, era ORDER BY ms, event_id)) WHERE k = 1 OR event_type IS DISTINCT FROM before",
+)(over_events(f"{BY_USER} PROCESS WITH('identity'='field_value_watch_changed_emitter', 'eventtime'='ts', 'watch.field'='event_type', 'table.exec.state.ttl'='12 h')", "event_id; user_id; event_type"))
+
+PERMUTED = "(event_id * 7919) % 10007 * 100000000 + event_id"
+
+
+@query("disorder_discard", f"SELECT event_id, user_id FROM (SELECT *, {MS} AS ms, max({MS}) OVER (ORDER BY {PERMUTED} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400000 AS wm FROM events) WHERE wm IS NULL OR ms >= wm")
+def disorder_discard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark)
+    e.register("shuffled", read(spark, sf_dir, "events").withColumn("arrival", F.expr(PERMUTED)), seq="arrival", row_time="WATERMARK FOR ts AS ts - INTERVAL '1' DAY")
+    return e.execute(f"PRINT FROM shuffled {BY_USER} PROCESS WITH('identity'='disorder_discard', 'eventtime'='ts')").visible().select("event_id", "user_id")
+
+
+def temporal(options: str, columns: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir, "events")
+        e.execute(f"CREATE STREAM purchases FROM events FILTER WITH('expression'='event_type = ''purchase''') {BY_USER}".replace("''", "\\'"))
+        e.execute(f"CREATE STREAM views FROM events FILTER WITH('expression'='event_type = ''view''') {BY_USER}".replace("''", "\\'"))
+        text = f"PRINT FROM purchases CONNECT views WITH('identity'='temporal_join', 'left.eventtime'='ts', 'right.eventtime'='ts', 'left.output.fields'='event_id AS purchase_id, user_id', 'right.output.fields'='event_id AS view_id, value AS view_value'{options})"
+        return e.execute(text).visible().selectExpr(*columns.split("; "))
+
+    return run
+
+
+SIDES = f"p AS (SELECT *, {MS} AS ms FROM events WHERE event_type = 'purchase'), v AS (SELECT *, {MS} AS ms FROM (SELECT *, row_number() OVER (PARTITION BY user_id, {MS} ORDER BY event_id DESC) AS k FROM events WHERE event_type = 'view') WHERE k = 1)"
+OUT = "p.event_id AS purchase_id, p.user_id, v.event_id AS view_id, v.value AS view_value"
+query("temporal_join_last", f"WITH {SIDES} SELECT {OUT} FROM p ASOF JOIN v ON p.user_id = v.user_id AND p.ms >= v.ms")(temporal("", "*"))
+query("temporal_join_left", f"WITH {SIDES} SELECT {OUT} FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ms >= v.ms")(temporal(", 'join.type'='LEFT'", "*"))
+query("temporal_join_first", f"WITH {SIDES}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ms) AS n FROM v) WHERE n = 1) SELECT {OUT.replace('v.', 'f.')} FROM p JOIN f ON p.user_id = f.user_id AND p.ms >= f.ms")(
+    temporal(", 'right.order.type'='FIRST'", "*")
+)
+
+
+@query("temporal_join_sql", f"WITH {SIDES} SELECT {OUT} FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ms >= v.ms")
+def temporal_join_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events")
+    events.where("event_type = 'purchase'").createOrReplaceTempView("purchase_log")
+    events.where("event_type = 'view'").createOrReplaceTempView("view_log")
+    text = "SELECT p.event_id AS purchase_id, p.user_id, v.event_id AS view_id, v.value AS view_value FROM purchase_log AS p LEFT JOIN view_log FOR SYSTEM_TIME AS OF p.ts AS v ON p.user_id = v.user_id"
+    return spark.sql(rewrite_query(spark, text, row_times={"view_log": "ts"}))
+
+
+@query("interval_join", f"SELECT p.event_id AS purchase_id, v.event_id AS view_id FROM (SELECT *, {MS} AS ms FROM events WHERE event_type = 'purchase') p JOIN (SELECT *, {MS} AS ms FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND v.ms BETWEEN p.ms - 7200000 AND p.ms + 7200000")
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "events")
+    for name in ("purchase", "view"):
+        e.execute(f"CREATE STREAM {name}s FROM events FILTER WITH('expression'='event_type = \\'{name}\\'') {BY_USER}")
+    text = "PRINT FROM purchases INTERVAL JOIN views WITH('left.eventtime'='ts', 'right.eventtime'='ts', 'lower'='-2 h', 'upper'='2 h', 'left.output.fields'='event_id AS purchase_id', 'right.output.fields'='event_id AS view_id')"
+    return e.execute(text).visible()
+
+
+
+
+@query("window_join", f"SELECT p.event_id AS purchase_id, v.event_id AS view_id FROM (SELECT *, {MS} AS ms FROM events WHERE event_type = 'purchase') p JOIN (SELECT *, {MS} AS ms FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ms // 21600000 = v.ms // 21600000")
+def window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "events")
+    for name in ("purchase", "view"):
+        e.execute(f"CREATE STREAM {name}s FROM events FILTER WITH('expression'='event_type = \\'{name}\\'') {BY_USER}")
+    text = "PRINT FROM purchases JOIN views WITH('window.size'='6 h', 'left.eventtime'='ts', 'right.eventtime'='ts', 'left.output.fields'='event_id AS purchase_id', 'right.output.fields'='event_id AS view_id')"
+    return e.execute(text).visible()
+
+
+#: value has decimals, so sums are compared in whole cents.
+CENTS = "MAP WITH('expression'='event_id, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents')"
+WIN = "OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)"
+CENTS_SQL = "WITH c AS (SELECT event_id, user_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents FROM events)"
+for _op in ("sum", "min", "max"):
+    query(f"running_{_op}", f"{CENTS_SQL} SELECT event_id, user_id, first_value(event_type) {WIN} AS event_type, CAST({_op}(cents) {WIN} AS BIGINT) AS cents FROM c")(
+        over_events(f"{CENTS} {BY_USER} {_op.upper()} WITH('field'='cents')")
+    )
+for _op, _first, _sign in (("min", "true", ""), ("min", "false", "-"), ("max", "true", "-"), ("max", "false", "")):
+    query(
+        f"running_{_op}_by" + ("" if _first == "true" else "_last"),
+        f"{CENTS_SQL}, r AS (SELECT event_id, user_id, arg_{_op}({{'t': event_type, 'c': cents}}, {{'c': cents, 's': {_sign}event_id}}) {WIN} AS won FROM c) SELECT event_id, user_id, won.t AS event_type, won.c AS cents FROM r",
+    )(over_events(f"{CENTS} {BY_USER} {_op.upper()} BY WITH('field'='cents', 'first'='{_first}')"))
+
+
+@reducer("add_cents")
+def add_cents(total: dict, row: dict) -> dict:
+    return {**row, "cents": total["cents"] + row["cents"]}
+
+
+query("running_reduce", f"{CENTS_SQL} SELECT event_id, user_id, event_type, CAST(sum(cents) {WIN} AS BIGINT) AS cents FROM c")(over_events(f"{CENTS} {BY_USER} REDUCE WITH('identity'='add_cents')"))
+query("select_expr", "SELECT event_id, upper(event_type) AS kind, CAST(round(value * 2) AS INTEGER) AS twice FROM events")(over_events("MAP WITH('identity'='select', 'expression'='event_id, UPPER(event_type) AS kind, CAST(round(value * 2) AS INT) AS twice')"))
+query("filter_expr", "SELECT event_id, user_id, event_type, value FROM events WHERE event_type = 'error' AND value > 50")(over_events("FILTER WITH('expression'='event_type = \\'error\\' AND value > 50')", EVENT))
+
+
+@query("project_idx", "SELECT n_nationkey, n_regionkey FROM nation")
+def project_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir, "nation").execute("PRINT FROM nation PROJECT WITH('field_indexes'='0,2')").visible()
+
+
+@query("union_all", "SELECT c_name AS name, c_nationkey AS nation FROM customer UNION ALL SELECT s_name, s_nationkey FROM supplier")
+def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "customer", "supplier")
+    e.execute("CREATE STREAM c FROM customer MAP WITH('expression'='c_name AS name, c_nationkey AS nation')")
+    e.execute("CREATE STREAM s FROM supplier MAP WITH('expression'='s_name AS name, s_nationkey AS nation') FORWARD")
+    return e.execute("PRINT FROM c UNION s").visible()
+
+
+@query("row_record", "SELECT n_nationkey AS id, upper(n_name) AS label, 'none' AS note FROM nation")
+def row_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.basic import record_type
+
+    record_type("Nation", id=("n_nationkey", "int"), label=("n_name", "string", "upper({column})"), note=("absent", "string", None, "none"))
+    return engine(spark, sf_dir, "nation").execute("PRINT FROM nation MAP WITH('identity'='row_2_pojo', 'return.class'='Nation')").visible()
+
+
+query("tumble_agg", f"SELECT user_id, {MS} // 86400000 * 86400000 AS start_ms, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY 1, 2")(
+    over_events(f"{BY_USER} AGGREGATE WITH('expression.select'='user_id, unix_millis(CAST(TUMBLE_START(ts, INTERVAL \\'1\\' DAY) AS TIMESTAMP)) - unix_millis(CAST(TIMESTAMP_NTZ\\'1970-01-01 00:00:00\\' AS TIMESTAMP)) AS start_ms, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS cents', 'expression.groupby'='user_id, TUMBLE(ts, INTERVAL \\'1\\' DAY)')")
+)
+
+
+def sql_query(text: str, *tables: str, created: tuple[str, ...] = ()):
+    """A query in streaming SQL over the tables, rewritten and passed to Spark."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in tables:
+            read(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(rewrite_query(spark, text, set(created)))
+
+    return run
+
+
+ZERO = "unix_millis(CAST(TIMESTAMP_NTZ'1970-01-01 00:00:00' AS TIMESTAMP))"
+query("hop_agg", f"SELECT event_type, w * 43200000 AS start_ms, count(*) AS n FROM (SELECT event_type, unnest([{MS} // 43200000, {MS} // 43200000 - 1]) AS w FROM events) GROUP BY 1, 2")(
+    sql_query(f"SELECT event_type, unix_millis(CAST(HOP_START(ts, INTERVAL '12' HOUR, INTERVAL '1' DAY) AS TIMESTAMP)) - {ZERO} AS start_ms, count(*) AS n FROM events GROUP BY event_type, HOP(ts, INTERVAL '12' HOUR, INTERVAL '1' DAY)", "events")
+)
+query(
+    "session_agg",
+    "SELECT user_id, min(epoch_us(ts)) // 1000 AS start_ms, count(*) AS n FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY user_id, s",
+)(sql_query(f"SELECT user_id, unix_millis(CAST(SESSION_START(ts, INTERVAL '12' HOUR) AS TIMESTAMP)) - {ZERO} AS start_ms, count(*) AS n FROM events GROUP BY user_id, SESSION(ts, INTERVAL '12' HOUR)", "events"))
+query("cascade_tumble", f"SELECT event_type, max(n)::BIGINT AS most, sum(n)::BIGINT AS n, h // 24 AS day FROM (SELECT event_type, {MS} // 3600000 AS h, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY event_type, h // 24")(
+    sql_query(
+        f"SELECT event_type, max(n) AS most, sum(n) AS n, (unix_millis(CAST(TUMBLE_START(rt, INTERVAL '1' DAY) AS TIMESTAMP)) - {ZERO}) div 86400000 AS day FROM (SELECT event_type, TUMBLE_ROWTIME(ts, INTERVAL '1' HOUR) AS rt, count(*) AS n FROM events GROUP BY event_type, TUMBLE(ts, INTERVAL '1' HOUR)) GROUP BY event_type, TUMBLE(rt, INTERVAL '1' DAY)",
+        "events",
+    )
+)
+TOP1 = "SELECT o_orderkey, o_custkey FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) t WHERE n = 1"
+query("top1_row_number", TOP1)(sql_query(TOP1, "orders"))
+
+SESSIONS_SQL = """
+numbered AS (SELECT *, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+walk AS (SELECT user_id, n, event_id, event_type, ms, ms AS s FROM numbered WHERE n = 1
+  UNION ALL SELECT x.user_id, x.n, x.event_id, x.event_type, x.ms, CASE WHEN x.ms < w.s + 43200000 THEN w.s WHEN x.ms < w.s + 86400000 THEN w.s + 43200000 ELSE x.ms END
+  FROM walk w JOIN numbered x ON x.user_id = w.user_id AND x.n = w.n + 1),
+sessions AS (SELECT user_id, s, arg_min(event_type, n) AS event_type, string_agg(event_id::VARCHAR, ',' ORDER BY n) AS ids, string_agg(ms::VARCHAR, ',' ORDER BY n) AS stamps FROM walk GROUP BY user_id, s)
+"""
+SESSION = f"{BY_USER} PROCESS WITH('identity'='session_tumble_window', 'fields'='user_id, event_type', 'eventtime'='ts', 'values'='event_id', 'session.duration'='12 h')"
+query("session_tumble", f"WITH RECURSIVE {SESSIONS_SQL} SELECT user_id, event_type, ids, stamps, s AS window_start FROM sessions")(
+    over_events(SESSION, "user_id; event_type; array_join(event_id, ',') AS ids; array_join(time_series, ',') AS stamps; _window_start_timestamp AS window_start")
+)
+query(
+    "session_rebucket",
+    f"WITH RECURSIVE {SESSIONS_SQL} SELECT user_id, ms // 10800000 * 10800000 + 10799999 AS event_ms, string_agg(event_id::VARCHAR, ',' ORDER BY n) AS ids FROM walk GROUP BY user_id, ms // 10800000",
+)(
+    over_events(
+        f"{SESSION} MAP WITH('expression'='user_id, event_type, event_id, time_series, _window_start_timestamp AS ts, _window_start_timestamp AS at') {BY_USER} PROCESS WITH('identity'='session_tumble_2_tumble_window', 'fields'='user_id', 'eventtime'='ts', 'values'='event_id', 'session.duration'='12 h', 'tumble.interval'='3 h')",
+        "user_id; ts AS event_ms; array_join(event_id, ',') AS ids",
+    )
+)
+
+
+@query("date_expansion", "SELECT o_orderkey, CAST(e - i::INTEGER AS DATE) AS \"date\" FROM (SELECT o_orderkey, CAST(o_orderdate + INTERVAL (o_orderkey % 5) DAY AS DATE) AS e, unnest(range(0, least(3, o_orderkey % 5 + 1))) AS i FROM orders)")
+def date_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _expanded(spark, sf_dir, "date_expansion", 3).select("o_orderkey", "date")
+
+
+@query("date_hour_expansion", "SELECT o_orderkey, CAST(date_trunc('day', h) AS DATE) AS \"date\", CAST(extract(hour FROM h) AS INTEGER) AS hour FROM (SELECT o_orderkey, date_trunc('hour', o_orderdate) + INTERVAL (o_orderkey % 5 * 24) HOUR - INTERVAL (i) HOUR AS h FROM (SELECT o_orderkey, o_orderdate, unnest(range(0, least(30, o_orderkey % 5 * 24 + 1))) AS i FROM orders))")
+def date_hour_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _expanded(spark, sf_dir, "date_hour_expansion", 30).select("o_orderkey", "date", "hour")
+
+
+def _expanded(spark: SparkSession, sf_dir: str, identity: str, most: int) -> DataFrame:
+    orders = read(spark, sf_dir, "orders")
+    at = F.unix_millis(F.to_utc_timestamp(F.col("o_orderdate").cast("timestamp"), F.current_timezone()))
+    df = orders.select("o_orderkey", at.alias("from_ms"), (at + F.col("o_orderkey") % 5 * 86_400_000).alias("to_ms"))
+    e = Engine(spark)
+    e.register("spans", df)
+    return e.execute(f"PRINT FROM spans FLAT MAP WITH('identity'='{identity}', 'field.start-ts'='from_ms', 'field.end-ts'='to_ms', 'field.current-ts'='from_ms', 'max-count'='{most}')").visible()
+
+
+@query("udf_time", f"SELECT event_id, {MS} AS ms, CAST(ts AS DATE) AS day, CAST(extract(hour FROM ts) AS INTEGER) AS hour, CAST(extract(hour FROM ts + INTERVAL 8 HOUR) AS INTEGER) AS hour8 FROM events")
+def udf_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.unix_millis(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+    read(spark, sf_dir, "events").select("event_id", at.alias("ms")).createOrReplaceTempView("stamped")
+    text = "SELECT event_id, ms, to_date(ms) AS day, to_hour(ms) AS hour, to_hour(ms, 'GMT+8') AS hour8 FROM stamped"
+    return spark.sql(rewrite_query(spark, text, {"to_date", "to_hour"}))
+
+
+query("udf_modular", "SELECT event_id, CAST(abs(user_id - 75) % 7 AS INTEGER) AS m, 0 AS zero FROM events")(sql_query("SELECT event_id, modular(user_id - 75, 7) AS m, modular(user_id, 0) AS zero FROM events", "events", created=("modular",)))
+
+
+@query("hash_code", None)
+def hash_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "customer")
+    return df.select("c_custkey", scalar.hash_code(F.col("c_name"), df.schema["c_name"].dataType).alias("code"))
+
+
+@query("hll_two_phase", "SELECT l_returnflag, true AS close FROM lineitem GROUP BY 1")
+def hll_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial sketches by key and salt, then merged; near the exact count."""
+    df = read(spark, sf_dir, "lineitem")
+    part = df.groupBy("l_returnflag", scalar.modular(F.xxhash64("l_orderkey"), F.lit(10)).alias("salt")).agg(sketches.hyper_log_log_temporary(F.col("l_partkey")).alias("s"))
+    full = part.groupBy("l_returnflag").agg(sketches.hyper_log_log_merge(F.col("s")).alias("n"))
+    exact = df.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("e"))
+    return full.join(exact, "l_returnflag").select("l_returnflag", (F.abs(F.col("n") - F.col("e")) <= 0.08 * F.col("e")).alias("close"))
+
+
+@query("percentile_two_phase", "SELECT l_returnflag, true AS close, true AS one_phase FROM lineitem GROUP BY 1")
+def percentile_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial quantile sketches by key and salt, then merged, and in one phase; both near the exact quantile in rank."""
+    df = read(spark, sf_dir, "lineitem")
+    part = df.groupBy("l_returnflag", (F.col("l_orderkey") % 10).alias("salt")).agg(sketches.percentile_temporary(F.col("l_extendedprice")).alias("s"))
+    full = part.groupBy("l_returnflag").agg(sketches.percentile_merge(F.col("s"), 0.9).alias("p"))
+    once = df.groupBy("l_returnflag").agg(sketches.percentile(F.col("l_extendedprice"), 0.9).alias("o"))
+    both = full.join(once, "l_returnflag")
+    rank = lambda c: F.abs(F.avg((F.col("l_extendedprice") <= F.col(c)).cast("double")) - 0.9) <= 0.02
+    return df.join(F.broadcast(both), "l_returnflag").groupBy("l_returnflag").agg(rank("p").alias("close"), rank("o").alias("one_phase"))
+
+
+query(
+    "multi_metric_unpivot",
+    "SELECT event_type, 'n' AS metric, count(*)::BIGINT AS v FROM events GROUP BY 1 UNION ALL SELECT event_type, 'users', count(DISTINCT user_id)::BIGINT FROM events GROUP BY 1 UNION ALL SELECT event_type, 'top', max(CAST(round(value * 100) AS BIGINT))::BIGINT FROM events GROUP BY 1",
+)(
+    sql_query(
+        "SELECT event_type, metric, v FROM (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, max(CAST(round(value * 100) AS BIGINT)) AS top FROM events GROUP BY event_type) LATERAL VIEW stack(3, 'n', n, 'users', users, 'top', top) s AS metric, v",
+        "events",
+    )
+)
+
+
+@query("json_object", "SELECT n_nationkey, n_name AS name, n_regionkey AS region, true AS kept_null FROM nation")
+def json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "nation").selectExpr("n_nationkey", rewrite_expression("JSON_OBJECT('name' VALUE n_name, 'region' VALUE n_regionkey, 'none' VALUE CAST(NULL AS STRING)) AS j"))
+    return df.selectExpr("n_nationkey", "get_json_object(j, '$.name') AS name", "CAST(get_json_object(j, '$.region') AS INT) AS region", "j LIKE '%\"none\":null%' AS kept_null")
+
+
+@query("packed_series", "SELECT user_id, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS total FROM events GROUP BY 1")
+def packed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values packed to bytes and collected again by the table function, in SQL."""
+    packed = read(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("event_id").alias("ids")).select("user_id", series.encode_series("BIGINT")("ids").alias("packed"))
+    packed.createOrReplaceTempView("packed")
+    spark.udf.register("session_long_collect", series.collect_function("long"))
+    text = "SELECT user_id, CAST(size(ids) AS BIGINT) AS n, aggregate(ids, CAST(0 AS BIGINT), (a, x) -> a + x) AS total FROM (SELECT user_id, session_long_collect(packed) AS ids FROM packed)"
+    return spark.sql(text)
+
+
+@query("changelog_csv", "SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'INSERT' ELSE 'DELETE' END AS op FROM nation")
+def changelog_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = read(spark, sf_dir, "nation")
+    lines = nation.select(F.concat_ws("|", F.when(F.col("n_nationkey") % 2 == 0, "INSERT").otherwise("DELETE"), F.col("n_nationkey").cast("string"), "n_name").alias("value"))
+    return formats.changelog_csv(lines, "n_nationkey INT, n_name STRING").withColumnRenamed("_op", "op")
+
+
+@query("json_format", "SELECT event_id, json_extract_string(props, '$.k') AS k, props IS NOT NULL AS some FROM events")
+def json_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events")
+    parsed = formats.json_rows(events.select("event_id", F.col("props").alias("value")), "k STRING")
+    return parsed.select("event_id", "k", F.col("value").isNotNull().alias("some"))
+
+
+@query("doris_lines", "SELECT n_nationkey, n_nationkey::VARCHAR || ',' || replace(n_name, ',', '') || ',\\N' AS line FROM nation")
+def doris_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("note"))
+    return df.select("n_nationkey", csv_line(df, DorisOptions(column_separator=",")).alias("line"))
+
+
+@query("index_names", "SELECT event_id, 'log-' || strftime(ts, '%Y%m%d') || '-x' AS idx FROM events")
+def index_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "events")
+    return df.select("event_id", index_name(df, "log-{ts|yyyyMMdd}-x").alias("idx"))
+
+
+@query("partition_time", "SELECT event_id, date_trunc('hour', ts) AS t FROM events")
+def partition_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyyMMdd").alias("date"), F.date_format("ts", "HH").alias("hour"))
+    return df.select("event_id", lake.partition_time(F.col("date"), F.col("hour")).cast("timestamp_ntz").alias("t"))
+
+
+PASSED = {
+    "join_semi": ("SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", ("customer", "orders")),
+    "join_anti": ("SELECT c_custkey FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", ("customer", "orders")),
+    "join_full": ("SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 20", None, ("customer", "supplier")),
+    "join_theta": ("SELECT r_regionkey, n_nationkey FROM region JOIN nation ON n_nationkey < r_regionkey * 2", None, ("region", "nation")),
+    "rollup": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", None, ("lineitem",)),
+    "cube": ("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", None, ("lineitem",)),
+    "grouping_sets": ("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", None, ("orders",)),
+    "set_operations": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 0", None, ("customer", "supplier", "nation")),
+    "top_k": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", None, ("orders",)),
+    "ranking": ("SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS d, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM part", None, ("part",)),
+    "scalar_subquery": ("SELECT count(*) AS n FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)", None, ("orders",)),
+}
+for _name, (_text, _sql, _tables) in PASSED.items():
+    query(_name, _sql or _text)(sql_query(_text, *_tables))
+
+
+@query("mixed_script", f"SELECT user_id, day * 86400000 AS start_ms, count(*)::BIGINT AS changes, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM (SELECT *, {MS} // 86400000 AS day, row_number() OVER w AS n, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY {MS}, event_id)) WHERE n = 1 OR event_type IS DISTINCT FROM before GROUP BY user_id, day")
+def mixed_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script of DDL, dialect and SQL: changes of a user's event type, summed by day."""
+    from .script.runner import run_script
+
+    result = run_script(
+        spark,
+        f"""
+        -- events in files, watched for changes, summed by SQL
+        CREATE TABLE log WITH ('connector' = 'parquet', 'path' = '{sf_dir}/events.parquet', 'sequence.field' = 'event_id', 'watermark' = 'WATERMARK FOR ts AS ts - INTERVAL ''1'' SECOND');
+        CREATE VIEW changes FROM log
+          KEY BY WITH ('fields' = 'user_id')
+          PROCESS WITH ('identity' = 'field_value_watch_changed_emitter', 'watch.field' = 'event_type', 'eventtime' = 'ts');
+        CREATE VIEW daily AS SELECT user_id, unix_millis(CAST(TUMBLE_START(ts, INTERVAL '1' DAY) AS TIMESTAMP)) - {ZERO} AS start_ms,
+          count(*) AS changes, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM changes GROUP BY user_id, TUMBLE(ts, INTERVAL '1' DAY);
+        PRINT FROM daily;
+        """,
+        start=False,
+    )
+    return result.printed[0]

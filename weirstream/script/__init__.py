@@ -1,0 +1 @@
+"""Scripts: text filters, statements, and the run of all sinks of a script."""
