@@ -102,7 +102,7 @@ def session_to_tumble(ctx: Context, node: StreamNode, options: dict, other=None)
     )
     start = F.expr(f"(z.ts div {interval}) * {interval}")
     points = points.where("z.ts IS NOT NULL").withColumn("_start", start)
-    row = F.struct(F.col("o").alias("o1"), F.col("p").alias("o2"), F.col("z"), *[f"f{i}" for i in range(len(fields))])
+    row = F.struct(F.col("z.ts").alias("o1"), F.struct("o", "p").alias("o2"), F.col("z"), *[f"f{i}" for i in range(len(fields))])
     packed = points.groupBy(*[f"k{i}" for i in range(len(keys))], "_start").agg(F.array_sort(F.collect_list(row), _by_order).alias("_rows"))
     out = [F.element_at("_rows", 1)[f"f{i}"].alias(b) for i, (_, b) in enumerate(fields)]
     out.append(like_event_time(F.col("_start") + interval - 1, kind_of(node.df, time)).alias(time))

@@ -15,7 +15,7 @@ from ..types import duration_ms, top_level_split
 _CALL = re.compile(r"(?i)\b(TUMBLE|HOP|SESSION)(_START|_END|_ROWTIME|_PROCTIME)?\s*\(")
 
 
-def _close(text: str, start: int) -> int:
+def closing(text: str, start: int) -> int:
     """Index of the bracket that closes the one at start."""
     pairs, depth, quote = {"(": ")", "[": "]"}, 0, ""
     opening = text[start]
@@ -51,7 +51,7 @@ def _replace_calls(text: str, pattern: re.Pattern, make) -> str:
             out.append(text[i : m.end()])
             i = m.end()
             continue
-        end = _close(text, m.end() - 1)
+        end = closing(text, m.end() - 1)
         out += [text[i : m.start()], make(m, text[m.end() : end])]
         i = end + 1
     return "".join(out) + text[i:]
@@ -93,7 +93,7 @@ def _map_literals(text: str) -> str:
     pattern = re.compile(r"(?i)\bMAP\s*\[")
     i, out = 0, []
     for m in iter(lambda: pattern.search(text, i), None):
-        end = _close(text, m.end() - 1)
+        end = closing(text, m.end() - 1)
         out += [text[i : m.start()], f"map({rewrite_expression(text[m.end() : end])})"]
         i = end + 1
     return "".join(out) + text[i:]
@@ -148,7 +148,7 @@ def _laterals(text: str) -> str:
     """LEFT JOIN LATERAL TABLE(f(x)) AS t(c) ON TRUE to a lateral subquery with one row."""
     out, i = [], 0
     for m in iter(lambda: _LATERAL.search(text, i), None):
-        end = _close(text, m.end() - 1)
+        end = closing(text, m.end() - 1)
         call = text[m.end() : end]
         tail = re.match(r"(?is)\s*(?:AS\s+)?(\w+)\s*\(([^)]*)\)", text[end + 1 :])
         if not tail:

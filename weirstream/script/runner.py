@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..dialect import ParseError, parse
 from ..engine import Engine, watermark
 from ..functions import scalar, series
-from ..plans.sqlcompat import CREATABLE, rewrite_expression, rewrite_query
+from ..plans.sqlcompat import CREATABLE, closing, rewrite_expression, rewrite_query
 from ..sources import TableDef, open_source, write_sink
 from ..types import top_level_split
 from .text import prepare, split_statements
@@ -42,7 +42,8 @@ class Result:
 
 
 _SET = re.compile(r"(?is)SET\s+'([^']*)'\s*=\s*'([^']*)'")
-_TABLE = re.compile(r"(?is)CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.`]+)\s*(?:\((.*)\))?\s*(?:COMMENT\s+'[^']*'\s*)?(?:PARTITIONED\s+BY\s*\(([^)]*)\)\s*)?WITH\s*\((.*)\)")
+_TABLE = re.compile(r"(?is)CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.`]+)\s*")
+_TABLE_REST = re.compile(r"(?is)\s*(?:COMMENT\s+'[^']*'\s*)?(?:PARTITIONED\s+BY\s*\(([^)]*)\)\s*)?WITH\s*\((.*)\)")
 _FUNCTION = re.compile(r"(?is)CREATE\s+(?:TEMPORARY\s+)?(?:SYSTEM\s+)?FUNCTION\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.]+)\s+AS\s+'([^']+)'(?:\s+LANGUAGE\s+\w+)?")
 _TEMPORAL = re.compile(r"(?is)CREATE\s+TEMPORARY\s+TABLE\s+FUNCTION\s+(\w+)\s+KEY\s+(\w+)\s+TIMESTAMP\s+(\w+)\s+FROM\s+([\w.]+)")
 _VIEW = re.compile(r"(?is)CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMPORARY\s+)?VIEW\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.`]+)\s*(?:\([^)]*\)\s*)?AS\s+(.*)")
@@ -65,11 +66,17 @@ _TYPES = [(r"(?i)\bTIMESTAMP_LTZ\s*(?:\(\d+\))?", "TIMESTAMP"), (r"(?i)\bTIMESTA
 
 def table_definition(text: str) -> TableDef:
     """Parse CREATE TABLE: columns, computed and metadata columns, WATERMARK, PRIMARY KEY, partitions, options."""
-    m = _TABLE.fullmatch(text.strip().rstrip(";"))
-    if not m:
+    text = text.strip().rstrip(";")
+    m, columns = _TABLE.match(text), ""
+    rest = text[m.end() :] if m else ""
+    if rest.startswith("("):
+        end = closing(rest, 0)
+        columns, rest = rest[1:end], rest[end + 1 :]
+    tail = _TABLE_REST.fullmatch(rest)
+    if not m or not tail:
         raise ParseError(f"no CREATE TABLE ... WITH: {text[:60]!r}")
-    out = TableDef(m[1].strip("`"), options=_pairs(m[4]), partitions=[x.strip(" `") for x in (m[3] or "").split(",") if x.strip()])
-    for item in top_level_split(m[2] or ""):
+    out = TableDef(m[1].strip("`"), options=_pairs(tail[2]), partitions=[x.strip(" `") for x in (tail[1] or "").split(",") if x.strip()])
+    for item in top_level_split(columns, brackets="([<)]>"):
         upper = item.upper()
         if upper.startswith("WATERMARK"):
             out.watermark = item

@@ -26,6 +26,11 @@ def unescape(text: str) -> str:
     return text.encode("latin-1", "backslashreplace").decode("unicode_escape") if "\\" in text else text
 
 
+def escape(text: str) -> str:
+    """Control characters as \\xNN, the form that headers take."""
+    return "".join(c if c.isprintable() else f"\\x{ord(c):02x}" for c in text)
+
+
 @dataclass(frozen=True)
 class DorisOptions:
     fenodes: str = ""
@@ -77,7 +82,7 @@ def csv_line(df: DataFrame, options: DorisOptions) -> Column:
 def headers_of(options: DorisOptions, columns: list[str], label: str) -> dict[str, str]:
     out = {
         "Authorization": "Basic " + b64encode(f"{options.username}:{options.password}".encode()).decode(), "Expect": "100-continue", "format": "csv",
-        "column_separator": options.column_separator, "line_delimiter": options.line_delimiter, "columns": ",".join(f"`{c}`" for c in columns), **options.headers,
+        "column_separator": escape(options.column_separator), "line_delimiter": escape(options.line_delimiter), "columns": ",".join(f"`{c}`" for c in columns), **options.headers,
     }
     return out | ({"label": label} if options.group_commit == "off_mode" else {"group_commit": options.group_commit})
 

@@ -100,17 +100,18 @@ def duration_ms(text: str | int) -> int:
     return int(found[1]) * _UNITS.get(found[2].lower() or "ms", 1)
 
 
-def top_level_split(text: str, mark: str = ",") -> list[str]:
+def top_level_split(text: str, mark: str = ",", brackets: str = "([{)]}") -> list[str]:
     """Split outside of brackets and quotes."""
+    half = len(brackets) // 2
     out, depth, quote, last = [], 0, "", 0
     for i, ch in enumerate(text):
         if quote:
             quote = "" if ch == quote else quote
         elif ch in "'\"`":
             quote = ch
-        elif ch in "([{":
+        elif ch in brackets[:half]:
             depth += 1
-        elif ch in ")]}":
+        elif ch in brackets[half:]:
             depth -= 1
         elif ch == mark and not depth:
             out.append(text[last:i])
