@@ -1,4 +1,5 @@
-"""Macros that scripts expand: table options, settings, function sets."""
+"""Macros that scripts expand: table options, settings, function sets. Their names, parameters and defaults are fixed values
+that existing scripts rely on."""
 
 from __future__ import annotations
 
