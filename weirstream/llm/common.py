@@ -42,6 +42,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows: texts are some kilobytes each, and a batch is held by JVM and Python alike."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def bounded(df: DataFrame, max_rows: int) -> bool:
     """Whether a table has at most max_rows rows; stops counting beyond."""
     return df.limit(max_rows + 1).count() <= max_rows

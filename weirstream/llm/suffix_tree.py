@@ -27,17 +27,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import materialise, table
+from .common import materialise, small_batches, table
 
 DEPTH = 6
 LEAST_SHARE = 1e-6
 DIVERGENCE = 2.0
 DISCOUNT = 0.5
-MAX_STATES = 100_000
+MAX_STATES = 50_000
 #: Bytes of text in a block of documents whose words are looked up together.
 BLOCK_BYTES = 16 << 20
 #: Bytes of text whose contexts are sorted at once.
-SORT_BYTES = 8 << 20
+SORT_BYTES = 2 << 20
+#: Distinct contexts that a task holds before it deals them out.
+HELD = 3_000_000
 END, SPACE = 10, 32
 #: Symbols: bytes but for white space, which becomes a space; line feed serves as the end mark.
 ALPHABET = 256 - 4
@@ -86,10 +88,11 @@ def run_counts(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.
         keys = np.sort(keys)
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         return keys[first], np.diff(np.append(first, len(keys)))
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    order = np.argsort(keys, kind="stable").astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+    keys, weights = keys[order], weights[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(weights[order], first)
+    return keys[first], np.add.reduceat(weights, first)
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -126,8 +129,10 @@ def _count_contexts(buckets: int):
             for _, _, data, offsets in V.chunks(batch.column(0), SORT_BYTES):
                 stream, predicted, _ = symbols(data, offsets)
                 held.append(run_counts(context_keys(stream, predicted)))
-                if sum(len(k) for k, _ in held) > 6_000_000:
-                    yield from dealt()
+                if sum(len(k) for k, _ in held[1:]) > HELD // 3:
+                    held[:] = [run_counts(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+                    if len(held[0][0]) > HELD:
+                        yield from dealt()
         if held:
             yield from dealt()
 
@@ -205,7 +210,7 @@ class Automaton:
         for s in order[1:]:
             children.setdefault(s[:-1], []).append(s)
         self.next = np.zeros((len(order), width), np.int32)
-        p = np.zeros((len(order), width))
+        p = np.zeros((len(order), width), np.float32)
         symbol = np.flatnonzero(used)
         p[0, 1:] = root[symbol]
         # class 0: bytes never seen in a state, each with its own small share of the root
@@ -227,7 +232,8 @@ class Automaton:
                 self.next[i] = self.next[f]
             for child in children.get(s, ()):
                 self.next[i, self.classes[child[-1]]] = number[child]
-        self.logp = np.log10(np.maximum(p, 1e-300)).astype(np.float32)
+        np.maximum(p, np.float32(1e-38), out=p)
+        self.logp = np.log10(p, out=p)
 
     def score(self, stream: np.ndarray, predicted: np.ndarray, begin: np.ndarray, column: int = 256) -> np.ndarray:
         """Sums of log10 probabilities by text: the stream is cut in columns that are walked side by side."""
@@ -291,6 +297,7 @@ def _words_of(edges: np.ndarray):
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train=None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); train: a column, true for training rows."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), train.alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     about = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.col("train").cast("int")), F.lit(0))).first()
     n_blocks = max(1, -(-about[0] // BLOCK_BYTES))

@@ -44,7 +44,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of whole texts of up to max_bytes, or one longer text. Null: empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -62,6 +62,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 21) -> Iter
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + max_bytes, side="right")) - 1)
         yield lo, hi, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
