@@ -1,0 +1,375 @@
+"""Each operator against a plain version on small rows with nulls, empty and long texts, ties, repeats and empty tables."""
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from weirstream.llm import decontaminate, licenses, minhash_dedup, mixing, pii, subspace_join, suffix_tree, token_files, toxicity, url_filter
+from weirstream.llm import vectext as V
+from weirstream.llm.common import scratch_path
+from weirstream.llm.components import component_ids
+
+
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def components(ids, links):
+    of = {i: i for i in ids}
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        of[max(a, b)] = min(a, b)
+    return {i: root(i) for i in ids}
+
+
+def test_vectorised_words_and_shingles():
+    texts = ["  The cat\tSat on\nthe MAT again ", "", None, "one", "a b c d", "é À x", "the cat sat on the mat again"]
+    lo, hi, data, offsets = next(V.chunks(pa.array(texts)))
+    hashes, first = V.word_hashes(data, offsets)
+    assert np.diff(first).tolist() == [7, 0, 0, 1, 4, 3, 7]
+    assert hashes[:7].tolist() == hashes[-7:].tolist()
+    values, bounds = V.shingles(hashes, first)
+    assert np.diff(bounds).tolist() == [3, 0, 0, 1, 1, 1, 3]
+    sliced = list(V.chunks(pa.array(texts).slice(3, 3), max_bytes=2))
+    assert [b - a for a, b, _, _ in sliced] == [1, 1, 1] and sliced[2][2].tobytes().decode() == "é À x"
+
+
+def test_components(spark):
+    rng = np.random.default_rng(1)
+    links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(int(a) + 200, int(b) + 200) for a, b in rng.integers(0, 80, (60, 2))]
+    got = dict(component_ids(spark.createDataFrame(links, "a bigint, b bigint")).collect())
+    want = components({x for p in links for x in p}, links)
+    assert got == {i: c for i, c in want.items() if i in got} and {i for p in links for i in p if p[0] != p[1]} == set(got)
+    assert component_ids(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_token_counts(spark, documents, sentence):
+    rows = [(1, sentence(1, 50), "a"), (2, None, "a"), (3, "", "b"), (4, "<|endoftext|> x", "b"), (5, sentence(5, 3000), "c"), (5, sentence(5, 3000), "c")]
+    docs = documents(rows).repartition(3)
+    folder = scratch_path(spark, "t")
+    places = token_files.write_token_files(docs, folder)
+    encode = token_files._encoder(f"{token_files.TOKENIZERS}/{token_files.VOCABULARY}").encode_ordinary
+    want = sorted((i, len(encode(t or ""))) for i, t, _ in rows)
+    for block in (7, 64, 1 << 20):
+        got = places.join(token_files.scan_token_files(places, folder, block_tokens=block), ["file", "place"]).select("doc_id", "n_tokens")
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_separator_scan_of_bare_files(spark, tmp_path):
+    """Tokens after the last separator form a document; empty files and empty documents."""
+    end = token_files.END_OF_TEXT
+    files = {"a": [1, 2, end, end, 3], "b": [], "c": [end] * 3, "d": [5] * 100 + [end]}
+    for name, ids in files.items():
+        np.array(ids, "<u2").tofile(tmp_path / name)
+    df = spark.createDataFrame([(n,) for n in files], "file string")
+    got = token_files.scan_token_files(df, str(tmp_path), block_tokens=4).collect()
+    assert sorted((r.file, r.place, r.n_tokens) for r in got) == [("a", 0, 2), ("a", 1, 0), ("a", 2, 1), ("c", 0, 0), ("c", 1, 0), ("c", 2, 0), ("d", 0, 100)]
+
+
+def test_licenses(documents, sentence):
+    rows = [(i, sentence(i, 30) + "\n" + line + "\n" + sentence(i + 50, 30), "a") for i, line in enumerate(["Released under the MIT License.", "# Licensed under the Apache License, Version 2.0.", "She lost her driver license.", ""])]
+    rows += [(10, None, "a"), (11, "", "a"), (12, "Licensed under CC BY-NC 4.0.\n" * 2 + "All rights reserved.", "a")]
+    got = {r.doc_id: r for r in licenses.find_licenses(documents(rows)).collect()}
+    assert {i: r.families for i, r in got.items()} == {0: "mit", 1: "apache", 2: "", 3: "", 10: "", 11: "", 12: "all_rights_reserved,cc_nc"}
+    assert (got[12].n_paragraphs, got[12].n_licensed, got[10].n_paragraphs) == (3, 3, 0)
+    assert licenses.find_licenses(documents([])).count() == 0
+
+
+def test_licenses_held_out_variants():
+    """Unseen variants of the templates are found; everyday sentences with the same words are not."""
+    model = licenses.Classifier([])
+    rng = np.random.default_rng(99)
+    rows = [(v, k) for k in licenses.TEMPLATES for t in licenses.TEMPLATES[k] for v in licenses.varied(t, rng, 6)[1:]]
+    hits = 0
+    for text, family in rows:
+        _, _, data, offsets = next(V.chunks(pa.array([text])))
+        _, found, _ = model.lines(data, offsets)
+        hits += [model.families[f] for f in found] == [family]
+    assert hits / len(rows) > 0.85
+    for text in ["He got a license to fish.", "The terms of the lease are general.", "the version was free to the public"]:
+        _, _, data, offsets = next(V.chunks(pa.array([text])))
+        assert len(model.lines(data, offsets)[0]) == 0
+
+
+def test_suffix_tree(spark, documents, sentence):
+    rows = [(i, sentence(i % 37, 20 + i % 90), "a") for i in range(300)] + [(900, None, "a"), (901, "", "a"), (902, "É\x00 x", "a"), (5, sentence(5, 25), "a")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    text_id = F.col("doc_id").cast("string").cast("binary")
+    got = suffix_tree.score_texts(documents(rows), train=F.pmod(F.crc32(text_id), F.lit(10)) != 0).collect()
+    assert len(got) == len(rows)
+    counts = Counter(w for i, t, _ in rows if not held(i) for w in [*(t or "").lower().split(), "\n"])
+    n, v = sum(counts.values()), len(counts)
+    texts = {i: (t or "").lower().split() for i, t, _ in rows if i != 5}
+    for r in got:
+        if r.doc_id in texts:
+            words = [*texts[r.doc_id], "\n"]
+            base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(r.doc_id), len(words), sum(w in counts for w in words), n)
+            assert r.base_score == pytest.approx(base)
+            assert r.score < 0
+    assert suffix_tree.score_texts(documents([]), train=F.lit(True)).count() == 0
+
+
+def test_suffix_automaton_is_a_distribution():
+    """At every node the probabilities of all 252 symbols add up to one, and the node is the longest suffix state."""
+    data = np.frombuffer(b"the cat sat on the mat and the hat " * 40, np.uint8)
+    stream, predicted, begin = suffix_tree.symbols(data, np.array([0, len(data)]))
+    keys, counts = suffix_tree.run_counts(suffix_tree.context_keys(stream, predicted))
+    top, n = suffix_tree.run_counts(((keys >> V.U(40)) << V.U(8)) | (keys & V.U(255)), counts)
+    root_counts = np.bincount((keys & V.U(255)).astype(int), counts, minlength=256)
+    root = suffix_tree.root_probabilities(root_counts)
+    at = np.flatnonzero(root_counts).astype(V.U)
+    states, low_keys, low_p = suffix_tree.grow(top, n, at, root[at.astype(int)], 0, 2, 2.0)
+    more, _, _ = suffix_tree.grow(keys, counts, low_keys, low_p, 2, suffix_tree.DEPTH, 2.0)
+    automaton = suffix_tree.Automaton(states + more, root)
+    p = 10.0 ** automaton.logp.astype(float)
+    unseen = suffix_tree.ALPHABET - (automaton.classes > 0).sum()
+    assert np.allclose(p[:, 1:].sum(axis=1) + p[:, 0] * unseen, 1, atol=1e-4)
+    assert len(more) > 3
+    # a plain walk: for each symbol, the longest suffix that is a state
+    known = {bytes(c.to_bytes(d, "big"))[::-1]: (np.frombuffer(x, np.uint8), np.frombuffer(k, np.int64)) for d, c, _, x, k in states + more}
+
+    def probability(context, symbol):
+        if not context:
+            return root[symbol]
+        low = probability(context[1:], symbol)
+        if context not in known:
+            return low
+        nexts, k = known[context]
+        own = dict(zip(nexts.tolist(), k.tolist())).get(symbol, 0)
+        return (max(own - 0.5, 0) + 0.5 * len(k) * low) / k.sum()
+
+    text = stream.tobytes()
+    want = sum(math.log10(probability(text[i - suffix_tree.DEPTH : i], text[i])) for i in np.flatnonzero(predicted))
+    assert automaton.score(stream, predicted, begin)[0] == pytest.approx(want, rel=1e-4)
+
+
+def test_decontamination(spark, documents, sentence):
+    items = [(i, sentence(1000 + i, 8 + 3 * i)) for i in range(10)] + [(20, "two words"), (21, ""), (22, None)]
+    clean = [(i, sentence(i, 400), "a") for i in range(20)]
+    w = items[9][1].split()
+    w[0] = "changed"
+    rows = clean + [(50 + i, sentence(i, 200) + " " + items[i][1].upper() + ", " + sentence(i + 7, 2000), "a") for i in range(10)]
+    rows += [(70, sentence(3, 50) + " " + " ".join(w) + " end", "a"), (71, " ".join(items[8][1].split()[: len(items[8][1].split()) // 2]), "a"), (72, "Two  words!", "a"), (73, None, "a"), (74, "", "a"), (50, sentence(0, 9), "a")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contained_items(documents(rows), bench).collect())
+    plain = lambda t: " ".join((t or "").lower().translate(str.maketrans("", "", decontaminate.PUNCTUATION)).split())
+    sets = {}
+    for i, t, _ in rows:
+        sets.setdefault(i, set()).update(shingle_set(plain(t)))
+    want = sorted((d, i) for d, s in sets.items() for i, t in items if (q := shingle_set(plain(t))) and 100 * len(q & s) >= 75 * len(q))
+    assert got == want and (70, 9) in got and (72, 20) in got and not any(d < 20 for d, _ in got)
+    kept = {r.doc_id for r in decontaminate.clean(documents(rows), bench).collect()}
+    assert kept == {i for i, _, _ in rows} - {d for d, _ in want}
+    assert decontaminate.contained_items(documents(rows), bench.limit(0)).count() == 0
+    assert decontaminate.contained_items(documents([]), bench).count() == 0
+
+
+def water(sizes, weights=(5, 2, 1)):
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        left = total - sum(3 * sizes[s] for s in capped)
+        free = sum(weight[s] for s in sizes if s not in capped)
+        over = {s for s in sizes if s not in capped and left * weight[s] / free > 3 * sizes[s]}
+        if not over:
+            return {s: 3 * sizes[s] if s in capped else left * weight[s] / free for s in sizes}
+        capped |= over
+
+
+def test_mixing(documents, sentence):
+    rows = [(i, sentence(i, 5 + i % 40), f"s{i % 4}") for i in range(800)] + [(1000 + i, sentence(i, 10), None) for i in range(30)] + [(2000, None, "tiny"), (2001, "", "tiny"), (2002, "a b", "tiny"), (3, sentence(3, 8), "s3")]
+    got = mixing.take(documents(rows)).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    target = water(dict(sizes))
+    taken = Counter()
+    for r in got:
+        assert r.mix_size == len((r.text or "").split()) and r.mix_source_size == sizes[r.source]
+        assert r.mix_target == pytest.approx(target[r.source]) and 0 <= r.mix_copies <= 3
+        taken[r.source] += r.mix_size * r.mix_copies
+    assert all(abs(taken[s] - target[s]) < 0.35 * target[s] + 20 for s in sizes)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.take(documents(rows)).collect()))
+    out = mixing.emit(documents(rows))
+    assert out.columns == documents(rows).columns and out.count() == sum(r.mix_copies for r in got)
+    assert mixing.take(documents([])).count() == 0
+
+
+def test_mixing_with_many_sources(documents, sentence, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    rows = [(i, sentence(i, 9), f"s{i % 3}" if i % 5 else None) for i in range(60)]
+    salted = sorted((r.doc_id, r.mix_target) for r in mixing.take(documents(rows)).collect())
+    monkeypatch.undo()
+    assert salted == sorted((r.doc_id, r.mix_target) for r in mixing.take(documents(rows)).collect())
+
+
+def edited(text, seed, n):
+    rng, w = np.random.default_rng(seed), text.split()
+    for i in rng.integers(0, len(w), n):
+        w[i] = f"edit{seed}x{i}"
+    return " ".join(w)
+
+
+def test_minhash(documents, sentence):
+    base = sentence(1, 300)
+    rows = [(i, edited(base, i, i % 9), "a") for i in range(60)]  # a large group with members beyond reach of each other
+    rows += [(100 + i, sentence(500, 80) + " " + sentence(600 + i, 60 + i), "a") for i in range(25)]  # a passage in common
+    rows += [(200 + i, sentence(700 + i // 3, 50), "a") for i in range(12)]  # copies
+    rows += [(300, None, "a"), (301, " \n", "a"), (302, "two words", "a"), (303, "TWO words", "a"), (304, "two", "a"), (305, "a b c d e", "a"), (306, "a b c d e a b c d e", "a"), (200, sentence(700, 50), "a")]
+    got = minhash_dedup.near_duplicates(documents(rows)).collect()
+    sets = {i: shingle_set(t) for i, t, _ in rows}
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = components(ids, links)
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), want[i], want[i] == i) for i in ids}
+    kept = minhash_dedup.first_of_each(documents(rows))
+    assert {r.doc_id for r in kept.collect()} == {i for i in ids if want[i] == i}
+    assert minhash_dedup.near_duplicates(documents([])).count() == 0
+
+
+def test_minhash_in_small_blocks(documents, sentence, monkeypatch):
+    """Buckets of many components are searched in blocks; small blocks must give the same."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    base = sentence(1, 120)
+    rows = [(i, edited(base, i, 5 + i % 12), "a") for i in range(50)]
+    sets = {i: shingle_set(t) for i, t, _ in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = components(sorted(sets), links)
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(documents(rows)).collect()} == want
+
+
+def test_odd_sketch_estimates():
+    a = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 1000).astype(V.U))
+    for share in (1.0, 0.9, 0.75):
+        keep = int(len(a) * 2 * share / (1 + share))
+        b = np.unique(np.concatenate([a[:keep], V.mixed(a[keep:])]))
+        _, s = minhash_dedup.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        d = int(np.bitwise_count((s[0] ^ s[1]).view(V.U)).sum())
+        estimate = 1 + minhash_dedup.BITS / (4 * minhash_dedup.SAMPLES) * math.log(1 - 2 * d / minhash_dedup.BITS)
+        assert abs(estimate - share) < 0.15 and d <= minhash_dedup.MOST_BITS
+
+
+def test_pii(spark, documents):
+    rows = [(1, "a@b.com_x@c.org 1.2.3.4.5.6.7.8 256.1.1.1", "s"), (2, "4111 1111-1111 1111 and 4111111111111112", "s"), (3, "é😀 +1 (555) 123-4567 +12", "s"), (4, None, "s"), (5, "", "s"), (6, "x" * 50_000 + "@y.zz " + "1" * 30_000, "s"), (1, "a@b.com", "s")]
+    got = pii.find_spans(documents(rows)).collect()
+    said = {(r.doc_id, r.pii_text[:8]): [(s.kind, s.start, s.end) for s in r.pii_base] for r in got}
+    assert said[(1, "a@b.com_")] == [("email", 0, 7), ("email", 7, 15), ("ip", 16, 23), ("ip", 24, 31)]
+    assert said[(2, "4111 111")] == [("card", 0, 19)] and said[(3, "é😀 +1 (5")] == [("phone", 3, 20)]
+    assert said[(6, "x" * 8)] == [("email", 0, 50_005)] and len(got) == len(rows)
+    clean = {(r.doc_id, len(r.text or "")): r.text for r in pii.sanitise(documents(rows)).collect()}
+    assert "<EMAIL><EMAIL> <IP>.<IP> 256.1.1.1" in clean.values() and None in clean.values() and "<CARD> and 4111111111111112" in clean.values()
+    assert pii.find_spans(documents([])).count() == 0
+
+
+def test_pii_terms(documents):
+    rows = [(i, f"The agent Zorblax, {w} met jo@x.org near {w} hill", "s") for i, w in enumerate("one two three four five six".split())]
+    rows += [(100 + i, "plain words of the hill near the agent met them " * 3, "s") for i in range(50)] + [(200, "Only zorblax here", "s")]
+    got = {r.doc_id: r.text for r in pii.sanitise(documents(rows)).collect()}
+    assert got[0] == "The agent <TERM>, one met <EMAIL> near one hill" and got[200] == "Only <TERM> here" and got[100] == rows[6][1]
+
+
+def labelled(spark, documents, sentence):
+    bad = ["grumblot", "vexnard", "slimewort"]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        text = sentence(i, 60) + (f" {bad[i % 3]} " + sentence(i + 999, 10) + f" {bad[(i // 4) % 3]}" if toxic else "")
+        rows.append((i, text, "s"))
+        labels.append((i, 1, int(toxic)))
+    return documents(rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), bad
+
+
+def test_toxicity(spark, documents, sentence):
+    docs, labels, bad = labelled(spark, documents, sentence)
+    got = {r.doc_id: r for r in toxicity.scored(docs, labels).collect()}
+    held = [r for r in got.values() if r.held_out]
+    assert {r.doc_id for r in held} == {i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in held) and all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_toxicity_restores(spark, documents, sentence):
+    docs, labels, bad = labelled(spark, documents, sentence)
+    model = toxicity.train(docs, labels)
+    restorer = toxicity.Restorer(model.trigrams)
+    for written in ("gr0mbl0t".replace("0m", "um"), "v3xn4rd", "v e x n a r d", "s.l.i.m.e.w.o.r.t", "slimmmmewort", "5l1m3wort"):
+        text = f"{sentence(3, 20)} {written} {sentence(4, 20)}"
+        plain = text.replace(f" {written} ", " ")
+        a, b = model.score(pa.array([text, plain]), restorer)
+        assert a > 5 * b, written
+    assert restorer.restored("plain words, 12 of them: a@b") .startswith("plain words, 12 of them")
+    assert model.score(pa.array(["", None, "x" * 300_000]), restorer).max() < 0.3
+
+
+def test_toxicity_without_labels(spark, documents):
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    got = toxicity.scored(documents([(1, "a", "s"), (2, None, "s")]), none).collect()
+    assert all(r.score < 0.3 and r.predicted == 0 for r in got) and toxicity.scored(documents([]), none).count() == 0
+
+
+def test_subspace_join(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 64))
+    group = rng.normal(size=64)
+    near = np.array([group + rng.normal(size=64) * s for s in np.linspace(0.05, 0.35, 60)])
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, near]))]
+    rows += [(1000 + i, [float(z) for z in x[0]]) for i in range(3)] + [(1010, [2.0 * float(z) for z in x[0]])]
+    rows += [(2000, None), (2001, [0.0] * 64), (2002, [float("nan")] * 64), (2003, [1.0] * 3), (2004, [None] * 64), (2005, []), (5, x[5].tolist())]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<double>, label string")
+    got = subspace_join.linked_vectors(df).collect()
+    fine = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i < 2000}
+    ids = sorted(fine)
+    m = np.array([fine[i] for i in ids])
+    links = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(m @ m.T >= 0.95, 1)))]
+    degree = Counter(i for p in links for i in p)
+    want = components(sorted({i for i, _ in rows}), links)
+    assert len(got) == len(rows)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (degree[i], want[i], want[i] == i) for i in want}
+    assert subspace_join.linked_vectors(df.limit(0)).count() == 0
+
+
+def test_subspace_join_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(subspace_join, "PART", 16)
+    monkeypatch.setattr(subspace_join, "VECTORS_A_PIVOT", 20)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(5, 16))
+    rows = [(i, (centres[i % 5] + rng.normal(size=16) * 0.18).tolist()) for i in range(200)]
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    hit = (m @ m.T >= 0.95) & ~np.eye(200, dtype=bool)
+    got = {r.vec_id: r for r in subspace_join.linked_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    want = components(range(200), list(zip(*np.nonzero(hit))))
+    assert [got[i].n_links for i in range(200)] == hit.sum(axis=1).tolist() and {i: r.component_id for i, r in got.items()} == want
+
+
+def test_url_filter(spark):
+    urls = ["http://a.example.net/en/1", "http://a.example.net/de/1", "https://B.example.com/de/x?y#z", "https://b.example.com/en/x", "ftp://x.org/fr/", "http://x.org", "no url", None, "http://example.net", "http://xexample.net/en/", "http://c.io?q=/fr/"]
+    pages = spark.createDataFrame([(i, u, None, "x") for i, u in enumerate(urls)], "page_id bigint, url string, html string, host string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages).collect()}
+    assert got[0] == ("a.example.net", "/en/1", "example.net/en/", "allow") and got[1] == ("a.example.net", "/de/1", "net/", "block")
+    assert got[2] == ("b.example.com", "/de/x", "example.com/de/", "block") and got[4] == ("x.org", "/fr/", "org/fr/", "allow")
+    assert got[5] == ("x.org", "", None, "allow") and got[6] == ("", "", None, "allow") == got[7] and got[8][:3] == ("example.net", "", None)
+    assert got[9][2] == "net/" and got[10] == ("c.io", "", None, "allow")
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
+
+
+def test_link_graph(spark):
+    """Distrust flows to those who link to blocked hosts, also over a farm; a trusted host that links to one stays allowed."""
+    link = lambda *hosts: " ".join(f'<a href="http://{h}/x">' for h in hosts)
+    rows = [(1, "http://bad.net/", ""), (2, "http://farm.io/", link("bad.net", "bad.net")), (3, "http://good.org/fr/", link("friend.io", "mixed.io")), (4, "http://friend.io/", ""), (5, "http://far.io/", link("farm.io")), (6, "http://mixed.io/", link("bad.net", "good.org", "farm.io", "friend.io"))]
+    got = {r.host: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {"bad.net": "block", "farm.io": "block", "good.org": "allow", "friend.io": "allow", "far.io": "block", "mixed.io": "block"}
