@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import table
+from .common import small_batches, table
 
 #: How licences of each family announce themselves, as their texts and usual notices put it.
 TEMPLATES = {
@@ -198,6 +198,7 @@ class Classifier:
 
 def find_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_unknown: int = MAX_UNKNOWN) -> DataFrame:
     """(doc_id, n_paragraphs, n_licensed, families, least_probability) for every row; families joined by commas, by name."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     few = rows.where("text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unknown).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     few = few.where("length(line) BETWEEN 20 AND 2000 AND NOT line RLIKE '(?i)licen[sc]|copyright|rights reserved|public domain|spdx'")

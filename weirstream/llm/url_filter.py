@@ -1,14 +1,14 @@
 """Operator 10: URL filters with link-graph propagation.
 
 Explicit rules decide first. For the rest, trust flows from trusted hosts along links and distrust flows from blocked hosts
-against them (who links to blocked hosts becomes suspect), both as personalised PageRank over distinct host edges; a host
-whose distrust exceeds its trust by a threshold is blocked.
+against them (who links to blocked hosts becomes suspect), both as personalised PageRank over distinct host edges, in
+units of what a seed starts with. A host is blocked if its distrust reaches `least` and exceeds `ratio` times its trust.
 
 A host is a seed if at least half of its pages fall under allow (block) rules. Link targets without a scheme and a host stay
 on their own host and are no edges; self-links are none either.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, matches no rule and is allowed; null html has
-no links; hosts without links or seeds in reach are allowed; ties between trust and distrust are allowed; repeated rows give
+no links; hosts without links or seeds in reach are allowed; repeated rows give
 repeated results; empty tables give no rows; extra columns are ignored.
 """
 
@@ -43,7 +43,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def host_scores(judged: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
-    """(host, trust, distrust): personalised PageRank times the number of hosts reached by seeds, 1 being an average seed.
+    """(host, trust, distrust): personalised PageRank in units of a seed's own start; a seed that nothing else reaches has 1.
 
     judged: (host, verdict) of pages; edges: distinct (src, dst). Each round is one join and one pre-aggregated sum over both
     directions, written to the shared folder; rounds stop early when no score moves by more than the tolerance.
@@ -68,7 +68,7 @@ def host_scores(judged: DataFrame, edges: DataFrame, *, damping: float = 0.85, r
         moved = flow.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select(
             "kind", F.col("dst").alias("host"), (F.col("rank") * damping / F.col("degree")).alias("part"), F.lit(0.0).alias("was")
         )
-        start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("part"), F.lit(0.0).alias("was"))
+        start = seeds.select("kind", "host", F.col("seed").alias("part"), F.lit(0.0).alias("was"))
         old = ranks.select("kind", "host", F.lit(0.0).alias("part"), F.col("rank").alias("was"))
         new = materialise(
             moved.unionByName(start).unionByName(old).groupBy("kind", "host").agg(F.sum("part").alias("rank"), F.sum("was").alias("was")),
@@ -83,7 +83,7 @@ def host_scores(judged: DataFrame, edges: DataFrame, *, damping: float = 0.85, r
 
 
 def judge_urls(
-    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, threshold: float = 0.05, **options
+    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, ratio: float = 2.0, least: float = 0.05, **options
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, by): by says whether the rule or the method decided."""
     url = F.col(url_col)
@@ -94,7 +94,7 @@ def judge_urls(
     links = links.select("src", F.translate("dst", UPPER, LOWER).alias("dst"))
     edges = materialise(links.where("src <> '' AND src <> dst").distinct(), "edges")
     scores = host_scores(ruled.select("host", F.col("ruled").alias("verdict")), edges, **options)
-    bad = materialise(scores.where(F.col("distrust") > F.col("trust") + threshold).select(F.col("host").alias("bad_host")), "bad")
+    bad = materialise(scores.where((F.col("distrust") >= least) & (F.col("distrust") > ratio * F.col("trust"))).select(F.col("host").alias("bad_host")), "bad")
     decided = ruled.join(bad, ruled["host"] == bad["bad_host"], "left")
     return decided.select(
         "page_id", "host", "path", "rule",
