@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import materialise, table
+from .common import materialise, small_batches, table
 from .components import component_ids
 
 SAMPLES, ROWS, BITS = 128, 4, 512
@@ -98,6 +98,30 @@ def _sets_of(texts: DataFrame, schema: str) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
+FILTER_BITS = 23
+
+
+def only_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id may be among ids: none of those is lost, and most others need no shuffle.
+
+    Ids are hashed into a bitmap of 2**FILTER_BITS bits (1 MB, whatever the input's size), gathered as at most 2**17 words.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
+    bits = ids.select(slot.alias("s")).select((F.col("s") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(s % 64 AS INT))").alias("b"))
+    words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in bits.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        words[r["w"]] = r["b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+        for batch in batches:
+            kept = batch.filter(pa.array(have[batch.column(2).to_numpy(zero_copy_only=False)]))
+            if kept.num_rows:
+                yield kept.select(["doc_id", "text"])
+
+    return texts.where("doc_id IS NOT NULL").select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id bigint, text string")
+
+
 def _similar(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """Which sorted sets of others have 100 * intersection >= 75 * union with the sorted set a."""
     sizes = np.array([len(x) for x in others])
@@ -127,8 +151,8 @@ def confirmed_stars(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     dealt = pairs.join(parts, "hub").select("doc_id", "hub", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
     # at most one hub a band for each document: the list is short
     asked = dealt.groupBy("doc_id").agg(F.collect_list(F.struct("hub", "part")).alias("asks"))
-    every = asked.join(parts.select(F.col("hub").alias("doc_id"), "parts"), "doc_id", "full")
-    sets = _sets_of(texts.join(every, "doc_id").select("doc_id", "asks", "parts", "text"), "doc_id bigint, asks array<struct<hub:bigint,part:int>>, parts int, set binary")
+    every = materialise(asked.join(parts.select(F.col("hub").alias("doc_id"), "parts"), "doc_id", "full"), "asked")
+    sets = _sets_of(only_ids(texts, every).join(every, "doc_id").select("doc_id", "asks", "parts", "text"), "doc_id bigint, asks array<struct<hub:bigint,part:int>>, parts int, set binary")
     own = F.when(F.col("parts").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.col("doc_id").alias("hub"), p.alias("part"), F.lit(True).alias("is_hub"))))
     asks = F.transform("asks", lambda x: F.struct(x["hub"].alias("hub"), x["part"].alias("part"), F.lit(False).alias("is_hub")))
     none = F.array().cast("array<struct<hub:bigint,part:int,is_hub:boolean>>")
@@ -186,6 +210,7 @@ def _confirm_block(group: pa.Table) -> pa.Table:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(texts.mapInArrow(_sign, SIGNATURE), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -227,8 +252,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         schema = "bkey bigint, i int, j int, doc_id bigint, comp bigint, is_left boolean, sketch array<bigint>"
         active = materialise(lefts.unionByName(rights).groupBy("bkey", "i", "j").applyInArrow(_candidates_in_block, schema), "active")
         if not active.isEmpty():
-            wanted = active.select("doc_id").distinct()
-            sets = materialise(_sets_of(texts.join(wanted, "doc_id"), "doc_id bigint, set binary"), "sets")
+            wanted = materialise(active.select("doc_id").distinct(), "wanted")
+            sets = materialise(_sets_of(only_ids(texts, wanted).join(wanted, "doc_id"), "doc_id bigint, set binary"), "sets")
             more = active.join(sets.dropDuplicates(["doc_id"]), "doc_id").groupBy("bkey", "i", "j").applyInArrow(_confirm_block, "a bigint, b bigint")
             joined.append(materialise(more, "more"))
     every_edge = joined[0]
