@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as V
-from .common import bounded, materialise, table
+from .common import bounded, materialise, small_batches, table
 
 #: Letters that a written character can stand for.
 LEET = {
@@ -39,6 +39,8 @@ NGRAMS = (4, 5)
 BUCKET_BITS = 22
 MAX_FEATURES = 20_000
 CHUNK = 4096
+#: Bytes of text handled at once; an n-gram takes some hundred bytes meanwhile.
+PIECE = 1 << 19
 MAX_FIT = 20_000
 LEAST_DOCS = 3
 LEAST_MARGIN, LEXICON_MARGIN, MAX_LEXICON = 0.7, 4.0, 2000
@@ -69,7 +71,7 @@ def trigram_counts(data: np.ndarray) -> np.ndarray:
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(LETTERS**3, np.int64)
     for batch in batches:
-        for _, _, data, _ in V.chunks(batch.column(0)):
+        for _, _, data, _ in V.chunks(batch.column(0), PIECE):
             total += trigram_counts(data)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["g", "n"])
@@ -183,7 +185,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     toxic_n, clean_n = np.zeros(1 << BUCKET_BITS, np.int32), np.zeros(1 << BUCKET_BITS, np.int32)
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
-        for lo, hi, data, offsets in V.chunks(batch.column(0)):
+        for lo, hi, data, offsets in V.chunks(batch.column(0), PIECE):
             for kind, total in ((1, toxic_n), (0, clean_n)):
                 _add_frequencies(total, data, offsets, toxic[lo:hi] == kind, None)
     at = np.flatnonzero(toxic_n)
@@ -211,7 +213,7 @@ def _clean_counts(features: np.ndarray):
         wanted[features] = True
         for batch in batches:
             clean = batch.column(1).to_numpy(zero_copy_only=False) == 0
-            for lo, hi, data, offsets in V.chunks(batch.column(0)):
+            for lo, hi, data, offsets in V.chunks(batch.column(0), PIECE):
                 _add_frequencies(total, data, offsets, clean[lo:hi], wanted)
         counts = total[features].astype(np.int64)
         parts = [counts[i : i + CHUNK].tobytes() for i in range(0, len(counts), CHUNK)]
@@ -244,7 +246,7 @@ def _feature_rows(features: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in V.chunks(batch.column(0)):
+            for lo, hi, data, offsets in V.chunks(batch.column(0), PIECE):
                 bucket, text = ngram_buckets(data, offsets, index >= 0)
                 pairs = np.unique(text * np.int64(len(features)) + index[bucket])
                 lists = np.split(pairs % len(features), np.searchsorted(pairs // len(features), np.arange(1, hi - lo))) if len(features) else []
@@ -282,7 +284,7 @@ class Model:
         weight[self.features] = self.weights
         wanted[self.features] = True
         out = [np.zeros(0)]
-        for lo, hi, data, offsets in V.chunks(texts):
+        for lo, hi, data, offsets in V.chunks(texts, PIECE):
             data, offsets = restore_all(data, offsets, restorer)
             bucket, text = ngram_buckets(data, offsets, wanted)
             pairs = np.unique(text << np.int64(BUCKET_BITS) | bucket)
@@ -331,6 +333,7 @@ def restore_all(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tu
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit: int = MAX_FIT) -> Model:
     """Fit on the rows of docs that labels (id_col, label_col 0/1) covers; trigrams are counted over all docs."""
+    small_batches(docs.sparkSession)
     text = docs.select(F.col(text_col).alias("text"))
     counts = np.zeros(LETTERS**3, np.int64)
     for r in text.mapInArrow(_count_trigrams, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect():
@@ -401,7 +404,7 @@ def _lexicon(features: np.ndarray, weights: np.ndarray):
         counts: list[dict[str, int]] = [{}, {}]
         for batch in batches:
             toxic = batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in V.chunks(batch.column(0)):
+            for lo, hi, data, offsets in V.chunks(batch.column(0), PIECE):
                 _, owner = ngram_buckets(data, offsets, strong)
                 for i in np.unique(owner).tolist():
                     text = data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")
