@@ -29,9 +29,9 @@ from .common import materialise, table
 from .components import component_ids
 
 BLOCKS = 4
-MAX_PIVOTS = 2048
-VECTORS_A_PIVOT = 512
-PART = 2048
+MAX_PIVOTS = 512
+VECTORS_A_PIVOT = 2048
+PART = 4096
 #: What float32 rounding of block coordinates can move a distance by, and more.
 SLACK = 1e-4
 
@@ -58,10 +58,11 @@ def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def cells(y: np.ndarray, pivots: np.ndarray, radius: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(vector, its home cell first, then the others it visits) in one block."""
-    gaps = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(axis=2), 0)) if len(pivots) <= MAX_PIVOTS else None
+    square = (pivots**2).sum(axis=1)
+    gaps = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * pivots @ pivots.T, 0))  # at most MAX_PIVOTS squared
     for lo in range(0, len(y), 1024):
         part = y[lo : lo + 1024]
-        d = (part**2).sum(axis=1)[:, None] - 2 * part @ pivots.T + (pivots**2).sum(axis=1)[None]
+        d = (part**2).sum(axis=1)[:, None] - 2 * part @ pivots.T + square[None]
         home = d.argmin(axis=1)
         near = d - d[np.arange(len(part)), home][:, None] <= 2 * gaps[home] * (radius + SLACK) + SLACK
         near[np.arange(len(part)), home] = True
@@ -77,8 +78,8 @@ def _place(dim: int, budget: float, pivots: list[np.ndarray]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 y = np.array(part.column(1).to_pylist(), float).reshape(-1, dim) @ turn
                 for b in range(len(pivots)):
@@ -212,13 +213,16 @@ def linked_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: st
     if not n:
         return none
     placed = materialise(reps.select("vec_id", "unit").mapInArrow(_place(dim, budget, pivots), "block int, cell int, vec_id bigint, home boolean, coords binary"), "placed")
-    parts = placed.groupBy("block", "cell").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
-    parts = F.broadcast(materialise(parts, "parts"))  # at most blocks * MAX_PIVOTS rows
-    dealt = placed.join(parts, ["block", "cell"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    all_parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    # homes are dealt in ni parts and all visitors in nj: a home row goes to each of the nj, a visitor's row to each of the ni
+    counts = placed.groupBy("block", "cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("m")).where("m > 0")
+    in_parts = lambda c: F.ceil(F.col(c) / F.lit(PART)).cast("int")
+    parts = F.broadcast(materialise(counts.select("block", "cell", in_parts("m").alias("ni"), in_parts("n").alias("nj")), "parts"))  # at most blocks * MAX_PIVOTS rows
+    dealt = placed.join(parts, ["block", "cell"])
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cols = ["block", "cell", "vec_id", "coords"]
-    asking = dealt.where("home").withColumn("j", all_parts).select(*cols, F.col("own").alias("i"), "j", F.lit(True).alias("asks"))
-    asked = dealt.withColumn("i", all_parts).select(*cols, "i", F.col("own").alias("j"), F.lit(False).alias("asks"))
+    asking = dealt.where("home").withColumn("j", every("nj")).select(*cols, own("ni").alias("i"), "j", F.lit(True).alias("asks"))
+    asked = dealt.withColumn("i", every("ni")).select(*cols, "i", own("nj").alias("j"), F.lit(False).alias("asks"))
     grouped = asking.unionByName(asked).groupBy("block", "cell", "i", "j").applyInArrow(
         _groups_in(dim, budget, blocks), "block int, cell int, i int, j int, vec_id bigint, asks boolean, kind bigint"
     )
