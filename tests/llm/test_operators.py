@@ -156,6 +156,33 @@ def test_suffix_automaton_is_a_distribution():
     assert automaton.score(stream, predicted, begin)[0] == pytest.approx(want, rel=1e-4)
 
 
+def test_suffix_tree_keeps_every_state(spark, documents, sentence):
+    """All states that pass the divergence test count, whatever their number; held-out contexts are answered too."""
+    rng = np.random.default_rng(5)
+    pool = ["".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(24_000)]
+    rows = [(i, " ".join(pool[i * 40 : i * 40 + 40] * 4), "a") for i in range(600)] + [(1000, sentence(1, 30), "a"), (1001, None, "a"), (1002, "É " + pool[7], "a")]
+    got = {r.doc_id: r.score for r in suffix_tree.score_texts(documents(rows), train=F.col("doc_id") < 1000).collect()}
+    encoded = [(t or "").encode() for i, t, _ in rows]
+    stream, predicted, begin = suffix_tree.symbols(np.frombuffer(b"".join(encoded), np.uint8), np.cumsum([0, *map(len, encoded)]))
+    train = predicted & (np.arange(len(stream)) < begin[600])
+    keys, counts = suffix_tree.run_counts(suffix_tree.context_keys(stream, train))
+    root = suffix_tree.root_probabilities(np.bincount((keys & V.U(255)).astype(int), counts, minlength=256))
+    states, _, _ = suffix_tree.grow(keys, counts, np.arange(256, dtype=V.U), root, 0, suffix_tree.DEPTH, 2.0)
+    assert len(states) > 50_000
+    known = {bytes(c.to_bytes(d, "big"))[::-1]: (int(np.frombuffer(k, np.int64).sum()), len(x), dict(zip(x, np.frombuffer(k, np.int64).tolist()))) for d, c, _, x, k in states}
+    text = stream.tobytes()
+    for at in (*range(0, 600, 50), 600, 601, 602):
+        want = 0.0
+        for i in range(begin[at] + suffix_tree.DEPTH, begin[at + 1]):
+            p = root[text[i]]
+            for depth in range(1, suffix_tree.DEPTH + 1):
+                if text[i - depth : i] in known:
+                    total, kinds, nexts = known[text[i - depth : i]]
+                    p = (max(nexts.get(text[i], 0) - suffix_tree.DISCOUNT, 0) + suffix_tree.DISCOUNT * kinds * p) / total
+            want += math.log10(p)
+        assert got[rows[at][0]] == pytest.approx(want, rel=1e-4), at
+
+
 def test_decontamination(spark, documents, sentence):
     items = [(i, sentence(1000 + i, 8 + 3 * i)) for i in range(10)] + [(20, "two words"), (21, ""), (22, None)]
     clean = [(i, sentence(i, 400), "a") for i in range(20)]

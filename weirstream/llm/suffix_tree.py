@@ -3,9 +3,14 @@
 Symbols are the bytes of the lower-cased words, a space between words and an end mark. From the training rows every context
 of up to DEPTH symbols is counted with what follows it. A context is retained as a state if it makes up at least LEAST_SHARE
 of all contexts and its next-symbol distribution diverges from that of its longest retained suffix by at least DIVERGENCE
-nats for each distinct symbol that follows (at most MAX_STATES, those of greatest divergence). Distributions are smoothed by
-absolute discounting towards the suffix. A text is scored by walking the automaton of the states, which holds the longest
-suffix state at each symbol; score is the sum of log10 probabilities, a proper distribution over sequences of words.
+nats for each distinct symbol that follows. Distributions are smoothed by absolute discounting towards the suffix. Each symbol
+is scored at the longest suffix of what precedes it that is a state; score is the sum of log10 probabilities, a proper
+distribution over sequences of words.
+
+The tree is never gathered: it grows with the text and lies in buckets by the three nearest symbols of a context. Documents
+are dealt in blocks; a block sends each bucket its distinct contexts with the symbol that follows and their number in training
+rows (0 if none), and the bucket, which sees all counts below its contexts, answers with a log-probability for each. A block
+finds its distinct contexts again from its texts, so answers carry no keys.
 
 Beside it stands a unigram word model over the same training rows: exact counts of every word, joined back by blocks of
 documents, so that each task gets only the counts of the words that its block holds.
@@ -33,13 +38,12 @@ DEPTH = 6
 LEAST_SHARE = 1e-6
 DIVERGENCE = 2.0
 DISCOUNT = 0.5
-MAX_STATES = 50_000
 #: Bytes of text in a block of documents whose words are looked up together.
 BLOCK_BYTES = 16 << 20
 #: Bytes of text whose contexts are sorted at once.
 SORT_BYTES = 2 << 20
-#: Distinct contexts that a task holds before it deals them out.
-HELD = 3_000_000
+#: Contexts, not yet merged, that a block holds beside those merged.
+HELD = 1_000_000
 END, SPACE = 10, 32
 #: Symbols: bytes but for white space, which becomes a space; line feed serves as the end mark.
 ALPHABET = 256 - 4
@@ -80,6 +84,15 @@ def context_keys(stream: np.ndarray, predicted: np.ndarray) -> np.ndarray:
     return (key << V.U(8)) | stream[at]
 
 
+def _packed_floats(x: np.ndarray) -> bytes:
+    return _ZSTD.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+
+def _unpacked_floats(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(_ZSTD.decompress(data, 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.float32).ravel()
+
+
 def run_counts(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with their number or summed weights."""
     if not len(keys):
@@ -109,43 +122,54 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(back[0], dtype=V.U), back[1].astype(np.int64)
 
 
-def _count_contexts(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def dealt() -> Iterator[pa.RecordBatch]:
-            keys, counts = run_counts(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            # three nearest symbols decide the bucket, so suffixes of three symbols and more meet
-            to = (V.mixed(keys >> V.U(8 * (DEPTH - 2))) % V.U(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            ends = np.searchsorted(to[order], np.arange(buckets + 1))
-            rows = [(b, pack(keys[order[lo:hi]], counts[order[lo:hi]])) for b, (lo, hi) in enumerate(zip(ends, ends[1:])) if hi > lo]
-            top = ((keys >> V.U(8 * (DEPTH - 1))) << V.U(8)) | (keys & V.U(255))
-            rows.append((-1, pack(*run_counts(top, counts))))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
-            held.clear()
+def merged(parts: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts, sorted, with summed counts; at most so many keys wait beside those merged, or as many as these."""
+    held, waiting = [(np.zeros(0, V.U), np.zeros(0, np.int64))], 0
+    for part in parts:
+        held.append(part)
+        waiting += len(part[0])
+        if waiting > max(most, len(held[0][0])):
+            held, waiting = [run_counts(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))], 0
+    return run_counts(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
 
-        for batch in batches:
-            for _, _, data, offsets in V.chunks(batch.column(0), SORT_BYTES):
-                stream, predicted, _ = symbols(data, offsets)
-                held.append(run_counts(context_keys(stream, predicted)))
-                if sum(len(k) for k, _ in held[1:]) > HELD // 3:
-                    held[:] = [run_counts(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-                    if len(held[0][0]) > HELD:
-                        yield from dealt()
-        if held:
-            yield from dealt()
+
+def block_keys(texts: pa.ChunkedArray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct contexts of a block with the next symbol, and their number in training rows."""
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo, hi, data, offsets in V.chunks(texts, SORT_BYTES):
+            stream, predicted, begin = symbols(data, offsets)
+            keys, own = context_keys(stream, predicted), np.repeat(train[lo:hi], np.diff(begin) - DEPTH)
+            yield run_counts(keys[own])
+            rest = run_counts(keys[~own])[0]
+            yield rest, np.zeros(len(rest), np.int64)
+
+    return merged(parts(), HELD)
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of sorted keys by bucket, then key, and where each bucket begins in it."""
+    # three nearest symbols decide the bucket, so suffixes of three symbols and more meet
+    to = (V.mixed(keys >> V.U(8 * (DEPTH - 2))) % V.U(buckets)).astype(np.int16)
+    order = np.argsort(to, kind="stable")
+    return order, np.searchsorted(to[order], np.arange(buckets + 1))
+
+
+def _count_contexts(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        keys, counts = block_keys(group.column("text"), group.column("train").to_numpy())
+        order, ends = by_bucket(keys, buckets)
+        rows = [(b, pack(keys[order[lo:hi]], counts[order[lo:hi]])) for b, (lo, hi) in enumerate(zip(ends, ends[1:])) if hi > lo]
+        top = ((keys >> V.U(8 * (DEPTH - 1))) << V.U(8)) | (keys & V.U(255))
+        rows.append((-1, pack(*run_counts(top, counts))))
+        block = pa.array(np.full(len(rows), group.column("block")[0].as_py(), np.int32))
+        return pa.table([block, pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "bucket", "blob"])
 
     return run
 
 
 def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for blob in group.column("blob").to_pylist():
-        held.append(unpack(blob))
-        if sum(len(k) for k, _ in held[1:]) > 4_000_000:
-            held = [run_counts(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
-    return run_counts(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+    return merged((unpack(blob.as_py()) for blob in group.column("blob")), 4_000_000)
 
 
 def _sum_short(group: pa.Table) -> pa.Table:
@@ -158,29 +182,68 @@ def at_depth(keys: np.ndarray, counts: np.ndarray, depth: int, of: int) -> tuple
     return run_counts(((keys >> V.U(8 * (of - depth + 1))) << V.U(8)) | (keys & V.U(255)), counts)
 
 
-def grow(keys, counts, low_keys, low_p, low: int, high: int, least: float):
-    """States of depth low+1 .. high below given smoothed probabilities at depth low: (depth, context, gain, nexts, counts)."""
+def grow(keys, counts, low_keys, low_p, low: int, high: int, least: float, *, listed: bool = True):
+    """Given smoothed probabilities at depth low: the states of depth low+1 .. high, if listed, as (depth, context, gain, nexts,
+    counts), and the keys at depth high with their smoothed probabilities. Keys of count 0 are no evidence but get theirs."""
     found = []
     of = DEPTH if high == DEPTH else high
     for depth in range(low + 1, high + 1):
         k, c = at_depth(keys, counts, depth, of)
         context = k >> V.U(8)
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        kinds = np.diff(np.append(first, len(k)))
+        size = np.diff(np.append(first, len(k)))
+        seen = c > 0
+        kinds = np.add.reduceat(seen.astype(np.int64), first)
         total = np.add.reduceat(c, first)
-        row = np.repeat(np.arange(len(first)), kinds)
+        row = np.repeat(np.arange(len(first)), size)
         parent = ((context >> V.U(8)) << V.U(8)) | (k & V.U(255))
         p = low_p[np.searchsorted(low_keys, parent)]
-        gain = np.add.reduceat(c * np.log(c / total[row] / p), first)
+        gain = np.add.reduceat(c * np.log(np.where(seen, c / np.maximum(total, 1)[row] / p, 1.0)), first)
         keep = (total >= least) & (gain >= DIVERGENCE * kinds)
-        smooth = (c - DISCOUNT + DISCOUNT * kinds[row] * p) / total[row]
-        for i in np.flatnonzero(keep):
-            part = slice(first[i], first[i] + kinds[i])
+        smooth = (c - DISCOUNT * seen + DISCOUNT * kinds[row] * p) / np.maximum(total, 1)[row]
+        for i in np.flatnonzero(keep) if listed else ():
+            part = first[i] + np.flatnonzero(seen[first[i] : first[i] + size[i]])
             found.append((depth, int(context[first[i]]), float(gain[i]), (k[part] & V.U(255)).astype(np.uint8).tobytes(), c[part].tobytes()))
         low_keys, low_p = k, np.where(keep[row], smooth, p)
     return found, low_keys, low_p
 
 
+def _answers(low_keys: np.ndarray, low_p: np.ndarray, least: float):
+    """For each block the log-probabilities of what it asks of a bucket, in the order of its keys."""
+
+    def run(group: pa.Table) -> pa.Table:
+        _, keys, p = grow(*_merged(group), low_keys, low_p, 2, DEPTH, least, listed=False)
+        logp = np.log10(p).astype(np.float32)
+        out = []
+        for blob in group.column("blob"):
+            part = logp[np.searchsorted(keys, unpack(blob.as_py())[0])]
+            out.append(_packed_floats(part))
+        n = pa.array([int(np.frombuffer(x.as_py()[:8], np.int64)[0]) for x in group.column("blob")], pa.int64())
+        return pa.table([group.column("block"), group.column("bucket"), n, pa.array(out, pa.binary())], names=["block", "bucket", "n", "logp"])
+
+    return run
+
+
+def tree_scores(texts: pa.ChunkedArray, train: np.ndarray, answers: pa.Table, buckets: int) -> np.ndarray:
+    """Sums of log10 probabilities by text, from the answers of the buckets to this block."""
+    keys, _ = block_keys(texts, train)
+    order, ends = by_bucket(keys, buckets)
+    logp = np.full(len(keys), np.nan, np.float32)
+    for bucket, n, data in zip(*(answers.column(c).to_pylist() for c in ("bucket", "n", "logp"))):
+        logp[order[ends[bucket] : ends[bucket + 1]]] = _unpacked_floats(data, n)
+    if np.isnan(logp).any():
+        raise ValueError("a block's contexts differ from those it asked for: was the input changed meanwhile?")
+    out = [np.zeros(0)]
+    for _, _, data, offsets in V.chunks(texts, SORT_BYTES):
+        stream, predicted, begin = symbols(data, offsets)
+        asked = context_keys(stream, predicted)
+        by_key = np.argsort(asked)  # sorted keys are found faster
+        flat = np.empty(len(asked))
+        flat[by_key] = logp[np.searchsorted(keys, asked[by_key])]
+        out.append(np.add.reduceat(flat, begin[:-1] - DEPTH * np.arange(len(begin) - 1)))
+    return np.concatenate(out)
+
+
 def root_probabilities(counts: np.ndarray) -> np.ndarray:
     p = (counts + 0.5) / (counts.sum() + 0.5 * ALPHABET)
     p[[9, 11, 12, 13]] = 0.0
@@ -188,7 +251,8 @@ def root_probabilities(counts: np.ndarray) -> np.ndarray:
 
 
 class Automaton:
-    """Longest-suffix automaton: for each node and symbol class, the log10 probability and the next node."""
+    """Longest-suffix automaton of a small tree, for each node and symbol class the log10 probability and the next node: the plain
+    form of what the buckets answer."""
 
     def __init__(self, states: list[tuple[int, int, float, bytes, bytes]], root: np.ndarray):
         # contexts arrive nearest symbol first; in the trie the oldest comes first
@@ -314,39 +378,32 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ends = int(about[1])
     tokens, kinds = int(tokens) + ends, int(kinds) + (ends > 0)
 
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_blocks_of(batch.column(0), edges)), *batch.columns], names=["block", *batch.schema.names])
+
+    left = rows.mapInArrow(blocked, "block int, doc_id bigint, train boolean, text string")
     buckets = int(min(4096, max(32, about[0] // (64 << 20))))
-    blobs = materialise(rows.where("train").select("text").mapInArrow(_count_contexts(buckets), "bucket int, blob binary"), "contexts")
+    blobs = materialise(left.select("block", "train", "text").groupBy("block").applyInArrow(_count_contexts(buckets), "block int, bucket int, blob binary"), "contexts")
     short = blobs.where("bucket < 0").groupBy("bucket").applyInArrow(_sum_short, "key bigint, n bigint").toPandas()  # at most 2**24 rows
     keys, counts = run_counts(short["key"].to_numpy(np.int64).view(V.U), short["n"].to_numpy(np.int64))
     root_counts = np.bincount((keys & V.U(255)).astype(np.int64), counts, minlength=256)
     root = root_probabilities(root_counts)
     least = max(2.0, LEAST_SHARE * root_counts.sum())
-    states: list = []
+    low_keys, low_p = keys, np.zeros(0)
     if len(keys):
-        root_keys = np.flatnonzero(root_counts).astype(V.U)
-        states, low_keys, low_p = grow(keys, counts, root_keys, root[root_keys.astype(np.int64)], 0, 2, least)
-
-        def deep(group: pa.Table) -> pa.Table:
-            found, _, _ = grow(*_merged(group), low_keys, low_p, 2, DEPTH, least)
-            cols = list(zip(*found)) if found else [[]] * 5
-            return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary()))], names=["depth", "context", "gain", "nexts", "counts"])
-
-        grown = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(deep, "depth int, context bigint, gain double, nexts binary, counts binary")
-        top = grown.orderBy(F.desc("gain"), "depth", "context").limit(MAX_STATES)
-        states += [(r["depth"], r["context"], r["gain"], bytes(r["nexts"]), bytes(r["counts"])) for r in top.collect()]
-    automaton = spark.sparkContext.broadcast(Automaton(states, root))  # at most MAX_STATES * DEPTH nodes
-
-    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_blocks_of(batch.column(0), edges)), *batch.columns], names=["block", *batch.schema.names])
+        _, low_keys, low_p = grow(keys, counts, np.arange(256, dtype=V.U), root, 0, 2, least, listed=False)
+    answers = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(_answers(low_keys, low_p, least), "block int, bucket int, n bigint, logp binary")
 
     log_total = np.log10(tokens + 0.1 * (kinds + 1))
 
     def block_scores(texts: pa.Table, known: pa.Table) -> pa.Table:
+        answered = known.filter(pc.is_valid(known.column("logp")))
+        known = known.filter(pc.is_valid(known.column("word")))
         words_ = known.column("word").to_numpy().view(V.U)
         order = np.argsort(words_)
         words_, n = words_[order], known.column("n").to_numpy()[order]
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], []]
         for _, _, data, offsets in V.chunks(texts.column("text")):
             hashes, first = V.word_hashes(data, offsets)
             c = n[np.searchsorted(words_, hashes)] if len(hashes) else np.zeros(0, np.int64)
@@ -355,16 +412,16 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             out[0].append(size)
             out[1].append(np.bincount(row, c > 0, minlength=len(size)).astype(np.int64) + (ends > 0))
             out[2].append(np.bincount(row, np.log10(c + 0.1), minlength=len(size)) + np.log10(ends + 0.1) - size * log_total)
-            out[3].append(automaton.value.score(*symbols(data, offsets)))
+        trees = tree_scores(texts.column("text"), texts.column("train").to_numpy(), answered, buckets)
         cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
         return pa.table(
-            [texts.column("doc_id"), pc.invert(texts.column("train")), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(np.full(len(cols[0]), tokens)), pa.array(cols[2]), pa.array(cols[3])],
+            [texts.column("doc_id"), pc.invert(texts.column("train")), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(np.full(len(cols[0]), tokens)), pa.array(cols[2]), pa.array(trees)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    left = rows.mapInArrow(blocked, "block int, doc_id bigint, train boolean, text string").groupBy("block")
-    right = counted.select("block", "word", "n").groupBy("block")
-    return left.cogroup(right).applyInArrow(block_scores, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    nothing = lambda c, t: F.lit(None).cast(t).alias(c)
+    right = counted.select("block", "word", "n", nothing("bucket", "int"), nothing("logp", "binary")).unionByName(answers.withColumn("word", nothing("word", "bigint")))
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(block_scores, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
