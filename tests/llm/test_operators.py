@@ -183,6 +183,14 @@ def test_suffix_tree_keeps_every_state(spark, documents, sentence):
         assert got[rows[at][0]] == pytest.approx(want, rel=1e-4), at
 
 
+def test_suffix_tree_does_not_forget_in_a_large_corpus(spark, documents):
+    """A context that is learned in a small corpus is still a state when much other text stands beside it."""
+    rare = [(i, "zqx jvk " * 2, "a") for i in range(4)]
+    other = [(100 + i, "abc abd " * 10_000, "a") for i in range(150)]
+    small, large = ({r.doc_id: r.score for r in suffix_tree.score_texts(documents(rows), train=F.lit(True)).collect()} for rows in (rare, rare + other))
+    assert large[0] == pytest.approx(small[0], abs=8) and large[0] > -16
+
+
 def test_decontamination(spark, documents, sentence):
     items = [(i, sentence(1000 + i, 8 + 3 * i)) for i in range(10)] + [(20, "two words"), (21, ""), (22, None)]
     clean = [(i, sentence(i, 400), "a") for i in range(20)]

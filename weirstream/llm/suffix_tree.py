@@ -1,8 +1,8 @@
 """Operator 3: language-model scoring by a probabilistic suffix tree over the symbols of a text.
 
 Symbols are the bytes of the lower-cased words, a space between words and an end mark. From the training rows every context
-of up to DEPTH symbols is counted with what follows it. A context is retained as a state if it makes up at least LEAST_SHARE
-of all contexts and its next-symbol distribution diverges from that of its longest retained suffix by at least DIVERGENCE
+of up to DEPTH symbols is counted with what follows it. A context is retained as a state if it occurs at least LEAST_COUNT
+times and its next-symbol distribution diverges from that of its longest retained suffix by at least DIVERGENCE
 nats for each distinct symbol that follows. Distributions are smoothed by absolute discounting towards the suffix. Each symbol
 is scored at the longest suffix of what precedes it that is a state; score is the sum of log10 probabilities, a proper
 distribution over sequences of words.
@@ -35,7 +35,8 @@ from . import vectext as V
 from .common import materialise, small_batches, table
 
 DEPTH = 6
-LEAST_SHARE = 1e-6
+#: Occurrences that a context needs at any size of the corpus; the divergence test guards what is significant.
+LEAST_COUNT = 2
 DIVERGENCE = 2.0
 DISCOUNT = 0.5
 #: Bytes of text in a block of documents whose words are looked up together.
@@ -208,11 +209,11 @@ def grow(keys, counts, low_keys, low_p, low: int, high: int, least: float, *, li
     return found, low_keys, low_p
 
 
-def _answers(low_keys: np.ndarray, low_p: np.ndarray, least: float):
+def _answers(low_keys: np.ndarray, low_p: np.ndarray):
     """For each block the log-probabilities of what it asks of a bucket, in the order of its keys."""
 
     def run(group: pa.Table) -> pa.Table:
-        _, keys, p = grow(*_merged(group), low_keys, low_p, 2, DEPTH, least, listed=False)
+        _, keys, p = grow(*_merged(group), low_keys, low_p, 2, DEPTH, LEAST_COUNT, listed=False)
         logp = np.log10(p).astype(np.float32)
         out = []
         for blob in group.column("blob"):
@@ -389,11 +390,10 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     keys, counts = run_counts(short["key"].to_numpy(np.int64).view(V.U), short["n"].to_numpy(np.int64))
     root_counts = np.bincount((keys & V.U(255)).astype(np.int64), counts, minlength=256)
     root = root_probabilities(root_counts)
-    least = max(2.0, LEAST_SHARE * root_counts.sum())
     low_keys, low_p = keys, np.zeros(0)
     if len(keys):
-        _, low_keys, low_p = grow(keys, counts, np.arange(256, dtype=V.U), root, 0, 2, least, listed=False)
-    answers = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(_answers(low_keys, low_p, least), "block int, bucket int, n bigint, logp binary")
+        _, low_keys, low_p = grow(keys, counts, np.arange(256, dtype=V.U), root, 0, 2, LEAST_COUNT, listed=False)
+    answers = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(_answers(low_keys, low_p), "block int, bucket int, n bigint, logp binary")
 
     log_total = np.log10(tokens + 0.1 * (kinds + 1))
 
