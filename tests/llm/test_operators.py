@@ -318,6 +318,15 @@ def test_pii_terms(documents):
     assert got[0] == "The agent <TERM>, one met <EMAIL> near one hill" and got[200] == "Only <TERM> here" and got[100] == rows[6][1]
 
 
+def test_pii_terms_of_entities_seen_once(documents):
+    """An entity of one or two contexts discloses too, and terms may hold digits or be short; common words stay."""
+    common = "plain words of the hill say mail Ng or at near the agent who met them today " * 4
+    rows = [(1, "say mail Quistel or unit7b at ann@x.org today", "s"), (2, "the agent Orlop met bob@x.org near Xq today", "s"), (3, "the agent Orlop or bob@x.org say words", "s")]
+    got = {r.doc_id: r.text for r in pii.sanitise(documents(rows + [(100 + i, common, "s") for i in range(60)])).collect()}
+    assert got[1] == "say mail <TERM> or <TERM> at <EMAIL> today" and got[2] == "the agent <TERM> met <EMAIL> near <TERM> today"
+    assert got[3] == "the agent <TERM> or <EMAIL> say words" and got[100] == common
+
+
 def labelled(spark, documents, sentence):
     bad = ["grumblot", "vexnard", "slimewort"]
     rows, labels = [], []

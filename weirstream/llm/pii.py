@@ -3,9 +3,10 @@
 Protected entities are the values of base spans (e-mail addresses, IP addresses, card and phone numbers). Words within
 REACH code points of an entity's mentions co-occur with it. With n_ct distinct contexts that hold entity c and term t, n_c
 contexts of c, n_t occurrences of t in the whole corpus and N words in all, t discloses c by PMI(c; t) / IC(c) =
-log(n_ct * N / (n_c * n_t)) / log(N / n_c): 1 if t is seen nowhere but next to c. Terms at or above THRESHOLD that at least
-SUPPORT distinct contexts show are replaced like the entities themselves, wherever they stand. Equal contexts count once, so
-copies of one passage are one piece of evidence.
+log(p(c|t) / p(c)) / -log p(c), where p(c) = n_c / N and p(c|t) is the lower bound of n_ct / n_t (Wilson's, ERRORS standard
+errors): near 1 if t is seen nowhere but next to c. The bound tempers low counts, so a frequent word near an entity by chance
+does not pass, and an entity that is mentioned once has terms like any other. Terms at or above THRESHOLD are replaced like the entities themselves, wherever they stand. Equal contexts
+count once, so copies of one passage are one piece of evidence. Any word with a letter or digit can be a term.
 
 The base patterns are the contract's, made safe for very long runs by possessive repeats and by starting only at the begin
 of a run (or where the last match ended), which finds the same matches.
@@ -31,7 +32,7 @@ PATTERNS = {
 }
 #: What a text needs for a kind to be searched.
 NEEDS = {"email": "@", "phone": "+"}
-REACH, SUPPORT, THRESHOLD = 80, 3, 0.8
+REACH, ERRORS, THRESHOLD = 80, 1.64, 0.8
 BROADCAST_TERMS = 100_000
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 _EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
@@ -95,10 +96,10 @@ def base_spans(text: Column) -> Column:
 
 def _terms(window: Column) -> Column:
     words = F.transform(F.split(lower_az(window), SPACE), lambda w: F.regexp_replace(w, _EDGES, ""))
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike("[0-9@]")))
+    return F.array_distinct(F.filter(words, lambda w: w != ""))
 
 
-def disclosing_terms(marked: DataFrame, text: str, spans: str, *, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def disclosing_terms(marked: DataFrame, text: str, spans: str, *, errors: float = ERRORS, threshold: float = THRESHOLD) -> DataFrame:
     """(term, disclosure): the terms whose disclosure of some entity reaches the threshold; read from all texts."""
     mentions = marked.where(F.size(spans) > 0).select(F.col(text).alias("t"), F.explode(spans).alias("s"))
     start, end = F.col("s.start").cast("int"), F.col("s.end").cast("int")
@@ -111,18 +112,25 @@ def disclosing_terms(marked: DataFrame, text: str, spans: str, *, support: int =
         F.xxhash64("s.kind", F.lower("s.value")).alias("entity"), F.xxhash64(left, right).alias("context"), _terms(F.concat(left, F.lit(" "), right)).alias("terms")
     ).distinct()
     near = materialise(near, "mentions")
-    entities = near.groupBy("entity").agg(F.countDistinct("context").alias("n_c")).where(F.col("n_c") >= support)
+    entities = near.groupBy("entity").agg(F.countDistinct("context").alias("n_c"))
     pairs = near.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.countDistinct("context").alias("n_ct"))
-    pairs = materialise(pairs.where(F.col("n_ct") >= support).join(entities, "entity"), "pairs")
+    pairs = materialise(pairs.join(entities, "entity"), "pairs")
     if pairs.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("disclosure"))
     wanted = materialise(pairs.select("term").distinct(), "terms")
-    side = F.broadcast(wanted) if bounded(wanted, BROADCAST_TERMS) else wanted
     words = marked.select(F.explode_outer(F.transform(F.split(lower_az(F.col(text)), SPACE), lambda w: F.regexp_replace(w, _EDGES, ""))).alias("term")).where("term <> ''")
-    counted = words.join(side, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = F.count("*").alias("n_t")
+    if bounded(wanted, BROADCAST_TERMS):
+        counted = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(n_t)
+    else:  # counts are shuffled, not words
+        counted = words.groupBy("term").agg(n_t).join(wanted, "term", "left_semi")
     total = marked.agg(F.sum(F.regexp_count(F.col(text), F.lit(WORD)))).first()[0] or 0
-    n = F.lit(float(max(total, 2)))
-    ratio = F.log(F.col("n_ct") * n / (F.col("n_c") * F.greatest("n_t", "n_ct"))) / F.log(n / F.col("n_c"))
+    rate = F.col("n_c") / F.lit(float(max(total, 2)))
+    n_t, square = F.greatest("n_t", "n_ct").cast("double"), errors**2
+    seen = F.col("n_ct") / n_t
+    sure = (seen + square / (2 * n_t) - errors * F.sqrt(seen * (1 - seen) / n_t + square / (4 * n_t * n_t))) / (1 + square / n_t)
+    # an entity as common as all words together has no information to disclose
+    ratio = F.when(rate < 1, F.log(sure / rate) / -F.log(rate))
     joined = pairs.join(counted, "term").select("term", ratio.alias("disclosure")).where(F.col("disclosure") >= threshold)
     return materialise(joined.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosing")
 
