@@ -359,6 +359,23 @@ def test_toxicity_restores(spark, documents, sentence):
     assert model.score(pa.array(["", None, "x" * 300_000]), restorer).max() < 0.3
 
 
+def test_toxicity_restores_whatever_stands_around(spark, documents, sentence):
+    """Leet at the end of a word, behind punctuation, in words of any length, and runs of accented letters."""
+    counts = toxicity._grams_of_words(["stupid", "idiot", "garbage", "ass", "hate", "stew"] * 50)
+    restorer = toxicity.Restorer(toxicity.trigram_model(counts, counts))
+    for written, word in {"idio7": "idiot", "garbag3": "garbage", "a$$": "ass", "h473": "hate", '"stup1d",': "stupid", "(stup1d)": "stupid", "stu" + "u" * 60 + "pid": "stupid", '"s t u p i d"': "stupid"}.items():
+        text = f"we say {written} here"
+        _, _, data, offsets = next(V.chunks(pa.array(["no", text])))
+        data, offsets = toxicity.restore_all(data, offsets, restorer)
+        got = data.tobytes().decode()
+        assert got.replace('"', "") == f"nowe say {word} here" and offsets[-1] == len(data), written
+    for text in ("cafééé", "ÉéÉ", "gr€ed"):
+        _, _, data, offsets = next(V.chunks(pa.array([text])))
+        assert len(toxicity.disguised_rows(data, offsets)) == 1 and toxicity.DISGUISED.search(text), text
+    long = "g4rbage" * 6000
+    assert len(restorer.restored(long)) == len(long) and restorer.restored("plain words! yes") == "plain words! yes"
+
+
 def test_toxicity_without_labels(spark, documents):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     got = toxicity.scored(documents([(1, "a", "s"), (2, None, "s")]), none).collect()

@@ -50,13 +50,18 @@ LETTERS = 28  # a to z, a word's edge, any other character
 _L = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _X = re.escape("0123456789@$!|+(€")
 _S = re.escape(SEPARATORS)
-#: Disguised words: a leet character before or among letters; single letters apart; a letter three times.
+_T = _X.replace("!", "")
+_OPEN = r"\s\"“”„«‹(\[{<"
+#: Disguised words, of any length: a leet character beside a letter (but marks of exclamation at the end); single letters apart;
+#: a letter three times.
 DISGUISED = re.compile(
-    rf"(?<!\S)(?=\S{{2,40}}(?!\S))(?:[{_X}]*[{_L}]+[{_X}]+[{_L}]\S*|[{_X}]+[{_L}]+[{_X}]*[{_L}]\S*|[{_X}][{_L}][{_X}]\S*)"
-    rf"|(?<!\S)[{_L}{_X}](?:[{_S}]{{1,3}}[{_L}{_X}]){{2,30}}(?![{_L}{_X}])"
-    rf"|(?<!\S)[{_L}{_X}](?:[\x20\t]{{1,3}}[{_L}{_X}]){{3,30}}(?!\S)"
-    rf"|(?<!\S)(?=\S{{3,60}}(?!\S))[{_L}{_X}]*?([{_L}])\1\1\S*"
+    rf"(?<!\S)(?=\S*?(?:[{_X}][{_L}]|[{_L}]!*[{_T}]))\S+"
+    rf"|(?<![^{_OPEN}])[{_L}{_X}](?:[{_S}]{{1,3}}[{_L}{_X}]){{2,}}(?![{_L}{_X}])"
+    rf"|(?<![^{_OPEN}])[{_L}{_X}](?:[\x20\t]{{1,3}}[{_L}{_X}]){{3,}}(?![{_L}{_X}])"
+    rf"|(?<!\S)(?=\S*?(?i:([{_L}])\1\1))\S+"
 )
+_LONG_RUN = re.compile(rf"(?i:([{_L}])\1\1\1+)")
+_AROUND = re.compile(rf"^[^{_L}{_X}]+|[^{_L}{_X}]+$")
 _CLASS = np.full(256, LETTERS - 1, np.uint8)
 _CLASS[list(range(97, 123))] = np.arange(26)
 _CLASS[list(range(65, 91))] = np.arange(26)
@@ -95,7 +100,12 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
-        self.restore = lru_cache(maxsize=100_000)(self._restore)
+        self._cached = lru_cache(maxsize=100_000)(self._restore)
+
+    def restore(self, written: str) -> str:
+        """The likeliest word; punctuation around it is dropped, and what a letter's run holds beyond three."""
+        bare = _LONG_RUN.sub(lambda m: m.group(0)[:3], _AROUND.sub("", written))
+        return self._cached(bare) if len(bare) <= 64 else self._restore(bare)
 
     @staticmethod
     def lattice(written: str) -> list[list[tuple[str, float]]]:
@@ -106,7 +116,9 @@ class Restorer:
             if ch in LEET:
                 some = [(x, -0.7) for x in LEET[ch]]
                 if ch in "!|(+" and (i == len(plain) - 1 or not plain[i + 1 :].strip("!|(+.,;:?)")):
-                    some = [("", -0.1)]
+                    some = [("", -0.1), *(some if ch != "!" else ())]
+                elif not i and ch in "!|(+":
+                    some.append(("", -0.1))
                 elif i and plain[i - 1] == ch:
                     some.append(("", -1.0))
                 out.append(some)
@@ -125,10 +137,11 @@ class Restorer:
     def _restore(self, written: str) -> str:
         edge, other = 26, LETTERS - 1
         model = self.model
-        states: dict[tuple[int, int], tuple[float, str]] = {(edge, edge): (0.0, "")}
+        # the letters chosen so far as a chain (before, letter), shared by paths, so a long word costs its length
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(edge, edge): (0.0, None)}
         for options in self.lattice(written):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (x, y), (score, text) in states.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (x, y), (score, chain) in states.items():
                 for letter, cost in options:
                     if letter:
                         z = ord(letter) - 97 if "a" <= letter <= "z" else other
@@ -136,10 +149,14 @@ class Restorer:
                     else:
                         state, value = (x, y), score + cost - 2.0
                     if state not in after or after[state][0] < value:
-                        after[state] = (value, text + letter)
+                        after[state] = (value, (chain, letter) if letter else chain)
             states = after
-        best = max(((score + model[x][y][edge], text) for (x, y), (score, text) in states.items()))
-        return best[1]
+        chain = max(((score + model[x][y][edge], x, y, chain) for (x, y), (score, chain) in states.items()), key=lambda s: s[:3])[3]
+        letters = []
+        while chain:
+            chain, letter = chain
+            letters.append(letter)
+        return "".join(reversed(letters))
 
     def restored(self, text: str) -> str:
         """The text with disguised words restored; the others stand as they are."""
@@ -304,7 +321,14 @@ def disguised_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(data) < 3:
         return np.zeros(0, np.int64)
     letter, leet = _IS_LETTER[data], _IS_LEET[data]
-    found = [np.flatnonzero(leet[:-1] & letter[1:])]
+    mark = data == ord("!")
+    found = [np.flatnonzero(leet[:-1] & letter[1:]), np.flatnonzero((letter | mark)[:-1] & (leet & ~mark)[1:])]
+    found.append(np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x82) & (data[2:] == 0xAC)))  # the euro sign
+    if len(data) > 5:  # letters of two bytes, whose cases differ by one bit of the second
+        second = data | 0x20
+        alike = (data[:-2] == 0xC3) & (data[2:] == 0xC3)
+        alike[:-1] &= second[1:-2] == second[3:]
+        found.append(np.flatnonzero(alike[:-3] & alike[2:-1]))
     found.append(np.flatnonzero(letter[2:] & (V.LOWERED[data[2:]] == V.LOWERED[data[1:-1]]) & (V.LOWERED[data[1:-1]] == V.LOWERED[data[:-2]])))
     word = letter | leet
     alone = word.copy()
