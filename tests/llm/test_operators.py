@@ -434,3 +434,11 @@ def test_link_graph(spark):
     rows = [(1, "http://bad.net/", ""), (2, "http://farm.io/", link("bad.net", "bad.net")), (3, "http://good.org/fr/", link("friend.io", "mixed.io")), (4, "http://friend.io/", ""), (5, "http://far.io/", link("farm.io")), (6, "http://mixed.io/", link("bad.net", "good.org", "farm.io", "friend.io"))]
     got = {r.host: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got == {"bad.net": "block", "farm.io": "block", "good.org": "allow", "friend.io": "allow", "far.io": "block", "mixed.io": "block"}
+
+
+def test_host_scores_converge(spark):
+    """On a cycle the scores reach their fixed point, which takes more than 20 rounds."""
+    judged = spark.createDataFrame([("a.io", "allow"), ("b.io", None)], "host string, verdict string")
+    edges = spark.createDataFrame([("a.io", "b.io"), ("b.io", "a.io")], "src string, dst string")
+    got = {r.host: r.trust for r in url_filter.host_scores(judged, edges, tolerance=5e-3).collect()}
+    assert got["a.io"] == pytest.approx(1 / (1 - 0.85**2), abs=0.03) and got["b.io"] == pytest.approx(0.85 / (1 - 0.85**2), abs=0.03)

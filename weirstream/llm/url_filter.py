@@ -14,6 +14,8 @@ repeated results; empty tables give no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +44,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def host_scores(judged: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
+def host_scores(judged: DataFrame, edges: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """(host, trust, distrust): personalised PageRank in units of a seed's own start; a seed that nothing else reaches has 1.
 
     judged: (host, verdict) of pages; edges: distinct (src, dst). Each round is one join and one pre-aggregated sum over both
-    directions, written to the shared folder; rounds stop early when no score moves by more than the tolerance.
+    directions, written to the shared folder; rounds go on until no score moves by more than the tolerance. A round shrinks the
+    sum of all moves by the damping, which bounds the number of rounds; beyond it this raises.
     """
     share = lambda v: F.avg(F.when(F.col("verdict") == v, 1.0).otherwise(0.0))
     hosts = judged.groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")).where("host <> ''")
@@ -62,8 +65,9 @@ def host_scores(judged: DataFrame, edges: DataFrame, *, damping: float = 0.85, r
     degree = both.groupBy("kind", "src").agg(F.count("*").alias("degree"))
     flow = materialise(both.join(degree, ["kind", "src"]), "flow")
     ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    if flow.isEmpty():
-        rounds = 0  # nothing flows: the scores are the seeds
+    n_seeds = seeds.count()
+    # if nothing flows, the scores are the seeds
+    rounds = 0 if flow.isEmpty() or not n_seeds else 2 + math.ceil(math.log(tolerance / n_seeds) / math.log(damping))
     for _ in range(rounds):
         moved = flow.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select(
             "kind", F.col("dst").alias("host"), (F.col("rank") * damping / F.col("degree")).alias("part"), F.lit(0.0).alias("was")
@@ -78,6 +82,9 @@ def host_scores(judged: DataFrame, edges: DataFrame, *, damping: float = 0.85, r
         ranks = new.where("rank > 0").select("kind", "host", "rank")
         if change <= tolerance:
             break
+    else:
+        if rounds:
+            raise RuntimeError(f"host scores still move by {change} after {rounds} rounds")
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
     return ranks.groupBy("host").agg(of("trust"), of("distrust"))
 
