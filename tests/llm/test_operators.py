@@ -442,3 +442,15 @@ def test_host_scores_converge(spark):
     edges = spark.createDataFrame([("a.io", "b.io"), ("b.io", "a.io")], "src string, dst string")
     got = {r.host: r.trust for r in url_filter.host_scores(judged, edges, tolerance=5e-3).collect()}
     assert got["a.io"] == pytest.approx(1 / (1 - 0.85**2), abs=0.03) and got["b.io"] == pytest.approx(0.85 / (1 - 0.85**2), abs=0.03)
+
+
+def test_subspace_pairs_at_the_edge_of_the_radius_meet():
+    """A vector visits the cell of another whose block distance is within share + SLACK, however far the pivots are apart."""
+    pivots = np.zeros((2, 16))
+    pivots[1, 0] = 1.0
+    y = np.zeros((2, 64))
+    y[0, 0], y[1, 0] = 0.5 - 0.1583, 0.50001
+    assert (y[1, 0] - y[0, 0]) ** 2 < 0.1 * 16 / 64 + subspace_join.SLACK
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array((y @ subspace_join.rotation(64).T).tolist())], names=["vec_id", "unit"])
+    placed = [r for b in subspace_join._place(64, 0.1, [pivots] * 4)([batch]) for r in b.to_pylist() if r["block"] == 0]
+    assert (0, 1) in {(r["vec_id"], r["cell"]) for r in placed} and {r["cell"] for r in placed if r["vec_id"] == 1 and r["home"]} == {1}

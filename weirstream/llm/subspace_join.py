@@ -85,7 +85,7 @@ def _place(dim: int, budget: float, pivots: list[np.ndarray]):
                 for b in range(len(pivots)):
                     own = y[:, bounds[b] : bounds[b + 1]]
                     coords = np.ascontiguousarray(own.astype(np.float32)).view(np.uint8).reshape(len(ids), -1)
-                    radius = np.sqrt(budget * own.shape[1] / dim)
+                    radius = np.sqrt(budget * own.shape[1] / dim + SLACK)  # the one that pairs are found within
                     for at, home, near in cells(own, pivots[b], radius):
                         row, cell = np.nonzero(near)
                         data = np.ascontiguousarray(coords[at + row]).ravel()
