@@ -34,11 +34,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write a table in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,3 +66,25 @@ def unit_hash(key: Column, seed: int) -> Column:
     """A double in [0, 1) from 52 bits of an MD5 of seed and key; the same in any engine."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+
+
+#: Words (of 64 bits) of a bitmap of hashes: 128 kB, whatever the size of the table.
+BITMAP_WORDS = 1 << 14
+
+
+def bitmap_of(hashes: DataFrame) -> Column:
+    """A constant array of BITMAP_WORDS numbers with a bit set for each hash of a table (h); at most so many rows are gathered.
+
+    It lets every hash of the table through and, while the table has up to some hundred thousand rows, few others.
+    """
+    bits = hashes.select(F.expr(f"CAST(pmod(h, {64 * BITMAP_WORDS}) div 64 AS INT)").alias("w"), F.expr("shiftleft(1L, CAST(pmod(h, 64) AS INT))").alias("b"))
+    words = [0] * BITMAP_WORDS
+    for r in bits.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        words[r["w"]] = r["b"]
+    # one literal, which the optimiser turns into a constant array
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+
+def in_bitmap(bitmap: Column, h: Column) -> Column:
+    word = F.shiftright(F.pmod(h, F.lit(64 * BITMAP_WORDS)), 6).cast("int")
+    return F.getbit(F.get(bitmap, word), F.pmod(h, F.lit(64)).cast("int")) == 1
