@@ -6,7 +6,8 @@ rate = target / size of its source.
 
 Defined cases: a null or empty text has size 0; a null source is a source of its own, ordered last; a source of size 0 has
 target 0 and its documents rate 0; repeated rows draw the same number, as their doc_id is the same; an empty table gives
-no rows; extra columns are kept by :func:`take` unless they clash with the names it adds, which are prefixed ``mix_``.
+no rows; extra columns are kept. The columns that :func:`take` adds are named ``mix_...``; if a column of the input begins so,
+they are named ``mix__...``, or with as many underscores as it takes, and :func:`emit` returns the input's columns as they are.
 """
 
 from __future__ import annotations
@@ -49,6 +50,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), max_rat
     )
 
 
+def free_prefix(columns: Sequence[str]) -> str:
+    """``mix_``, with more underscores while a column begins so."""
+    prefix = "mix_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def take(
     docs: DataFrame,
     *,
@@ -60,27 +69,29 @@ def take(
     seed: int = 20,
 ) -> DataFrame:
     """All rows of docs with mix_size, mix_source_size, mix_target and mix_copies (how often the mix takes the row)."""
-    sized = docs.withColumn("mix_size", F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("bigint"))
-    sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("mix_size").alias("source_size"))
+    p = free_prefix(docs.columns)
+    sized = docs.withColumn(f"{p}size", F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(WORD)).cast("bigint"))
+    sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum(f"{p}size").alias("source_size"))
     targets = materialise(source_targets(materialise(sizes, "mix-sizes"), weights, max_rate), "mix-targets").select(
-        F.col("source").alias("mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")
+        F.col("source").alias(f"{p}key"), F.col("source_size").alias(f"{p}source_size"), F.col("target").alias(f"{p}target")
     )
     if bounded(targets, BROADCAST_SOURCES):
-        joined = sized.join(F.broadcast(targets), sized[source_col].eqNullSafe(targets["mix_key"]))
+        joined = sized.join(F.broadcast(targets), sized[source_col].eqNullSafe(targets[f"{p}key"]))
     else:
-        salted = sized.withColumn("mix_salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
-        spread = targets.withColumn("mix_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on = salted[source_col].eqNullSafe(spread["mix_key"]) & (salted["mix_salt"] == spread["mix_salt2"])
-        joined = salted.join(spread, on).drop("mix_salt", "mix_salt2")
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
+        salted = sized.withColumn(f"{p}salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
+        spread = targets.withColumn(f"{p}salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = salted[source_col].eqNullSafe(spread[f"{p}key"]) & (salted[f"{p}salt"] == spread[f"{p}salt2"])
+        joined = salted.join(spread, on).drop(f"{p}salt", f"{p}salt2")
+    rate = F.when(F.col(f"{p}source_size") > 0, F.col(f"{p}target") / F.col(f"{p}source_size")).otherwise(F.lit(0.0))
     extra = (unit_hash(F.col(id_col), seed) < rate - F.floor(rate)).cast("int")
-    return joined.withColumn("mix_copies", (F.floor(rate) + extra).cast("int")).drop("mix_key")
+    return joined.withColumn(f"{p}copies", (F.floor(rate) + extra).cast("int")).drop(f"{p}key")
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of docs mix_copies times (at most ceil(max_rate)), columns as in docs."""
-    taken = take(docs, **options).where(F.col("mix_copies") > 0)
-    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    copies = free_prefix(docs.columns) + "copies"
+    taken = take(docs, **options).where(F.col(copies) > 0)
+    return taken.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
