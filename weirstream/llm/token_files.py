@@ -11,8 +11,9 @@ folder, and a table of (file, place, doc_id), which Spark commits, names the fil
 writes another file; files that no committed row names are ignored.
 
 Defined cases: a null or empty text is a document without tokens; tokens after the last separator form a last document; an
-empty file has none; repeated rows are documents of their own; empty tables give no rows; extra columns are ignored; the
-identifier cannot arise from a text, as special tokens are encoded as ordinary text.
+empty file has none; a file whose size is no multiple of the identifiers' width is refused, as it is torn; a null doc_id is
+kept; repeated rows are documents of their own; empty tables give no rows; extra columns are ignored; the identifier cannot
+arise from a text, as special tokens are encoded as ordinary text.
 """
 
 from __future__ import annotations
@@ -44,16 +45,20 @@ def open_folder(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
-def _encoder(vocabulary: str):
+def _encoder(vocabulary: bytes):
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}", end: int = END_OF_TEXT, dtype: str = "<u2") -> DataFrame:
-    """Tokenise docs into flat files below folder; returns the committed table (file, place, doc_id)."""
+    """Tokenise docs into flat files below folder; returns the committed table (file, place, doc_id).
+
+    The vocabulary file (below a megabyte) is read by the driver and sent to the executors, which need not have it.
+    """
+    with open(vocabulary, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = None
@@ -63,7 +68,7 @@ def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", t
         try:
             for batch in batches:
                 if encoding is None:
-                    encoding, out = _encoder(vocabulary), fs.open_output_stream(f"{root}/{name}")
+                    encoding, out = _encoder(ranks.value), fs.open_output_stream(f"{root}/{name}")
                 for text in batch.column(1):
                     ids = encoding.encode_ordinary(text.as_py() or "")
                     out.write(np.array([*ids, end], dtype=dtype).tobytes())
@@ -85,8 +90,10 @@ def scan_token_files(files: DataFrame, folder: str, *, end: int = END_OF_TEXT, d
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_folder(folder)
         for batch in batches:
-            found = [fs.get_file_info(f"{root}/{x}").size // width for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["file", "tokens"])
+            found = [fs.get_file_info(f"{root}/{x}").size for x in batch.column(0).to_pylist()]
+            if torn := [x for x, n in zip(batch.column(0).to_pylist(), found) if n % width]:
+                raise ValueError(f"size is no multiple of {width} bytes: {torn}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n // width for n in found], pa.int64())], names=["file", "tokens"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_folder(folder)
