@@ -8,8 +8,9 @@ A host is a seed if at least half of its pages fall under allow (block) rules. L
 on their own host and are no edges; self-links are none either.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, matches no rule and is allowed; null html has
-no links; hosts without links or seeds in reach are allowed; repeated rows give
-repeated results; empty tables give no rows; extra columns are ignored.
+no links; html of any length is searched whole, and hosts and white space in it may have any length; hosts without links or
+seeds in reach are allowed; repeated rows give repeated results and add no links, but count for what part of a host's pages
+fall under rules; a null page_id is kept; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from .common import LOWER, UPPER, materialise, table
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: A link's host: after // of an href value.
-LINK = r"(?i)href\s{0,8}=\s{0,8}[\"']?(?:https?:)?//([^/?#\"'\s>]{1,255})"
+LINK = r"(?i)href\s*+=\s*+[\"']?(?:https?:)?//([^/?#\"'\s>]++)"
+#: Parts that the links of a host are dealt in, by their other end.
+PARTS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -62,20 +65,23 @@ def host_scores(judged: DataFrame, edges: DataFrame, *, damping: float = 0.85, t
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"))
     )
-    degree = both.groupBy("kind", "src").agg(F.count("*").alias("degree"))
-    flow = materialise(both.join(degree, ["kind", "src"]), "flow")
+    flow = materialise(both.withColumn("part", F.pmod(F.xxhash64("dst"), F.lit(PARTS)).cast("int")), "flow")
+    # a host with very many links is met in parts: (kind, src, part) has a row for each part that holds links, and no more rows than links
+    parts = flow.groupBy("kind", "src", "part").agg(F.count("*").alias("n"))
+    degree = parts.groupBy("kind", "src").agg(F.sum("n").alias("degree"))
+    parts = materialise(parts.select("kind", "src", "part").join(degree, ["kind", "src"]), "parts")
     ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
     n_seeds = seeds.count()
     # if nothing flows, the scores are the seeds
     rounds = 0 if flow.isEmpty() or not n_seeds else 2 + math.ceil(math.log(tolerance / n_seeds) / math.log(damping))
     for _ in range(rounds):
-        moved = flow.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (F.col("rank") * damping / F.col("degree")).alias("part"), F.lit(0.0).alias("was")
-        )
-        start = seeds.select("kind", "host", F.col("seed").alias("part"), F.lit(0.0).alias("was"))
-        old = ranks.select("kind", "host", F.lit(0.0).alias("part"), F.col("rank").alias("was"))
+        given = parts.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"])
+        given = given.select("kind", "src", "part", (F.col("rank") * damping / F.col("degree")).alias("share"))
+        moved = flow.join(given, ["kind", "src", "part"]).select("kind", F.col("dst").alias("host"), F.col("share").alias("gain"), F.lit(0.0).alias("was"))
+        start = seeds.select("kind", "host", F.col("seed").alias("gain"), F.lit(0.0).alias("was"))
+        old = ranks.select("kind", "host", F.lit(0.0).alias("gain"), F.col("rank").alias("was"))
         new = materialise(
-            moved.unionByName(start).unionByName(old).groupBy("kind", "host").agg(F.sum("part").alias("rank"), F.sum("was").alias("was")),
+            moved.unionByName(start).unionByName(old).groupBy("kind", "host").agg(F.sum("gain").alias("rank"), F.sum("was").alias("was")),
             "ranks",
         )
         change = new.agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
