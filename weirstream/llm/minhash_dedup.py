@@ -31,6 +31,7 @@ from .components import component_ids
 SAMPLES, ROWS, BITS = 128, 4, 512
 LEAST_ESTIMATE = 0.5
 BLOCK = 256
+PARTNERS, PART_SHINGLES = 64, 1 << 18
 _rng = np.random.default_rng(7)
 _MULTIPLY = [V.U(x) for x in _rng.integers(1, 1 << 62, SAMPLES) * 2 + 1]
 _ADD = [V.U(x) for x in _rng.integers(0, 1 << 62, SAMPLES)]
@@ -143,11 +144,13 @@ def _confirm_star(group: pa.Table) -> pa.Table:
 
 
 def confirmed_stars(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (hub, doc_id), those similar on full sets, as edges (a, b).
+    """Of pairs (hub, doc_id, n_shingles), those similar on full sets, as edges (a, b).
 
-    A hub with many partners is dealt with in parts of some 200 partners, each with its own copy of the hub's set.
+    A hub with many partners is dealt with in parts of some PARTNERS partners or PART_SHINGLES shingles, whichever is less, each
+    with its own copy of the hub's set.
     """
-    parts = materialise(pairs.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(200)).cast("int").alias("parts")), "parts")
+    n_parts = F.ceil(F.greatest(F.count("*") / F.lit(PARTNERS), F.sum("n_shingles") / F.lit(PART_SHINGLES))).cast("int")
+    parts = materialise(pairs.groupBy("hub").agg(n_parts.alias("parts")), "parts")
     dealt = pairs.join(parts, "hub").select("doc_id", "hub", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
     # at most one hub a band for each document: the list is short
     asked = dealt.groupBy("doc_id").agg(F.collect_list(F.struct("hub", "part")).alias("asks"))
@@ -216,18 +219,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["k1", "k2", "n_shingles"]
     copies = materialise(full.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
-    folded = materialise(full.join(copies, same, "left").select("doc_id", "first", "bands", "sketch"), "folded")
+    folded = materialise(full.join(copies, same, "left").select("doc_id", "first", "n_shingles", "bands", "sketch"), "folded")
     equal = folded.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
     lone = folded.where("first IS NULL OR doc_id = first")
 
     banded = lone.select("doc_id", F.explode("bands").alias("bkey"))
     buckets = materialise(banded.groupBy("bkey").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub <> last").drop("last"), "buckets")
     members = materialise(banded.join(buckets, "bkey").select("bkey", "hub", "doc_id"), "members")
-    sketches = lone.select("doc_id", "sketch")
+    sketches = lone.select("doc_id", "n_shingles", "sketch")
     of_hub = sketches.select(F.col("doc_id").alias("hub"), F.col("sketch").alias("hub_sketch"))
     stars = members.where("doc_id <> hub").select("hub", "doc_id").distinct()
     near = stars.join(sketches, "doc_id").join(of_hub, "hub").where(_bits_apart("sketch", "hub_sketch") <= MOST_BITS)
-    pairs = materialise(near.select("hub", "doc_id"), "pairs")
+    pairs = materialise(near.select("hub", "doc_id", "n_shingles"), "pairs")
     edges = materialise(confirmed_stars(texts, pairs), "edges")
     found = component_ids(edges)
 
