@@ -1,17 +1,20 @@
 """Operator 8: toxicity after noisy-channel deobfuscation.
 
-Words that look disguised (leetspeak characters among letters, letters spaced or dotted apart, runs of a letter) become
-lattices: each written character can stand for some letters or for nothing, at a cost. Viterbi decoding picks the restored
-word that a character trigram model makes likeliest. The model mixes trigrams counted over all texts with trigrams of the
-words that mark toxic rows. Restored texts are scored by a logistic regression over character 4- and 5-grams.
+Words that look disguised (leetspeak characters among letters, letters spaced or dotted apart, runs of a letter, a star in
+place of a letter) become lattices: each written character can stand for some letters or for nothing, at a cost. Viterbi
+decoding picks the restored word that a character trigram model makes likeliest. The model mixes trigrams counted over all
+texts with trigrams of the words that mark toxic rows. Before that, full-width letters, invisible joints and letters of other
+scripts inside Latin words are made plain. Restored texts are scored by a logistic regression over character 4- and 5-grams.
 
-Training: n-gram document frequencies by label come from all training rows; n-grams that are surely commoner in toxic rows
-are features (at most MAX_FEATURES by the margin of their log-odds); weights are fitted on at most MAX_FIT training rows,
-those of lowest hash. Labels, lang, source and doc_id are never inputs of a score.
+Training: n-gram document frequencies by label come from all training rows; all n-grams (by hash, of 2**BUCKET_BITS buckets)
+that are surely commoner in toxic rows are features; weights are fitted on at most MAX_FIT training rows, those of lowest
+hash, with at most MAX_FIT of the marking words as short examples. Labels, lang, source and doc_id are never inputs of a score.
 
 Defined cases: null and empty texts have no features and score the intercept; repeated rows score alike; labels for unknown
-documents and null labels are ignored; without training rows of both kinds the score is the prior (0.05 if there are none);
-empty tables give no rows; extra columns are ignored; a very long text is scanned whole.
+documents and null labels are ignored, and of several labels of a document the highest counts; without training rows of both
+kinds the score is the prior (0.05 if there are none); a null doc_id is kept and has no label; empty tables give no rows;
+extra columns are ignored; words and texts of any length are scanned whole. A run beyond three of a letter says no more than
+three.
 """
 
 from __future__ import annotations
@@ -35,27 +38,39 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e",
 }
 SEPARATORS = "._-*~'"
+VOWELS = "aeiou"
 NGRAMS = (4, 5)
 BUCKET_BITS = 22
-MAX_FEATURES = 20_000
 CHUNK = 4096
 #: Bytes of text handled at once; an n-gram takes some hundred bytes meanwhile.
 PIECE = 1 << 19
 MAX_FIT = 20_000
 LEAST_DOCS = 3
-LEAST_MARGIN, LEXICON_MARGIN, MAX_LEXICON = 0.7, 4.0, 2000
+LEAST_MARGIN, LEXICON_MARGIN = 0.7, 4.0
 #: Label tables up to this many rows (12 bytes each) are broadcast to the texts; larger ones are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
 LETTERS = 28  # a to z, a word's edge, any other character
+#: Letters of other scripts that look like Latin ones, for words that mix them with Latin letters.
+ALIKE = {
+    "а": "a", "в": "b", "е": "e", "и": "u", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
+    "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o",
+    "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y",
+}
+#: Characters that show nothing: soft hyphen, zero-width space and joiners, word joiner, byte order mark.
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+_ALIKE = {ord(k): v for k, v in ALIKE.items()} | {ord(k.upper()): v.upper() for k, v in ALIKE.items()}
+_PLAIN = {0xFF01 + i: chr(0x21 + i) for i in range(94)} | dict.fromkeys(map(ord, INVISIBLE))
+_OTHER = "".join(map(chr, _ALIKE))
+_MIXED = re.compile(rf"(?<!\S)(?=\S*?(?:[a-zA-Z][{_OTHER}]|[{_OTHER}][a-zA-Z]))\S+")
 _L = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _X = re.escape("0123456789@$!|+(€")
 _S = re.escape(SEPARATORS)
 _T = _X.replace("!", "")
 _OPEN = r"\s\"“”„«‹(\[{<"
-#: Disguised words, of any length: a leet character beside a letter (but marks of exclamation at the end); single letters apart;
-#: a letter three times.
+#: Disguised words, of any length: a leet character beside a letter (but marks of exclamation at the end), or a star between
+#: letters; single letters apart; a letter three times.
 DISGUISED = re.compile(
-    rf"(?<!\S)(?=\S*?(?:[{_X}][{_L}]|[{_L}]!*[{_T}]))\S+"
+    rf"(?<!\S)(?=\S*?(?:[{_X}][{_L}]|[{_L}]!*[{_T}]|[{_L}]\*{{1,3}}[{_L}]))\S+"
     rf"|(?<![^{_OPEN}])[{_L}{_X}](?:[{_S}]{{1,3}}[{_L}{_X}]){{2,}}(?![{_L}{_X}])"
     rf"|(?<![^{_OPEN}])[{_L}{_X}](?:[\x20\t]{{1,3}}[{_L}{_X}]){{3,}}(?![{_L}{_X}])"
     rf"|(?<!\S)(?=\S*?(?i:([{_L}])\1\1))\S+"
@@ -111,6 +126,8 @@ class Restorer:
     def lattice(written: str) -> list[list[tuple[str, float]]]:
         """For each written character the letters it may stand for, with log channel probabilities; '' deletes it."""
         plain = written.lower()
+        # a star hides a vowel if letters stand in a row beside it; in letters set apart it is a separator
+        stars = [plain[max(0, i - 2) : i].isalpha() and i > 1 or (plain[i + 1 : i + 3].isalpha() and len(plain) > i + 2) for i in range(len(plain))]
         out: list[list[tuple[str, float]]] = []
         for i, ch in enumerate(plain):
             if ch in LEET:
@@ -122,6 +139,8 @@ class Restorer:
                 elif i and plain[i - 1] == ch:
                     some.append(("", -1.0))
                 out.append(some)
+            elif ch == "*" and stars[i]:
+                out.append([(x, -1.2) for x in VOWELS] + [("", -1.0)])
             elif ch.isspace() or ch in SEPARATORS:
                 out.append([("", -0.1)])
             elif not ch.isalpha():
@@ -160,6 +179,7 @@ class Restorer:
 
     def restored(self, text: str) -> str:
         """The text with disguised words restored; the others stand as they are."""
+        text = _MIXED.sub(lambda m: m.group(0).translate(_ALIKE), text.translate(_PLAIN))
         return DISGUISED.sub(lambda m: self.restore(m.group(0)), text)
 
 
@@ -290,8 +310,16 @@ def _grams_of_words(words: list[str]) -> np.ndarray:
     return trigram_counts(np.frombuffer(("  " + "  ".join(words) + "  ").encode(), np.uint8))
 
 
+def _word_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(LETTERS**3, np.int64)
+    for batch in batches:
+        total += _grams_of_words(batch.column(0).to_pylist())
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["g", "n"])
+
+
 class Model:
-    """Features with weights, an intercept and a restorer; small (at most MAX_FEATURES weights, 28**3 trigrams)."""
+    """Features with weights, an intercept and a restorer; small (a weight for each of at most 2**BUCKET_BITS features, 28**3 trigrams)."""
 
     def __init__(self, features: np.ndarray, weights: np.ndarray, intercept: float, trigrams: np.ndarray):
         self.features, self.weights, self.intercept, self.trigrams = features, weights, intercept, trigrams
@@ -323,7 +351,9 @@ def disguised_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     letter, leet = _IS_LETTER[data], _IS_LEET[data]
     mark = data == ord("!")
     found = [np.flatnonzero(leet[:-1] & letter[1:]), np.flatnonzero((letter | mark)[:-1] & (leet & ~mark)[1:])]
-    found.append(np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x82) & (data[2:] == 0xAC)))  # the euro sign
+    if (data >= 0xC2).any():
+        found += _other_marks(data, letter)
+    found.append(np.flatnonzero(_STAR_BESIDE[data[:-1]] & letter[1:]))
     if len(data) > 5:  # letters of two bytes, whose cases differ by one bit of the second
         second = data | 0x20
         alike = (data[:-2] == 0xC3) & (data[2:] == 0xC3)
@@ -340,6 +370,23 @@ def disguised_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.searchsorted(offsets, np.concatenate(found), side="right") - 1)
 
 
+_STAR_BESIDE = np.zeros(256, bool)
+_STAR_BESIDE[ord("*")] = True
+_ASCII_LETTER = _IS_LETTER & (np.arange(256) < 128)
+#: First bytes of Greek and Cyrillic letters.
+_FOREIGN = np.zeros(256, bool)
+_FOREIGN[[0xCE, 0xCF, 0xD0, 0xD1, 0xD2, 0xD4]] = True
+
+
+def _other_marks(data: np.ndarray, letter: np.ndarray) -> list[np.ndarray]:
+    """Places of the euro sign, invisible characters, full-width forms, and letters of other scripts beside Latin ones."""
+    a, b, c = data[:-2], data[1:-1], data[2:]
+    threes = ((a == 0xE2) & (b == 0x82) & (c == 0xAC)) | ((a == 0xE2) & (b == 0x80) & (c >= 0x8B) & (c <= 0x8D)) | ((a == 0xE2) & (b == 0x81) & (c == 0xA0))
+    threes |= (a == 0xEF) & ((b == 0xBC) | (b == 0xBD) | ((b == 0xBB) & (c == 0xBF)))
+    latin = _ASCII_LETTER[data]
+    return [np.flatnonzero(threes), np.flatnonzero((a == 0xC2) & (b == 0xAD)), np.flatnonzero(latin[:-1] & _FOREIGN[data[1:]]), np.flatnonzero(_FOREIGN[a] & latin[2:])]
+
+
 def restore_all(data: np.ndarray, offsets: np.ndarray, restorer: Restorer) -> tuple[np.ndarray, np.ndarray]:
     rows = disguised_rows(data, offsets)
     if not len(rows):
@@ -391,8 +438,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     hopeful = np.array(sorted(tuple(r) for r in marked.select("f", "toxic").collect()), np.int64).reshape(-1, 2)  # at most 2**BUCKET_BITS
     clean_n = clean_frequencies(pairs, hopeful[:, 0])
     sure = np.log((hopeful[:, 1] + 0.5) / (n1 + 1.0)) - np.log((clean_n + 0.5) / (n0 + 1.0)) - 1.64 * np.sqrt(1 / (hopeful[:, 1] + 0.5) + 1 / (clean_n + 0.5))
-    best = np.lexsort((hopeful[:, 0], -sure))[:MAX_FEATURES]
-    features = np.sort(hopeful[best[sure[best] > LEAST_MARGIN], 0])
+    features = np.sort(hopeful[sure > LEAST_MARGIN, 0])
     share = min(1.0, max_fit / (n0 + n1))
     fit = rows.where(F.pmod(F.xxhash64("d_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "toxic")
     data = fit.mapInArrow(_feature_rows(features), "toxic int, fs array<int>").collect() if len(features) else []
@@ -405,8 +451,12 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         weights, intercept = fit_logistic(at, cols, y, len(features))
     # words that mark toxic rows make the lexicon of the character model, and short examples: each alone is toxic enough
     counted = pairs.mapInArrow(_lexicon(features, weights), "word string, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    top = counted.where(margin("clean") > LEXICON_MARGIN).orderBy(F.desc("toxic"), "word").limit(MAX_LEXICON).collect()
-    lexicon = [r["word"] for r in top]
+    marking = materialise(counted.where(margin("clean") > LEXICON_MARGIN).select("word"), "lexicon")
+    # trigrams of all marking words are summed where these lie; at most 28**3 rows come
+    spoken = np.zeros(LETTERS**3, np.int64)
+    for r in marking.mapInArrow(_word_trigrams, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect():
+        spoken[r["g"]] = r["n"]
+    lexicon = [r["word"] for r in marking.orderBy(F.xxhash64("word"), "word").limit(max_fit).collect()]
     if lexicon and len(y) and y.min() != y.max():
         wanted, index = np.zeros(1 << BUCKET_BITS, bool), np.full(1 << BUCKET_BITS, -1, np.int64)
         wanted[features], index[features] = True, np.arange(len(features))
@@ -415,7 +465,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         more = np.unique(word * np.int64(len(features)) + index[bucket])
         rows_, cols_ = np.concatenate([at, len(y) + more // len(features)]), np.concatenate([cols, more % len(features)])
         weights, intercept = fit_logistic(rows_, cols_, np.concatenate([y, np.ones(len(lexicon))]), len(features))
-    return Model(features, weights, intercept, trigram_model(counts, _grams_of_words(lexicon)))
+    return Model(features, weights, intercept, trigram_model(counts, spoken))
 
 
 def _lexicon(features: np.ndarray, weights: np.ndarray):
@@ -432,7 +482,7 @@ def _lexicon(features: np.ndarray, weights: np.ndarray):
                 _, owner = ngram_buckets(data, offsets, strong)
                 for i in np.unique(owner).tolist():
                     text = data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")
-                    words = list({w.strip(".,!?;:#$%&*") for w in text.lower().split() if len(w) < 40} - {""})
+                    words = list({w.strip(".,!?;:#$%&*") for w in text.lower().split()} - {""})
                     if words:
                         _, _, bytes_, at = next(V.chunks(pa.array(words), 1 << 30))
                         for k in np.unique(ngram_buckets(bytes_, at, strong)[1]).tolist():
