@@ -1,19 +1,21 @@
 """Operator 9: embedding near-dedup by a subspace pigeonhole join.
 
-Unit vectors at cosine >= t are at squared distance <= 2 - 2t. Vectors are rotated (a fixed random rotation) and split into
-blocks of dimensions; each block gets a share of that budget in proportion to its dimensions, and in at least one block a
-pair keeps within its share. So a range join in each block, with radius the root of its share, finds every pair.
+Unit vectors at cosine >= t are at squared distance <= 2 - 2t. Vectors are rotated (a fixed random rotation, so that blocks
+spread alike) and split into blocks of dimensions; each block gets a share of that budget in proportion to its dimensions,
+and in at least one block a pair keeps within its share. So a range join in each block, with radius the root of its share,
+finds every pair.
 
 A block's range join partitions the subspace by pivots: a vector's home is the cell of its nearest pivot, and it visits the
 cells whose bounding hyperplane towards its home lies within the radius, so two vectors within the radius meet in the home
-cell of each. Cells with many vectors are dealt in parts. Within a part, candidates are found in the block's few dimensions;
-connected candidates form a group, its members fetch their whole vectors, and pairs are verified in double precision. Only
-members of groups, their link counts and one edge each are rows: pairs never are. A pair counts in the first block that
-finds it, at the home cell of the vector for which it counts.
-
-Defined cases: vectors that are null, zero, of a length other than the most common one, or hold null or non-finite numbers
-link with nothing; equal vectors are folded first and count each other; a null id is kept and links with nothing; repeated
-rows of a vec_id count once and get the same result; empty tables give no rows; extra columns are ignored.
+cell of each. Cells with very many vectors are dealt in parts. Within a part, candidates are found in the block's few
+dimensions by one product of single precision; connected candidates form a group, its members fetch their whole vectors, and
+pairs are verified in double precision. Only members of groups, their link counts and one edge each are rows: pairs never
+are. A pair counts in the first block that finds it, at the home cell of the vector for which it counts.
+
+Defined cases: vectors that are null, empty or zero, or hold null or non-finite numbers, link with nothing; vectors of
+different lengths link with none of each other, and those of each length are joined by themselves, whatever their number;
+equal vectors are folded first and count each other; a null id is kept and links with nothing; repeated rows of a vec_id
+count once and get the same result; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +31,14 @@ from .common import materialise, table
 from .components import component_ids
 
 BLOCKS = 4
-MAX_PIVOTS = 512
-VECTORS_A_PIVOT = 2048
-PART = 4096
-#: What float32 rounding of block coordinates can move a distance by, and more.
+#: Cells of a block: one for so many vectors, between these bounds. In evenly spread data a vector visits a third or so of the
+#: cells, so more cells cost more rows and save little.
+MIN_PIVOTS, MAX_PIVOTS, VECTORS_A_PIVOT = 16, 512, 4096
+#: Vectors of a part of a cell: some megabytes of block coordinates.
+PART = 1 << 15
+#: Products of a part held at once.
+TILE = 1 << 22
+#: What rounding to single precision can move a squared distance by, and more.
 SLACK = 1e-4
 
 
@@ -41,23 +47,29 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def unit_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows are usable, and those, normalised in double precision."""
-    flat, size = column.flatten(), np.diff(column.offsets.to_numpy())
-    lists = column.is_valid().to_numpy(zero_copy_only=False) & (size == dim)
+def bounds_of(dim: int, blocks: int) -> list[int]:
+    """Where the blocks begin and end; short vectors have a block for each dimension."""
+    blocks = min(blocks, dim)
+    return [round(i * dim / blocks) for i in range(blocks + 1)]
+
+
+def unit_rows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length, which rows are usable vectors, and these, normalised in double precision."""
+    flat, offsets = column.flatten(), column.offsets.to_numpy()
+    size, first = np.diff(offsets), offsets[:-1] - offsets[0]
     values = flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
-    first = column.offsets.to_numpy() - column.offsets[0].as_py()
-    x = values[first[:-1][lists][:, None] + np.arange(dim)] if lists.any() else np.zeros((0, dim))
-    top = np.abs(x).max(axis=1, initial=0)
-    fine = np.isfinite(x).all(axis=1) & (top > 0)
-    x = x[fine] / top[fine][:, None]
-    usable = lists.copy()
-    usable[np.flatnonzero(lists)[~fine]] = False
-    return usable, x / np.linalg.norm(x, axis=1)[:, None]
+    there = column.is_valid().to_numpy(zero_copy_only=False) & (size > 0)
+    for dim in np.unique(size[there]).tolist():
+        rows = np.flatnonzero(there & (size == dim))
+        x = values[first[rows][:, None] + np.arange(dim)]
+        top = np.abs(x).max(axis=1)
+        fine = np.isfinite(x).all(axis=1) & (top > 0)
+        x = x[fine] / top[fine][:, None]
+        yield rows[fine], x / np.linalg.norm(x, axis=1)[:, None]
 
 
 def cells(y: np.ndarray, pivots: np.ndarray, radius: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(vector, its home cell first, then the others it visits) in one block."""
+    """(first vector, home cells, visited cells) in one block, for some vectors at a time."""
     square = (pivots**2).sum(axis=1)
     gaps = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * pivots @ pivots.T, 0))  # at most MAX_PIVOTS squared
     for lo in range(0, len(y), 1024):
@@ -69,114 +81,115 @@ def cells(y: np.ndarray, pivots: np.ndarray, radius: float) -> Iterator[tuple[in
         yield lo, home, near
 
 
-def _bounds(dim: int, blocks: int) -> list[int]:
-    return [round(i * dim / blocks) for i in range(blocks + 1)]
-
-
-def _place(dim: int, budget: float, pivots: list[np.ndarray]):
-    turn, bounds = rotation(dim), _bounds(dim, len(pivots))
+def _place(budget: float, blocks: int, pivots: dict[int, np.ndarray]):
+    """A row for each block and cell that a vector visits; pivots, by length, are whole rotated vectors."""
+    turns = {dim: rotation(dim) for dim in pivots}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                y = np.array(part.column(1).to_pylist(), float).reshape(-1, dim) @ turn
-                for b in range(len(pivots)):
-                    own = y[:, bounds[b] : bounds[b + 1]]
-                    coords = np.ascontiguousarray(own.astype(np.float32)).view(np.uint8).reshape(len(ids), -1)
-                    radius = np.sqrt(budget * own.shape[1] / dim + SLACK)  # the one that pairs are found within
-                    for at, home, near in cells(own, pivots[b], radius):
-                        row, cell = np.nonzero(near)
-                        data = np.ascontiguousarray(coords[at + row]).ravel()
-                        offsets = (np.arange(len(row) + 1) * coords.shape[1]).astype(np.int32)
-                        packed = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(row), b, np.int32)), pa.array(cell.astype(np.int32)), pa.array(ids[at + row]), pa.array(home[row] == cell), packed],
-                            names=["block", "cell", "vec_id", "home", "coords"],
-                        )
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                every = part.column(0).to_numpy(zero_copy_only=False)
+                for rows, x in unit_rows(part.column(1)):
+                    ids, dim = every[rows], x.shape[1]
+                    y, bounds = x @ turns[dim], bounds_of(dim, blocks)
+                    for b in range(len(bounds) - 1):
+                        own = y[:, bounds[b] : bounds[b + 1]]
+                        coords = np.ascontiguousarray(own.astype(np.float32)).view(np.uint8).reshape(len(ids), -1)
+                        radius = np.sqrt(budget * own.shape[1] / dim + SLACK)  # the one that pairs are found within
+                        for lo, home, near in cells(own, pivots[dim][:, bounds[b] : bounds[b + 1]], radius):
+                            row, cell = np.nonzero(near)
+                            data = np.ascontiguousarray(coords[lo + row]).ravel()
+                            offsets = (np.arange(len(row) + 1) * coords.shape[1]).astype(np.int32)
+                            packed = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                            n = len(row)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(cell.astype(np.int32)), pa.array(ids[lo + row]), pa.array(home[row] == cell), packed],
+                                names=["dim", "block", "cell", "vec_id", "home", "coords"],
+                            )
 
     return run
 
 
-def _groups_in(dim: int, budget: float, blocks: int):
+class Groups:
+    """Disjoint sets of numbers below n; merging is vectorised by row."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def roots(self, i: np.ndarray) -> np.ndarray:
+        r = self.label[i]
+        while len(other := np.flatnonzero(self.label[r] != r)):
+            r[other] = self.label[r[other]]
+        self.label[i] = r
+        return r
+
+    def merge(self, i: int, mates: np.ndarray) -> None:
+        every = np.unique(np.append(self.roots(mates), self.roots(np.array([i]))))
+        self.label[every] = every[0]
+
+
+def _groups_in(budget: float, blocks: int):
     """Groups of connected candidates in a part of a cell: homes of chunk i against all vectors of chunk j."""
-    bounds = _bounds(dim, blocks)
 
     def run(group: pa.Table) -> pa.Table:
-        block = group.column("block")[0].as_py()
+        dim, block = group.column("dim")[0].as_py(), group.column("block")[0].as_py()
+        bounds = bounds_of(dim, blocks)
         share = budget * (bounds[block + 1] - bounds[block]) / dim + SLACK
         ids = group.column("vec_id").to_numpy()
-        x = np.frombuffer(b"".join(group.column("coords").to_pylist()), np.float32).reshape(len(ids), -1).astype(float)
+        x = np.frombuffer(b"".join(group.column("coords").to_pylist()), np.float32).reshape(len(ids), -1)
         asks = group.column("asks").to_numpy(zero_copy_only=False)
         a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-        label, square = np.arange(len(ids)), (x**2).sum(axis=1)
-        live = np.zeros(len(ids), bool)
-
-        def root(i: int) -> int:
-            while label[i] != i:
-                label[i] = label[label[i]]
-                i = label[i]
-            return i
-
-        for lo in range(0, len(a), 512):
-            rows = a[lo : lo + 512]
-            near = square[rows][:, None] + square[b][None] - 2 * x[rows] @ x[b].T <= share
-            near &= ids[rows][:, None] != ids[b][None]
-            for r in np.flatnonzero(near.any(axis=1)):
-                mates = b[near[r]]
-                live[rows[r]] = True
-                live[mates] = True
-                top = root(rows[r])
-                for m in mates[label[mates] != top]:
-                    label[root(m)] = top
+        # one product gives xy - |x|^2 / 2 - |y|^2 / 2, minus half the squared distance
+        half, one = (x**2).sum(axis=1, keepdims=True) / np.float32(2), np.ones((len(ids), 1), np.float32)
+        left, right = np.hstack([x, one, -half]), np.hstack([x, -half, one])[b].T.copy()
+        groups, live = Groups(len(ids)), np.zeros(len(ids), bool)
+        step = max(1, TILE // max(1, len(b)))
+        for lo in range(0, len(a), step):
+            rows = a[lo : lo + step]
+            hit = np.flatnonzero((left[rows] @ right).ravel() >= np.float32(-share / 2))
+            r, c = rows[hit // len(b)], b[hit % len(b)]
+            other = ids[r] != ids[c]
+            r, c = r[other], c[other]
+            live[r] = live[c] = True
+            for part in np.split(np.arange(len(r)), np.flatnonzero(np.diff(r)) + 1) if len(r) else ():
+                groups.merge(int(r[part[0]]), c[part])
         keep = np.flatnonzero(live)
-        kind = np.array([root(i) for i in keep], np.int64)
-        cols = [group.column(c).take(pa.array(keep)) for c in ("block", "cell", "i", "j", "vec_id", "asks")]
-        return pa.table([*cols, pa.array(kind)], names=["block", "cell", "i", "j", "vec_id", "asks", "kind"])
+        cols = [group.column(c).take(pa.array(keep)) for c in ("dim", "block", "cell", "i", "j", "vec_id", "asks")]
+        return pa.table([*cols, pa.array(groups.roots(keep).astype(np.int64))], names=["dim", "block", "cell", "i", "j", "vec_id", "asks", "kind"])
 
     return run
 
 
-def _verify(dim: int, budget: float, blocks: int, cosine: float):
+def _verify(budget: float, blocks: int, cosine: float):
     """(vec_id, n_links, low): links of the asking vectors that this block finds first, and an edge to the group's smallest id."""
-    turn, bounds = rotation(dim), _bounds(dim, blocks)
 
     def run(group: pa.Table) -> pa.Table:
-        block = group.column("block")[0].as_py()
+        dim, block = group.column("dim")[0].as_py(), group.column("block")[0].as_py()
+        bounds = bounds_of(dim, blocks)
         ids, copies = group.column("vec_id").to_numpy(), group.column("copies").to_numpy()
-        x = np.array(group.column("unit").to_pylist(), float).reshape(-1, dim)
-        y = x @ turn
+        x = group.column("unit").combine_chunks()
+        x = (pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy().reshape(-1, dim)
+        y = (x @ rotation(dim)).astype(np.float32).astype(float)
         asks = group.column("asks").to_numpy(zero_copy_only=False)
         a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-        links, low = np.zeros(len(a), np.int64), ids[a].copy()
-        label = {int(i): int(i) for i in ids}
-
-        def root(i: int) -> int:
-            while label[i] != i:
-                label[i] = label[label[i]]
-                i = label[i]
-            return i
-
-        for lo in range(0, len(a), 256):
-            rows = a[lo : lo + 256]
+        links = np.zeros(len(a), np.int64)
+        every, place = np.unique(ids, return_inverse=True)
+        groups = Groups(len(every))
+        step = max(1, TILE // 8 // max(1, len(b)))
+        for lo in range(0, len(a), step):
+            rows = a[lo : lo + step]
             linked = (x[rows] @ x[b].T >= cosine) & (ids[rows][:, None] != ids[b][None])
             for e in range(block + 1):
-                p, q = y[rows, bounds[e] : bounds[e + 1]].astype(np.float32).astype(float), y[b, bounds[e] : bounds[e + 1]].astype(np.float32).astype(float)
+                p, q = y[rows, bounds[e] : bounds[e + 1]], y[b, bounds[e] : bounds[e + 1]]
                 near = (p**2).sum(axis=1)[:, None] + (q**2).sum(axis=1)[None] - 2 * p @ q.T <= budget * p.shape[1] / dim + SLACK
                 linked &= near if e == block else ~near
-            links[lo : lo + 256] = linked @ copies[b]
+            links[lo : lo + step] = linked @ copies[b]
             for r in np.flatnonzero(linked.any(axis=1)):
-                top = root(int(ids[rows[r]]))
-                for m in b[linked[r]]:
-                    other = root(int(ids[m]))
-                    if other != top:
-                        top, other = min(top, other), max(top, other)
-                        label[other] = top
-        every = np.unique(ids)
-        tops = np.array([root(int(i)) for i in every], np.int64)
+                groups.merge(int(place[rows[r]]), place[b[linked[r]]])
         zero = np.zeros(len(every), np.int64)
-        return pa.table({"vec_id": np.concatenate([ids[a], every]), "n_links": np.concatenate([links, zero]), "low": np.concatenate([low, tops])})
+        tops = every[groups.roots(np.arange(len(every)))]
+        return pa.table({"vec_id": np.concatenate([ids[a], every]), "n_links": np.concatenate([links, zero]), "low": np.concatenate([ids[a], tops])})
 
     return run
 
@@ -184,17 +197,13 @@ def _verify(dim: int, budget: float, blocks: int, cosine: float):
 def linked_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, blocks: int = BLOCKS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors."""
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("raw"))
-    size = rows.where(F.size("raw") > 0).groupBy(F.size("raw").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim = size["dim"] if size else 1
     budget = 2 - 2 * cosine
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            usable, x = unit_rows(batch.column(1), dim)
-            lists = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * dim).astype(np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(usable)), lists], names=["vec_id", "unit"])
+            for at, x in unit_rows(batch.column(1)) if batch.num_rows else ():
+                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), lists], names=["vec_id", "unit"])
 
     once = rows.where("vec_id IS NOT NULL").mapInArrow(units, "vec_id bigint, unit array<double>")
     once = materialise(once, "units")
@@ -204,32 +213,31 @@ def linked_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: st
     several = folded.where("copies > 1").withColumnRenamed("unit", "same")
     twins = materialise(once.join(several, once["unit"] == several["same"]).select("vec_id", "first").distinct(), "twins")
     reps = folded.select(F.col("first").alias("vec_id"), "unit", "copies")
-    n = reps.count()
-    n_pivots = int(min(MAX_PIVOTS, max(1, n // VECTORS_A_PIVOT)))
-    some = np.array([r["unit"] for r in reps.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()], float).reshape(-1, dim) @ rotation(dim)
-    bounds = _bounds(dim, blocks)
-    pivots = [some[:, bounds[b] : bounds[b + 1]] for b in range(blocks)]
     none = rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not n:
+    pivots: dict[int, np.ndarray] = {}
+    for dim, n in reps.groupBy(F.size("unit")).count().collect():  # a row for each length
+        n_pivots = int(min(MAX_PIVOTS, max(MIN_PIVOTS, n // VECTORS_A_PIVOT)))
+        some = reps.where(F.size("unit") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()
+        pivots[dim] = np.array([r["unit"] for r in some], float).reshape(-1, dim) @ rotation(dim)
+    if not pivots:
         return none
-    placed = materialise(reps.select("vec_id", "unit").mapInArrow(_place(dim, budget, pivots), "block int, cell int, vec_id bigint, home boolean, coords binary"), "placed")
+    keys = ["dim", "block", "cell"]
+    placed = materialise(reps.select("vec_id", "unit").mapInArrow(_place(budget, blocks, pivots), "dim int, block int, cell int, vec_id bigint, home boolean, coords binary"), "placed")
     # homes are dealt in ni parts and all visitors in nj: a home row goes to each of the nj, a visitor's row to each of the ni
-    counts = placed.groupBy("block", "cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("m")).where("m > 0")
+    counts = placed.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("m")).where("m > 0")
     in_parts = lambda c: F.ceil(F.col(c) / F.lit(PART)).cast("int")
-    parts = F.broadcast(materialise(counts.select("block", "cell", in_parts("m").alias("ni"), in_parts("n").alias("nj")), "parts"))  # at most blocks * MAX_PIVOTS rows
-    dealt = placed.join(parts, ["block", "cell"])
+    parts = F.broadcast(materialise(counts.select(*keys, in_parts("m").alias("ni"), in_parts("n").alias("nj")), "parts"))  # at most blocks * MAX_PIVOTS rows a length
+    dealt = placed.join(parts, keys)
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["block", "cell", "vec_id", "coords"]
+    cols = [*keys, "vec_id", "coords"]
     asking = dealt.where("home").withColumn("j", every("nj")).select(*cols, own("ni").alias("i"), "j", F.lit(True).alias("asks"))
     asked = dealt.withColumn("i", every("ni")).select(*cols, "i", own("nj").alias("j"), F.lit(False).alias("asks"))
-    grouped = asking.unionByName(asked).groupBy("block", "cell", "i", "j").applyInArrow(
-        _groups_in(dim, budget, blocks), "block int, cell int, i int, j int, vec_id bigint, asks boolean, kind bigint"
+    grouped = asking.unionByName(asked).groupBy(*keys, "i", "j").applyInArrow(
+        _groups_in(budget, blocks), "dim int, block int, cell int, i int, j int, vec_id bigint, asks boolean, kind bigint"
     )
     grouped = materialise(grouped, "groups")
-    checked = grouped.join(reps, "vec_id").groupBy("block", "cell", "i", "j", "kind").applyInArrow(
-        _verify(dim, budget, blocks, cosine), "vec_id bigint, n_links bigint, low bigint"
-    )
+    checked = grouped.join(reps, "vec_id").groupBy(*keys, "i", "j", "kind").applyInArrow(_verify(budget, blocks, cosine), "vec_id bigint, n_links bigint, low bigint")
     checked = materialise(checked, "checked")
     edges = checked.where("low <> vec_id").select(F.col("low").alias("a"), F.col("vec_id").alias("b"))
     edges = edges.unionByName(twins.where("first <> vec_id").select(F.col("first").alias("a"), F.col("vec_id").alias("b")))
