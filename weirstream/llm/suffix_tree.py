@@ -7,28 +7,29 @@ nats for each distinct symbol that follows. Distributions are smoothed by absolu
 is scored at the longest suffix of what precedes it that is a state; score is the sum of log10 probabilities, a proper
 distribution over sequences of words.
 
-The tree is never gathered: it grows with the text and lies in buckets by the three nearest symbols of a context. Documents
-are dealt in blocks; a block sends each bucket its distinct contexts with the symbol that follows and their number in training
-rows (0 if none), and the bucket, which sees all counts below its contexts, answers with a log-probability for each. A block
-finds its distinct contexts again from its texts, so answers carry no keys.
+The tree is never gathered: it grows with the text and lies in buckets by the three nearest symbols of a context. Each part
+of the input is cut into blocks of so many bytes as it is read, whatever its ids; a block sends each bucket its distinct
+contexts with the symbol that follows and their number in training rows (0 if none), and the bucket, which sees all counts
+below its contexts, answers with a log-probability for each. Blocks are written with their texts, and a block finds its
+distinct contexts again from these, so answers carry no keys.
 
-Beside it stands a unigram word model over the same training rows: exact counts of every word, joined back by blocks of
-documents, so that each task gets only the counts of the words that its block holds.
+Beside it stands a unigram word model over the same training rows, by the same way: a block sends its distinct words to buckets
+by ranges of their hashes, and gets their exact counts back in order.
 
-Defined cases: null and empty texts are the end mark alone; a null doc_id counts as the empty string; repeated rows count
-and score each; without training rows the suffix tree is uniform and unigram counts are 0; empty tables give no rows; extra
+Defined cases: null and empty texts are the end mark alone; a null doc_id is kept (for the query's folds it counts as the
+empty string) and scored like others; repeated rows count and score each; without training rows the suffix tree is uniform and unigram counts are 0; empty tables give no rows; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import vectext as V
@@ -39,12 +40,12 @@ DEPTH = 6
 LEAST_COUNT = 2
 DIVERGENCE = 2.0
 DISCOUNT = 0.5
-#: Bytes of text in a block of documents whose words are looked up together.
-BLOCK_BYTES = 16 << 20
-#: Bytes of text whose contexts are sorted at once.
-SORT_BYTES = 2 << 20
+#: Bytes of text in a block of documents that is counted and looked up together.
+BLOCK_BYTES = 12 << 20
+#: Bytes of text that are turned into symbols at once, and contexts that are sorted at once.
+PIECE_BYTES, SORTED = 1 << 19, 2_000_000
 #: Contexts, not yet merged, that a block holds beside those merged.
-HELD = 1_000_000
+HELD = 3_000_000
 END, SPACE = 10, 32
 #: Symbols: bytes but for white space, which becomes a space; line feed serves as the end mark.
 ALPHABET = 256 - 4
@@ -54,35 +55,37 @@ _ZSTD = pa.Codec("zstd", compression_level=1)
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The symbol stream of some texts, each after DEPTH end marks, which parts are to be predicted, and each text's begin."""
     low = V.LOWERED[data]
-    starts, stops, first = V.word_bounds(low, offsets)
-    n_words = np.diff(first)
-    lengths = stops - starts
-    size = np.bincount(np.repeat(np.arange(len(n_words)), n_words), lengths + 1, minlength=len(n_words)).astype(np.int64)
-    size[n_words == 0] = 1
-    begin = np.concatenate([[0], np.cumsum(size + DEPTH)])
+    word = V.IS_WORD[low]
+    after = np.zeros(len(low), bool)  # whether the byte before, in the same text, is of a word
+    after[1:] = word[:-1]
+    after[offsets[:-1][offsets[:-1] < len(low)]] = False
+    # of white space, the first byte after a word stays: a space, or the end mark after the last word
+    kept = np.flatnonzero(word | after)
+    values = np.where(word[kept], low[kept], np.uint8(SPACE))
+    first = np.searchsorted(kept, offsets)
+    n = np.diff(first)
+    open_end = n == 0
+    open_end[n > 0] = word[kept[first[1:][n > 0] - 1]]
+    begin = np.concatenate([[0], np.cumsum(n + open_end + DEPTH)])
     out = np.full(begin[-1], END, np.uint8)
+    out[np.arange(len(kept)) + np.repeat(begin[:-1] + DEPTH - first[:-1], n)] = values
+    out[begin[1:] - 1] = END
     predicted = np.ones(begin[-1], bool)
     for k in range(DEPTH):
         predicted[begin[:-1] + k] = False
-    if len(starts):
-        before = np.cumsum(lengths + 1) - (lengths + 1)  # over all words
-        lag = np.repeat(begin[:-1] + DEPTH - np.append(before, before[-1] + lengths[-1] + 1)[first[:-1]], n_words)
-        place = before + lag
-        inside = np.flatnonzero(V.IS_WORD[low])
-        out[inside + np.repeat(place - starts, lengths)] = low[inside]
-        last = np.zeros(len(starts), bool)
-        last[first[1:][n_words > 0] - 1] = True
-        out[(place + lengths)[~last]] = SPACE
     return out, predicted, begin
 
 
 def context_keys(stream: np.ndarray, predicted: np.ndarray) -> np.ndarray:
     """For each predicted symbol its DEPTH predecessors, the nearest in the highest byte, and itself in the lowest."""
-    at = np.flatnonzero(predicted)
-    key = np.zeros(len(at), V.U)
-    for j in range(1, DEPTH + 1):
-        key = (key << V.U(8)) | stream[at - j]
-    return (key << V.U(8)) | stream[at]
+    if len(stream) <= DEPTH:
+        return np.zeros(0, V.U)
+    # eight bytes at every place, read as one little-endian number: the oldest of DEPTH symbols lowest, the next one above the nearest
+    padded = np.concatenate([stream, np.zeros(8, np.uint8)])
+    key = np.ndarray((len(stream) - DEPTH,), "<u8", padded, strides=(1,)) & V.U((1 << (8 * DEPTH)) - 1)
+    key <<= V.U(8)
+    key |= stream[DEPTH:]
+    return key[predicted[DEPTH:]]
 
 
 def _packed_floats(x: np.ndarray) -> bytes:
@@ -102,13 +105,23 @@ def run_counts(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.
         keys = np.sort(keys)
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         return keys[first], np.diff(np.append(first, len(keys)))
-    order = np.argsort(keys, kind="stable").astype(np.int32 if len(keys) < 1 << 31 else np.int64)
+    order = np.argsort(keys)
     keys, weights = keys[order], weights[order]
-    del order
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(weights, first)
 
 
+def flagged_counts(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct context keys, sorted, with the number of those that are marked: one sort, the mark in a bit that keys leave free."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    both = (keys << V.U(1)) | own.astype(V.U)
+    both.sort()
+    key = both >> V.U(1)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(both & V.U(1), first).view(np.int64)
+
+
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys as differences, and counts, byte plane by byte plane, compressed."""
     n = np.int64(len(keys)).tobytes()
@@ -124,58 +137,174 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merged(parts: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of all parts, sorted, with summed counts; at most so many keys wait beside those merged, or as many as these."""
+    """Distinct keys of all parts (sorted, distinct each), with summed counts; at most so many keys wait beside those merged,
+    or as many as these."""
+
+    def joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        if len(held) == 1:
+            return held[0]
+        every = np.sort(np.concatenate([k for k, _ in held]))
+        every = every[np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))] if len(every) else every
+        total = np.zeros(len(every), np.int64)
+        for k, c in held:
+            total[np.searchsorted(every, k)] += c
+        return every, total
+
     held, waiting = [(np.zeros(0, V.U), np.zeros(0, np.int64))], 0
     for part in parts:
         held.append(part)
         waiting += len(part[0])
         if waiting > max(most, len(held[0][0])):
-            held, waiting = [run_counts(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))], 0
-    return run_counts(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            held, waiting = [joined(held)], 0
+    return joined(held)
 
 
 def block_keys(texts: pa.ChunkedArray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct contexts of a block with the next symbol, and their number in training rows."""
 
     def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for lo, hi, data, offsets in V.chunks(texts, SORT_BYTES):
+        keys, own, size = [], [], 0
+        for lo, hi, data, offsets in V.chunks(texts, PIECE_BYTES):
             stream, predicted, begin = symbols(data, offsets)
-            keys, own = context_keys(stream, predicted), np.repeat(train[lo:hi], np.diff(begin) - DEPTH)
-            yield run_counts(keys[own])
-            rest = run_counts(keys[~own])[0]
-            yield rest, np.zeros(len(rest), np.int64)
+            keys.append(context_keys(stream, predicted))
+            own.append(np.repeat(train[lo:hi], np.diff(begin) - DEPTH))
+            size += len(keys[-1])
+            if size >= SORTED:
+                yield flagged_counts(np.concatenate(keys), np.concatenate(own))
+                keys, own, size = [], [], 0
+        if keys:
+            yield flagged_counts(np.concatenate(keys), np.concatenate(own))
 
     return merged(parts(), HELD)
 
 
+class Places:
+    """Finds where keys stand in an array of distinct ones, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.bits = keys, max(4, int(4 * len(keys)).bit_length())
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        left, step = np.arange(len(keys), dtype=np.int32), 0
+        while len(left):
+            slot = self._slot(keys[left], step)
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            left, step = left[self.table[slot] != left], step + 1
+
+    def _slot(self, keys: np.ndarray, step: int) -> np.ndarray:
+        return ((keys * V.U(0x9E3779B97F4A7C15) >> V.U(64 - self.bits)).astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def of(self, asked: np.ndarray) -> np.ndarray:
+        """The places of asked keys, all of which must be there."""
+        at = self.table[self._slot(asked, 0)]
+        wrong, step = np.flatnonzero(self.keys[at] != asked), 1
+        while len(wrong):
+            some = self.table[self._slot(asked[wrong], step)]
+            at[wrong] = some
+            wrong, step = wrong[self.keys[some] != asked[wrong]], step + 1
+        return at
+
+
 def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """An order of sorted keys by bucket, then key, and where each bucket begins in it."""
     # three nearest symbols decide the bucket, so suffixes of three symbols and more meet
-    to = (V.mixed(keys >> V.U(8 * (DEPTH - 2))) % V.U(buckets)).astype(np.int16)
+    to = (V.mixed(keys >> V.U(8 * (DEPTH - 2))) % V.U(buckets)).astype(np.int16 if buckets < 1 << 15 else np.int32)
     order = np.argsort(to, kind="stable")
     return order, np.searchsorted(to[order], np.arange(buckets + 1))
 
 
-def _count_contexts(buckets: int):
-    def run(group: pa.Table) -> pa.Table:
-        keys, counts = block_keys(group.column("text"), group.column("train").to_numpy())
+#: The kinds of rows of the first pass: texts with their block, packed context counts by bucket (-1: contexts of up to two
+#: symbols), and packed word counts by bucket.
+TEXT, CONTEXTS, WORDS = range(3)
+DEALT = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("text", pa.string()), ("bucket", pa.int32()), ("blob", pa.binary())])
+DEALT_SQL = "kind int, block bigint, doc_id bigint, train boolean, text string, bucket int, blob binary"
+
+
+def _dealt_rows(kind: int, block: int, size: int, **columns: pa.Array) -> pa.RecordBatch:
+    known = {"kind": pa.array(np.full(size, kind, np.int32)), "block": pa.array(np.full(size, block, np.int64)), **columns}
+    return pa.RecordBatch.from_arrays([known[f.name] if f.name in known else pa.nulls(size, f.type) for f in DEALT], schema=DEALT)
+
+
+def _packed_rows(kind: int, block: int, blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return _dealt_rows(kind, block, len(blobs), bucket=pa.array([b for b, _ in blobs], pa.int32()), blob=pa.array([x for _, x in blobs], pa.binary()))
+
+
+def word_ends(words: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket, a range of hashes, begins among sorted words, and their end."""
+    firsts = [V.U(-(-(b << 64) // buckets)) for b in range(1, buckets)]
+    return np.concatenate([[0], np.searchsorted(words, np.array(firsts, V.U)), [len(words)]])
+
+
+def _block_words(texts: pa.ChunkedArray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of a block and their number in training rows."""
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo, hi, data, offsets in V.chunks(texts, 8 * PIECE_BYTES):
+            hashes, first = V.word_hashes(data, offsets)
+            own = np.repeat(train[lo:hi], np.diff(first))
+            yield run_counts(hashes[own])
+            rest = run_counts(hashes[~own])[0]
+            yield rest, np.zeros(len(rest), np.int64)
+
+    return merged(parts(), HELD)
+
+
+def _deal(buckets: int):
+    """Deals the rows of a part into blocks of BLOCK_BYTES (one text may be longer) as they come, and counts each block."""
+
+    def counted(block: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = pa.chunked_array([b.column(2) for b in held])
+        train = np.concatenate([b.column(1).to_numpy(zero_copy_only=False) for b in held])
+        words, n = _block_words(texts, train)
+        ends = word_ends(words, buckets)
+        yield _packed_rows(WORDS, block, [(b, pack(words[lo:hi], n[lo:hi])) for b, (lo, hi) in enumerate(zip(ends, ends[1:])) if hi > lo])
+        del words, n
+        keys, counts = block_keys(texts, train)
         order, ends = by_bucket(keys, buckets)
-        rows = [(b, pack(keys[order[lo:hi]], counts[order[lo:hi]])) for b, (lo, hi) in enumerate(zip(ends, ends[1:])) if hi > lo]
+        blobs = [(b, pack(keys[order[lo:hi]], counts[order[lo:hi]])) for b, (lo, hi) in enumerate(zip(ends, ends[1:])) if hi > lo]
         top = ((keys >> V.U(8 * (DEPTH - 1))) << V.U(8)) | (keys & V.U(255))
-        rows.append((-1, pack(*run_counts(top, counts))))
-        block = pa.array(np.full(len(rows), group.column("block")[0].as_py(), np.int32))
-        return pa.table([block, pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "bucket", "blob"])
+        blobs.append((-1, pack(*run_counts(top, counts))))
+        yield _packed_rows(CONTEXTS, block, blobs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)) if batch.num_rows else np.zeros(0, np.int64)
+            lo = 0
+            while lo < batch.num_rows:
+                before = int(ends[lo - 1]) if lo else 0
+                hi = int(np.searchsorted(ends, before + BLOCK_BYTES - size, side="right"))
+                if hi == lo and held:  # the next text does not fit
+                    yield from counted(block, held)
+                    block, held, size = block + 1, [], 0
+                    continue
+                hi = max(hi, lo + 1)
+                part = batch.slice(lo, hi - lo)
+                yield _dealt_rows(TEXT, block, hi - lo, doc_id=part.column(0), train=part.column(1), text=part.column(2))
+                held.append(part)
+                size, lo = size + int(ends[hi - 1]) - before, hi
+        if held:
+            yield from counted(block, held)
 
     return run
 
 
 def _merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return merged((unpack(blob.as_py()) for blob in group.column("blob")), 4_000_000)
+    return merged((unpack(blob.as_py()) for blob in group.column("blob")), HELD)
+
 
+def _sum_blobs(group: pa.Table) -> pa.Table:
+    return pa.table([pa.array([0], pa.int32()), pa.array([pack(*_merged(group))], pa.binary())], names=["slot", "blob"])
 
-def _sum_short(group: pa.Table) -> pa.Table:
-    keys, counts = _merged(group)
-    return pa.table({"key": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
+
+def summed(blobs: DataFrame, n_blobs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of packed counts in two levels of about the root of their number, so that no task reads them all."""
+    slots = max(1, math.isqrt(n_blobs))
+    half = blobs.groupBy(F.pmod(F.xxhash64("block"), F.lit(slots)).alias("slot")).applyInArrow(_sum_blobs, "slot int, blob binary")
+    whole = half.groupBy("slot").applyInArrow(_sum_blobs, "slot int, blob binary").first()
+    return unpack(bytes(whole["blob"])) if whole else (np.zeros(0, V.U), np.zeros(0, np.int64))
 
 
 def at_depth(keys: np.ndarray, counts: np.ndarray, depth: int, of: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,6 +354,26 @@ def _answers(low_keys: np.ndarray, low_p: np.ndarray):
     return run
 
 
+def _packed_numbers(n: np.ndarray) -> bytes:
+    return _ZSTD.compress(n.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), asbytes=True)
+
+
+def _unpacked_numbers(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(_ZSTD.decompress(data, 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
+
+
+def _word_answers(group: pa.Table) -> pa.Table:
+    """For each block the counts of the words that it sent, in their order; and with block -1 the bucket's sum and kinds."""
+    words, total = _merged(group)
+    out = [(-1, 2, _packed_numbers(np.array([total.sum(), (total > 0).sum()])))]
+    for block, blob in zip(group.column("block").to_pylist(), group.column("blob")):
+        n = total[np.searchsorted(words, unpack(blob.as_py())[0])]
+        out.append((block, len(n), _packed_numbers(n)))
+    bucket = pa.array(np.full(len(out), group.column("bucket")[0].as_py(), np.int32))
+    return pa.table([pa.array([x[0] for x in out], pa.int64()), bucket, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["block", "bucket", "n", "counts"])
+
+
 def tree_scores(texts: pa.ChunkedArray, train: np.ndarray, answers: pa.Table, buckets: int) -> np.ndarray:
     """Sums of log10 probabilities by text, from the answers of the buckets to this block."""
     keys, _ = block_keys(texts, train)
@@ -233,14 +382,12 @@ def tree_scores(texts: pa.ChunkedArray, train: np.ndarray, answers: pa.Table, bu
     for bucket, n, data in zip(*(answers.column(c).to_pylist() for c in ("bucket", "n", "logp"))):
         logp[order[ends[bucket] : ends[bucket + 1]]] = _unpacked_floats(data, n)
     if np.isnan(logp).any():
-        raise ValueError("a block's contexts differ from those it asked for: was the input changed meanwhile?")
-    out = [np.zeros(0)]
-    for _, _, data, offsets in V.chunks(texts, SORT_BYTES):
+        raise ValueError("a block lacks answers to what it asked")
+    del order
+    places, out = Places(keys), [np.zeros(0)]
+    for _, _, data, offsets in V.chunks(texts, PIECE_BYTES):
         stream, predicted, begin = symbols(data, offsets)
-        asked = context_keys(stream, predicted)
-        by_key = np.argsort(asked)  # sorted keys are found faster
-        flat = np.empty(len(asked))
-        flat[by_key] = logp[np.searchsorted(keys, asked[by_key])]
+        flat = logp[places.of(context_keys(stream, predicted))].astype(float)
         out.append(np.add.reduceat(flat, begin[:-1] - DEPTH * np.arange(len(begin) - 1)))
     return np.concatenate(out)
 
@@ -322,89 +469,43 @@ class Automaton:
         return np.add.reduceat(flat, begin[:-1])
 
 
-def _blocks_of(ids: pa.Array, edges: np.ndarray) -> np.ndarray:
-    return np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
-
-
-def _words_of(edges: np.ndarray):
-    """(word, block, train): the distinct words of each block with their number in training rows, summed over a part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, parts in held.items():
-                words, n = run_counts(np.concatenate([w for w, _ in parts]), np.concatenate([c for _, c in parts]))
-                for i in range(0, len(words), 1 << 17):
-                    w = words[i : i + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), block, np.int32)), pa.array(n[i : i + (1 << 17)])], names=["word", "block", "train"])
-            held.clear()
-
-        for batch in batches:
-            blocks, train = _blocks_of(batch.column(0), edges), batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in V.chunks(batch.column(2), 4 << 20):
-                hashes, first = V.word_hashes(data, offsets)
-                row = np.repeat(np.arange(lo, hi), np.diff(first))
-                for block in np.unique(blocks[lo:hi]).tolist():
-                    own = blocks[row] == block
-                    part = run_counts(hashes[own], train[row[own]].astype(np.int64))
-                    held.setdefault(block, []).append(part)
-                    size += len(part[0])
-                if size > 5_000_000:
-                    yield from flush()
-                    size = 0
-        yield from flush()
-
-    return run
-
-
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train=None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); train: a column, true for training rows."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), train.alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    about = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.col("train").cast("int")), F.lit(0))).first()
-    n_blocks = max(1, -(-about[0] // BLOCK_BYTES))
-    edges = np.zeros(0, np.int64)
-    if n_blocks > 1:
-        shares = [F.lit(i / n_blocks) for i in range(1, n_blocks)]
-        edges = np.unique(np.array(rows.agg(F.percentile_approx("doc_id", F.array(*shares), 20_000)).first()[0] or [], np.int64))
-
-    words = rows.mapInArrow(_words_of(edges), "word bigint, block int, train bigint")
-    by_word = W.partitionBy("word")
-    counted = words.select("word", "block", F.sum("train").over(by_word).alias("n"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("lead"))
-    counted = materialise(counted, "words")
-    tokens, kinds = counted.where("lead AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = int(about[1])
-    tokens, kinds = int(tokens) + ends, int(kinds) + (ends > 0)
-
-    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_blocks_of(batch.column(0), edges)), *batch.columns], names=["block", *batch.schema.names])
-
-    left = rows.mapInArrow(blocked, "block int, doc_id bigint, train boolean, text string")
-    buckets = int(min(4096, max(32, about[0] // (64 << 20))))
-    blobs = materialise(left.select("block", "train", "text").groupBy("block").applyInArrow(_count_contexts(buckets), "block int, bucket int, blob binary"), "contexts")
-    short = blobs.where("bucket < 0").groupBy("bucket").applyInArrow(_sum_short, "key bigint, n bigint").toPandas()  # at most 2**24 rows
-    keys, counts = run_counts(short["key"].to_numpy(np.int64).view(V.U), short["n"].to_numpy(np.int64))
-    root_counts = np.bincount((keys & V.U(255)).astype(np.int64), counts, minlength=256)
-    root = root_probabilities(root_counts)
-    low_keys, low_p = keys, np.zeros(0)
+    n_bytes, ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.col("train").cast("int")), F.lit(0))).first()
+    buckets = int(max(32, n_bytes // (64 << 20)))
+    dealt = materialise(rows.mapInArrow(_deal(buckets), DEALT_SQL), "blocks", compression="zstd")
+    left = dealt.where(F.col("kind") == TEXT).select("block", "doc_id", "train", "text")
+    blobs = dealt.where(F.col("kind") == CONTEXTS).select("block", "bucket", "blob")
+
+    words = dealt.where(F.col("kind") == WORDS).select("block", "bucket", "blob")
+    counted = materialise(words.groupBy("bucket").applyInArrow(_word_answers, "block bigint, bucket int, n bigint, counts binary"), "words")
+    tokens, kinds = int(ends), int(ends > 0)
+    for r in counted.where("block < 0").collect():  # a row for each bucket
+        some = _unpacked_numbers(bytes(r["counts"]), 2)
+        tokens, kinds = tokens + int(some[0]), kinds + int(some[1])
+
+    short = blobs.where("bucket < 0")
+    keys, counts = summed(short, short.count())
+    root = root_probabilities(np.bincount((keys & V.U(255)).astype(np.int64), counts, minlength=256))
+    low_keys, low_p = keys, np.zeros(0)  # contexts of up to two symbols: at most 2**24 keys
     if len(keys):
         _, low_keys, low_p = grow(keys, counts, np.arange(256, dtype=V.U), root, 0, 2, LEAST_COUNT, listed=False)
-    answers = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(_answers(low_keys, low_p), "block int, bucket int, n bigint, logp binary")
+    answers = blobs.where("bucket >= 0").groupBy("bucket").applyInArrow(_answers(low_keys, low_p), "block bigint, bucket int, n bigint, logp binary")
 
     log_total = np.log10(tokens + 0.1 * (kinds + 1))
 
     def block_scores(texts: pa.Table, known: pa.Table) -> pa.Table:
         answered = known.filter(pc.is_valid(known.column("logp")))
-        known = known.filter(pc.is_valid(known.column("word")))
-        words_ = known.column("word").to_numpy().view(V.U)
-        order = np.argsort(words_)
-        words_, n = words_[order], known.column("n").to_numpy()[order]
+        counts = known.filter(pc.is_valid(known.column("counts"))).sort_by("bucket")
+        words_ = _block_words(texts.column("text"), np.zeros(len(texts), bool))[0]
+        n = np.concatenate([np.zeros(0, np.int64), *[_unpacked_numbers(x, k) for x, k in zip(counts.column("counts").to_pylist(), counts.column("n").to_pylist())]])
+        if len(n) != len(words_):
+            raise ValueError("a block lacks counts of what it asked")
         out: list[list[np.ndarray]] = [[], [], []]
-        for _, _, data, offsets in V.chunks(texts.column("text")):
+        for _, _, data, offsets in V.chunks(texts.column("text"), 8 * PIECE_BYTES):
             hashes, first = V.word_hashes(data, offsets)
             c = n[np.searchsorted(words_, hashes)] if len(hashes) else np.zeros(0, np.int64)
             row = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -419,9 +520,10 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    nothing = lambda c, t: F.lit(None).cast(t).alias(c)
-    right = counted.select("block", "word", "n", nothing("bucket", "int"), nothing("logp", "binary")).unionByName(answers.withColumn("word", nothing("word", "bigint")))
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(block_scores, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    nothing = F.lit(None).cast("binary")
+    right = counted.where("block >= 0").select(F.col("block").alias("at"), "bucket", "n", "counts", nothing.alias("logp"))
+    right = right.unionByName(answers.select(F.col("block").alias("at"), "bucket", "n", nothing.alias("counts"), "logp"))
+    return left.groupBy("block").cogroup(right.groupBy("at")).applyInArrow(block_scores, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
