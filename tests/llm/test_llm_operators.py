@@ -1,12 +1,17 @@
 """Each operator against a plain version on small rows with nulls, empty and long texts, ties, repeats and empty tables."""
 
+import hashlib
+import itertools
 import math
+import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from weirstream.llm import decontaminate, licenses, minhash_dedup, mixing, pii, subspace_join, suffix_tree, token_files, toxicity, url_filter
@@ -60,8 +65,13 @@ def test_token_counts(spark, documents, sentence):
     docs = documents(rows).repartition(3)
     folder = scratch_path(spark, "t")
     places = token_files.write_token_files(docs, folder)
-    encode = token_files._encoder(f"{token_files.TOKENIZERS}/{token_files.VOCABULARY}").encode_ordinary
+    with open(f"{token_files.TOKENIZERS}/{token_files.VOCABULARY}", "rb") as f:
+        encode = token_files._encoder(f.read()).encode_ordinary
     want = sorted((i, len(encode(t or ""))) for i, t, _ in rows)
+    empty = token_files.write_token_files(documents([]), folder)
+    assert token_files.scan_token_files(empty, folder).count() == 0
+    one = token_files.write_token_files(documents([(None, "a b", "a")]), folder)
+    assert [(r.doc_id, r.place) for r in one.collect()] == [(None, 0)]
     for block in (7, 64, 1 << 20):
         got = places.join(token_files.scan_token_files(places, folder, block_tokens=block), ["file", "place"]).select("doc_id", "n_tokens")
         assert sorted(tuple(r) for r in got.collect()) == want
@@ -69,6 +79,9 @@ def test_token_counts(spark, documents, sentence):
 
 def test_separator_scan_of_bare_files(spark, tmp_path):
     """Tokens after the last separator form a document; empty files and empty documents."""
+    (tmp_path / "torn").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no multiple"):
+        token_files.scan_token_files(spark.createDataFrame([("torn",)], "file string"), str(tmp_path)).collect()
     end = token_files.END_OF_TEXT
     files = {"a": [1, 2, end, end, 3], "b": [], "c": [end] * 3, "d": [5] * 100 + [end]}
     for name, ids in files.items():
@@ -78,13 +91,44 @@ def test_separator_scan_of_bare_files(spark, tmp_path):
     assert sorted((r.file, r.place, r.n_tokens) for r in got) == [("a", 0, 2), ("a", 1, 0), ("a", 2, 1), ("c", 0, 0), ("c", 1, 0), ("c", 2, 0), ("d", 0, 100)]
 
 
+GPL = """
+/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {}General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU {}General Public License for more details.
+ */
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software.
+"""
+
+
 def test_licenses(documents, sentence):
-    rows = [(i, sentence(i, 30) + "\n" + line + "\n" + sentence(i + 50, 30), "a") for i, line in enumerate(["Released under the MIT License.", "# Licensed under the Apache License, Version 2.0.", "She lost her driver license.", ""])]
-    rows += [(10, None, "a"), (11, "", "a"), (12, "Licensed under CC BY-NC 4.0.\n" * 2 + "All rights reserved.", "a")]
-    got = {r.doc_id: r for r in licenses.find_licenses(documents(rows)).collect()}
-    assert {i: r.families for i, r in got.items()} == {0: "mit", 1: "apache", 2: "", 3: "", 10: "", 11: "", 12: "all_rights_reserved,cc_nc"}
-    assert (got[12].n_paragraphs, got[12].n_licensed, got[10].n_paragraphs) == (3, 3, 0)
-    assert licenses.find_licenses(documents([])).count() == 0
+    lines = ["Released under the MIT License.", "# Licensed under the Apache License, Version 2.0.", "She lost her driver license.", ""]
+    rows = [(i, sentence(i, 30) + "\n" + line + "\n" + sentence(i + 50, 30), "a") for i, line in enumerate(lines)]
+    rows += [(10, None, "a"), (11, "", "a"), (12, "Licensed under CC BY-NC 4.0.\n" * 2 + "All rights reserved.", "a"), (None, "Released under the MIT License.", "a"), (0, rows[0][1], "a")]
+    # the notices wrapped at 70 columns, titles of two lines, a very long line, a text with two licences
+    rows += [(20, GPL.format("", ""), "a"), (21, GPL.format("Lesser ", "Lesser "), "a"), (22, GPL.format("Affero ", "Affero "), "a"), (23, MIT, "a"), (24, "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "a"), (25, "Apache License\nVersion 2.0, January 2004", "a")]
+    rows += [(26, sentence(1, 30_000) + " Released under the MIT License. " + sentence(2, 30_000), "a"), (27, sentence(3, 20) + ".\n\nLicensed under the ISC License.\n\n// Licensed under CC BY 4.0.", "a"), (28, "BSD 3-Clause License", "a")]
+    docs = documents(rows).withColumn("families", F.lit("mine")).withColumn("line", F.lit(1))
+    got = {r.doc_id: r for r in licenses.find_licenses(docs).collect()}
+    want = {0: "mit", 1: "apache", 2: "", 3: "", 10: "", 11: "", 12: "all_rights_reserved,cc_nc", None: "mit", 20: "gpl", 21: "lgpl", 22: "agpl", 23: "mit", 24: "gpl", 25: "apache", 26: "mit", 27: "cc_by,isc", 28: "bsd"}
+    assert {i: r.families for i, r in got.items()} == want
+    assert [(got[i].n_paragraphs, got[i].n_licensed) for i in (12, 10, 27, 2)] == [(1, 1), (0, 0), (3, 2), (1, 0)]
+    assert licenses.find_licenses(docs).count() == len(rows) and licenses.find_licenses(documents([])).count() == 0
 
 
 def test_licenses_held_out_variants():
@@ -95,12 +139,68 @@ def test_licenses_held_out_variants():
     hits = 0
     for text, family in rows:
         _, _, data, offsets = next(V.chunks(pa.array([text])))
-        _, found, _ = model.lines(data, offsets)
-        hits += [model.families[f] for f in found] == [family]
-    assert hits / len(rows) > 0.85
+        found = licenses.passages(data, offsets)
+        hits += family in {model.families[f] for f in model.decide(data, found)[1]}
+    assert hits / len(rows) > 0.85, hits / len(rows)
     for text in ["He got a license to fish.", "The terms of the lease are general.", "the version was free to the public"]:
         _, _, data, offsets = next(V.chunks(pa.array([text])))
-        assert len(model.lines(data, offsets)[0]) == 0
+        assert len(model.decide(data, licenses.passages(data, offsets))[0]) == 0
+
+
+def test_licenses_against_a_plain_classifier(sentence):
+    """Passages, probabilities and confirmations of a batch equal those computed word by word."""
+    model = licenses.Classifier([sentence(i, 12) for i in range(50)])
+    rng = np.random.default_rng(4)
+    every = [t for k in licenses.TEMPLATES.values() for t in k]
+    texts = ["", None] + ["\n".join(str(rng.choice([sentence(int(rng.integers(1000)), int(rng.integers(1, 400))), *rng.choice(every, 3), "", "//", "-- x --"])) for _ in range(int(rng.integers(1, 7)))) for _ in range(40)]
+    known = dict(zip(model.features.tolist(), range(len(model.features))))
+
+    def hashed(words):
+        _, _, data, offsets = next(V.chunks(pa.array([" ".join(words)])))
+        h = [int(V.run_hashes(V.LOWERED[data], *(np.array([x]) for x in span))[0]) for span in zip(*V.word_bounds(data, offsets, licenses._WORDLIKE)[:2])]
+        pairs = [int(V.mixed(np.array([(a * 0xD6E8FEB86659FD93 + b) % (1 << 64)], V.U))[0]) for a, b in zip(h, h[1:])]
+        return {x >> (64 - licenses.BITS) for x in h + pairs}
+
+    def plain(text):
+        out = set()
+        n = 0
+        for block in re.split(r"\n(?:[^0-9A-Za-z\n\x80-\U0010ffff]*\n)+", "\n" + (text or "").replace("\n", "\n\n").replace("\n\n", "\n") + "\n"):
+            words = [(m.group(), m.end()) for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", block)]
+            if not words:
+                continue
+            part: list = []
+            parts = []
+            for i, (w, end) in enumerate(words):
+                part.append(w)
+                nxt = block[end : words[i + 1][1] - len(words[i + 1][0])] if i + 1 < len(words) else "."
+                if i + 1 == len(words) or re.match(r"[^\s]*[.!?][^\s]*\s", nxt):
+                    parts.append(part)
+                    part = []
+            for p in parts:
+                for lo in range(0, max(1, len(p) - licenses.WINDOW + licenses.STEP), licenses.STEP):
+                    own = p[lo : lo + licenses.WINDOW]
+                    cols = [known[b] for b in hashed(own) if b in known]
+                    if not cols:
+                        continue
+                    z = (model.weights[cols].sum(axis=0) + model.intercepts) / model.temperature
+                    q = np.exp(z - z.max())
+                    q /= q.sum()
+                    if 1 - q[-1] < licenses.LEAST:
+                        continue
+                    for k in np.argsort(-q[:-1], kind="stable"):
+                        if model.confirmed([w.lower().encode() if w.isascii() else w.encode() for w in own], model.families[k]):
+                            out.add((n, model.families[k], round(1 - q[-1], 6)))
+                            break
+            n += 1
+        return n, out
+
+    _, _, data, offsets = next(V.chunks(pa.array(texts)))
+    found = licenses.passages(data, offsets)
+    passage, family, p = model.decide(data, found)
+    first = np.searchsorted(found.text_of_paragraph, np.arange(len(texts)))
+    for i, t in enumerate(texts):
+        mine = {(int(found.paragraph[u] - first[i]), model.families[f], round(float(q), 6)) for u, f, q in zip(passage, family, p) if found.text_of_paragraph[found.paragraph[u]] == i}
+        assert (int((found.text_of_paragraph == i).sum()), mine) == plain(t), t
 
 
 def test_suffix_tree(spark, documents, sentence):
@@ -191,21 +291,46 @@ def test_suffix_tree_does_not_forget_in_a_large_corpus(spark, documents):
     assert large[0] == pytest.approx(small[0], abs=8) and large[0] > -16
 
 
+def test_suffix_tree_in_small_blocks(documents, sentence, monkeypatch):
+    """Blocks of any size give the same scores; null ids and repeated rows are scored each."""
+    rows = [(i, sentence(i % 37, 20 + i % 90), "a") for i in range(120)] + [(None, sentence(3, 40), "a"), (None, None, "a"), (5, sentence(5, 25), "a"), (700, sentence(9, 3000), "a")]
+    train = F.coalesce(F.col("doc_id"), F.lit(0)) % 5 != 0
+    scores = lambda: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in suffix_tree.score_texts(documents(rows), train=train).collect())
+    want = scores()
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(suffix_tree, "PIECE_BYTES", 1000)
+    monkeypatch.setattr(suffix_tree, "SORTED", 700)
+    assert scores() == want and len(want) == len(rows)
+
+
+def test_places_of_keys():
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 56, 5000).astype(V.U))
+    asked = np.random.default_rng(3).integers(0, len(keys), 20_000)
+    assert (suffix_tree.Places(keys).of(keys[asked]) == asked).all() and len(suffix_tree.Places(keys[:0]).of(keys[:0])) == 0
+
+
 def test_decontamination(spark, documents, sentence):
-    items = [(i, sentence(1000 + i, 8 + 3 * i)) for i in range(10)] + [(20, "two words"), (21, ""), (22, None)]
+    items = [(i, sentence(1000 + i, 8 + 3 * i)) for i in range(10)] + [(20, "two words"), (21, ""), (22, None), (23, "alpha Beta gamma")]
     clean = [(i, sentence(i, 400), "a") for i in range(20)]
     w = items[9][1].split()
     w[0] = "changed"
     rows = clean + [(50 + i, sentence(i, 200) + " " + items[i][1].upper() + ", " + sentence(i + 7, 2000), "a") for i in range(10)]
     rows += [(70, sentence(3, 50) + " " + " ".join(w) + " end", "a"), (71, " ".join(items[8][1].split()[: len(items[8][1].split()) // 2]), "a"), (72, "Two  words!", "a"), (73, None, "a"), (74, "", "a"), (50, sentence(0, 9), "a")]
+    rows += [(75, "x y z alpha beta gamma, q the two words s t", "a"), (76, "alpha beta x gamma", "a")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = sorted((r.doc_id, r.item_id) for r in decontaminate.contained_items(documents(rows), bench).collect())
     plain = lambda t: " ".join((t or "").lower().translate(str.maketrans("", "", decontaminate.PUNCTUATION)).split())
+    def grams(t, n):
+        w = plain(t).split()
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
     sets = {}
     for i, t, _ in rows:
-        sets.setdefault(i, set()).update(shingle_set(plain(t)))
+        sets.setdefault(i, set()).update(*[grams(t, n) for n in range(1, 6)])
     want = sorted((d, i) for d, s in sets.items() for i, t in items if (q := shingle_set(plain(t))) and 100 * len(q & s) >= 75 * len(q))
-    assert got == want and (70, 9) in got and (72, 20) in got and not any(d < 20 for d, _ in got)
+    assert got == want and (70, 9) in got and (72, 20) in got and (75, 20) in got and (75, 23) in got and (76, 23) not in got and not any(d < 20 for d, _ in got)
+    nameless = decontaminate.clean(documents([(None, items[5][1], "a"), (1, "plain", "a")]), bench)
+    assert [r.doc_id for r in nameless.collect()] == [1] and nameless.columns == documents([]).columns
     kept = {r.doc_id for r in decontaminate.clean(documents(rows), bench).collect()}
     assert kept == {i for i, _, _ in rows} - {d for d, _ in want}
     assert decontaminate.contained_items(documents(rows), bench.limit(0)).count() == 0
@@ -244,6 +369,13 @@ def test_mixing(documents, sentence):
     assert mixing.take(documents([])).count() == 0
 
 
+def test_mixing_keeps_columns_that_clash(documents, sentence):
+    docs = documents([(i, sentence(i, 9), "s") for i in range(20)]).withColumn("mix_size", F.lit("mine")).withColumn("mix_copies", F.lit("own"))
+    taken = mixing.take(docs)
+    assert taken.columns == [*docs.columns, "mix__size", "mix__source_size", "mix__target", "mix__copies"]
+    assert {(r.mix_size, r.mix__size) for r in taken.collect()} == {("mine", 9)} and {r.mix_copies for r in mixing.emit(docs).collect()} == {"own"}
+
+
 def test_mixing_with_many_sources(documents, sentence, monkeypatch):
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
     rows = [(i, sentence(i, 9), f"s{i % 3}" if i % 5 else None) for i in range(60)]
@@ -327,6 +459,102 @@ def test_pii_terms_of_entities_seen_once(documents):
     assert got[3] == "the agent <TERM> or <EMAIL> say words" and got[100] == common
 
 
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_base(text):
+    def fine(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "card":
+            doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+            return 13 <= len(digits) <= 19 and sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
+        return kind == "email" or (kind == "ip" and all(int(x) <= 255 for x in m.split("."))) or (kind == "phone" and 9 <= len(digits) <= 15)
+
+    return [(k, m.start(), m.end(), m.group()) for k, p in BASE.items() for m in re.finditer(p, text) if fine(k, m.group())]
+
+
+def plain_terms(texts):
+    """The disclosing terms of a corpus, by the module's formula in plain Python."""
+    bare = lambda w: regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", w)
+    low = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t)
+    words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", low(t)) if w]
+    near = set()
+    for t in texts:
+        for kind, a, b, value in plain_base(t):
+            left, right = t[max(0, a - pii.REACH) : a], t[b : b + pii.REACH]
+            left = re.sub(r"^[^\x20\x09-\x0D]+", "", left) if a > pii.REACH else left
+            right = re.sub(r"[^\x20\x09-\x0D]+$", "", right) if len(t) > b + pii.REACH else right
+            near.add(((kind, value.lower()), (left, right)))
+    n_c = Counter(c for c, _ in near)
+    n_ct = Counter((c, t) for c, (a, b) in near for t in {bare(w) for w in words(a + " " + b)} - {""})
+    n_t, total = Counter(bare(w) for t in texts for w in words(t)), sum(len(words(t)) for t in texts)
+    out = set()
+    for (c, t), k in n_ct.items():
+        n, z = max(n_t[t], k), pii.ERRORS
+        sure = (k / n + z * z / (2 * n) - z * math.sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        p = n_c[c] / max(total, 2)
+        if p < 1 and math.log(sure / p) / -math.log(p) >= pii.THRESHOLD:
+            out.add(t)
+    return out
+
+
+def test_pii_query_against_plain_patterns(spark, sentence, tmp_path):
+    """op7_pii itself: counts, base_sha256 and spans of random texts and of prose with rare names, by Python's re."""
+    rng = np.random.default_rng(12)
+    texts = ["".join(rng.choice(list("ab1234.@-+ ()\n5é😀"), int(rng.integers(0, 90)))) for _ in range(400)]
+    texts += [" ".join(rng.choice(["4111 1111 1111 1111", "+1 555-123-4567", "1.2.3.4", "a@b.c-d.e", "x", "00", "+", "(1)", "5500-0000-0000-0004", "..", "@"], 12)) for _ in range(200)]
+    texts += [f"{sentence(i, 30)} ask Zorb{i}l, ('quim{i}') or mail p{i}@q.org, {sentence(i + 500, 40)} “Zorb{i}l” end!" for i in range(40)]
+    texts += [f"then ask {sentence(i + 900, 3)} zorb{i}L! of p{i}@Q.org" for i in range(40)]
+    texts += [None, "", " ", "1.2.3.4 " * 3000, texts[601]]
+    rows = [(i if i % 50 else None, t, "x", "y") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, hit_id string, row string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter(tuple(r) for r in pii.op7_pii(spark, str(tmp_path)).select("doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans").collect())
+    terms = plain_terms([t or "" for t in texts])
+    assert any("zorb" in t for t in terms)
+    want = Counter()
+    for i, t, _, _ in rows:
+        t = t or ""
+        base = plain_base(t)
+        said = [f"{k}:{a}:{b}" for k, a, b, _ in base]
+        more = []
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", t):
+            word = regex.search(r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", m.group(), regex.S)
+            if word and re.sub("[A-Z]", lambda x: x.group().lower(), word.group()) in terms:
+                a, b = m.start() + word.start(), m.start() + word.end()
+                if not any(x < b and a < y for _, x, y, _ in base):
+                    more.append(f"term:{a}:{b}")
+        kinds = Counter(k for k, *_ in base)
+        want[(i, *[kinds[k] for k in BASE], hashlib.sha256(",".join(said).encode()).hexdigest(), ",".join(said + more))] += 1
+    assert got == want
+
+
+def test_pii_keeps_columns_and_rows_without_id(documents):
+    """Rows without an id are sanitised like others; columns with the operator's own names come back as they were."""
+    rows = [(i, f"The agent Zorblax, {w} met jo@x.org near {w} hill", "s") for i, w in enumerate("one two three four five six".split())]
+    rows += [(100 + i, "plain words of the hill near the agent met them " * 3, "s") for i in range(50)] + [(None, "only zorblax near", "s"), (None, None, "s")]
+    docs = documents(rows).withColumn("hit_id", F.lit("a")).withColumn("pii_text", F.lit("b")).withColumn("row", F.lit("c")).withColumn("h1", F.lit("d"))
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert {(r.hit_id, r.pii_text, r.row, r.h1) for r in got} == {("a", "b", "c", "d")}
+    assert sorted(map(str, (r.text for r in got if r.doc_id is None))) == ["None", "only <TERM> near"]
+
+
+def test_pii_replaces_in_long_texts(documents):
+    """Marks at and across the edges of pieces, overlapping spans, and many matches in a text in little time."""
+    text = "x " * 2045 + "jo@x.org " + "é" * 9000 + " 1.2.3.4 x " + "4111 1111 1111 1111"
+    many = "1.2.3.4 a@b.cc " * 20_000
+    began = time.perf_counter()
+    got = {r.doc_id: r.text for r in pii.sanitise(documents([(1, text, "s"), (2, many, "s"), (3, "+1 5555-1.2.3.4@x.org", "s")])).collect()}
+    assert got[1] == "x " * 2045 + "<EMAIL> " + "é" * 9000 + " <IP> x <CARD>" and got[2] == "<IP> <EMAIL> " * 20_000 and got[3] == "<PHONE>"
+    assert time.perf_counter() - began < 120
+
+
 def labelled(spark, documents, sentence):
     bad = ["grumblot", "vexnard", "slimewort"]
     rows, labels = [], []
@@ -376,6 +604,78 @@ def test_toxicity_restores_whatever_stands_around(spark, documents, sentence):
     assert len(restorer.restored(long)) == len(long) and restorer.restored("plain words! yes") == "plain words! yes"
 
 
+def test_toxicity_restores_other_scripts_and_hidden_letters():
+    """Full-width letters, look-alikes of other scripts, invisible joints and stars; words wholly of another script stay."""
+    counts = toxicity._grams_of_words(["stupid", "idiot", "garbage"] * 50)
+    restorer = toxicity.Restorer(toxicity.trigram_model(counts, counts))
+    for written, word in {"ｓｔｕｐｉｄ": "stupid", "stuріd": "stupid", "stu\u200bpid": "stupid", "s\u00adtupid": "stupid", "st*pid": "stupid", "g*rbage": "garbage", "s*t*u*p*i*d": "stupid", "іdiot": "idiot", "ｓtup1d": "stupid", "id\u2060iot": "idiot"}.items():
+        _, _, data, offsets = next(V.chunks(pa.array(["no", f"we say {written} here"])))
+        data, offsets = toxicity.restore_all(data, offsets, restorer)
+        assert data.tobytes().decode() == f"nowe say {word} here", written
+    for text in ("привет мир", "καλημέρα κόσμε", "naïve façade", "a * b", "**bold**"):
+        assert restorer.restored(text) == text, text
+
+
+def test_viterbi_against_exhaustive_search():
+    """The decoded word is the best of all paths through the lattice."""
+    rng = np.random.default_rng(21)
+    model = np.log(rng.dirichlet(np.ones(toxicity.LETTERS), (toxicity.LETTERS, toxicity.LETTERS)))
+    restorer = toxicity.Restorer(model)
+    for _ in range(60):
+        written = "".join(rng.choice(list("ab1046!|$@+ccc.*-é"), int(rng.integers(2, 8))))
+        best: tuple = (-1e9, "")
+        for path in itertools.product(*restorer.lattice(written)):
+            z, score = [26, 26], 0.0
+            for letter, cost in path:
+                if letter:
+                    z.append(ord(letter) - 97 if "a" <= letter <= "z" else toxicity.LETTERS - 1)
+                    score += cost + model[z[-3], z[-2], z[-1]]
+                else:
+                    score += cost - 2.0
+            best = max(best, (score + model[z[-2], z[-1], 26], "".join(x for x, _ in path)))
+        assert restorer._restore(written) == best[1], written
+
+
+def test_toxicity_scores_against_plain_counting():
+    """Scores are the logistic function of the weights of the distinct 4- and 5-grams of the lower-cased, framed text."""
+    texts = ["One two  three\nfour", "", None, "ab", "x" * 9, "Ünder é", "two three"]
+
+    def bucket(gram):
+        h = 0
+        for i, b in enumerate(gram):
+            h = (h * 0x9E3779B97F4A7C15 + int(V._BYTES[b])) % (1 << 64) if i else int(V._BYTES[b])
+        return (h * 0xD1342543DE82EF95 % (1 << 64)) >> (64 - toxicity.BUCKET_BITS)
+
+    def grams(t):
+        low = bytes(32 if x in (9, 10, 11, 12, 13) else x + 32 if 65 <= x <= 90 else x for x in (t or "").encode())
+        framed = b" " + low + b" "
+        return {bucket(framed[i : i + n]) for n in toxicity.NGRAMS for i in range(len(framed) - n + 1)}
+
+    features = np.array(sorted(set().union(*[grams(t) for t in texts[:4]])))
+    weights = np.random.default_rng(1).normal(size=len(features))
+    of = dict(zip(features.tolist(), weights))
+    model = toxicity.Model(features, weights, -0.3, toxicity.trigram_model(np.ones(toxicity.LETTERS**3, np.int64), np.zeros(toxicity.LETTERS**3)))
+
+    class Still(toxicity.Restorer):
+        def restored(self, text):
+            return text
+
+    got = model.score(pa.array(texts), Still(model.trigrams))
+    want = [1 / (1 + math.exp(0.3 - sum(of.get(g, 0.0) for g in grams(t)))) for t in texts]
+    assert got == pytest.approx(want)
+
+
+def test_toxicity_keeps_all_features_and_rows(spark, documents, sentence):
+    """Long marking words are learned; repeated rows, null ids and clashing columns change nothing."""
+    long = "grum" * 30
+    rows = [(i, sentence(i, 40) + (f" {long} {sentence(i + 7, 5)}" if i % 4 == 0 else ""), "s") for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)] + [(3, None), (9999, 1)], "doc_id bigint, toxic int")
+    docs = documents(rows + rows[:5] + [(None, f"x {long} y", "s"), (None, None, "s")]).withColumn("toxic", F.lit("x")).withColumn("l_id", F.lit(1)).withColumn("score", F.lit(2.0))
+    got = toxicity.scored(docs, labels).collect()
+    assert len(got) == 247 and all(r.predicted == int(r.doc_id % 4 == 0) for r in got if r.doc_id is not None)
+    assert sorted(r.predicted for r in got if r.doc_id is None) == [0, 1]
+
+
 def test_toxicity_without_labels(spark, documents):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     got = toxicity.scored(documents([(1, "a", "s"), (2, None, "s")]), none).collect()
@@ -389,23 +689,28 @@ def test_subspace_join(spark):
     near = np.array([group + rng.normal(size=64) * s for s in np.linspace(0.05, 0.35, 60)])
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, near]))]
     rows += [(1000 + i, [float(z) for z in x[0]]) for i in range(3)] + [(1010, [2.0 * float(z) for z in x[0]])]
-    rows += [(2000, None), (2001, [0.0] * 64), (2002, [float("nan")] * 64), (2003, [1.0] * 3), (2004, [None] * 64), (2005, []), (5, x[5].tolist())]
-    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<double>, label string")
+    # other lengths are joined by themselves: equal, near and single ones, of few dimensions too
+    rows += [(1100, [1.0, 2.0, 3.0]), (1101, [1.0, 2.0, 3.0]), (1102, [1.0, 2.1, 3.0]), (1103, [-3.0, 1.0, 0.0]), (1110, [2.0]), (1111, [5.0]), (1112, [-1.0]), (1120, [1.0, 1e-300]), (1121, [1.0, 0.0])]
+    rows += [(1200 + i, (group[:20] + rng.normal(size=20) * s).tolist()) for i, s in enumerate(np.linspace(0.05, 0.5, 30))]
+    rows += [(2000, None), (2001, [0.0] * 64), (2002, [float("nan")] * 64), (2003, [1.0, None, 2.0]), (2004, [None] * 64), (2005, []), (2006, [float("inf"), 1.0]), (5, x[5].tolist()), (None, x[5].tolist())]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id bigint, embedding array<double>, label string, cell int")
     got = subspace_join.linked_vectors(df).collect()
-    fine = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i < 2000}
+    fine = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i is not None and i < 2000}
     ids = sorted(fine)
-    m = np.array([fine[i] for i in ids])
-    links = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(m @ m.T >= 0.95, 1)))]
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(fine[a]) == len(fine[b]) and fine[a] @ fine[b] >= 0.95]
     degree = Counter(i for p in links for i in p)
-    want = components(sorted({i for i, _ in rows}), links)
-    assert len(got) == len(rows)
-    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (degree[i], want[i], want[i] == i) for i in want}
+    want = components(sorted({i for i, _ in rows if i is not None}), links)
+    assert len(got) == len(rows) and degree[1100] == 2 and degree[1110] == 1
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None} == {i: (degree[i], want[i], want[i] == i) for i in want}
+    assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
     assert subspace_join.linked_vectors(df.limit(0)).count() == 0
 
 
 def test_subspace_join_in_parts(spark, monkeypatch):
     monkeypatch.setattr(subspace_join, "PART", 16)
     monkeypatch.setattr(subspace_join, "VECTORS_A_PIVOT", 20)
+    monkeypatch.setattr(subspace_join, "MIN_PIVOTS", 1)
+    monkeypatch.setattr(subspace_join, "TILE", 256)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(5, 16))
     rows = [(i, (centres[i % 5] + rng.normal(size=16) * 0.18).tolist()) for i in range(200)]
@@ -436,6 +741,41 @@ def test_link_graph(spark):
     assert got == {"bad.net": "block", "farm.io": "block", "good.org": "allow", "friend.io": "allow", "far.io": "block", "mixed.io": "block"}
 
 
+def test_host_scores_of_a_random_graph(spark, monkeypatch):
+    """Trust and distrust equal the fixed points of plain matrices, with a hub either way, in parts of a few links."""
+    monkeypatch.setattr(url_filter, "PARTS", 4)
+    rng = np.random.default_rng(8)
+    n = 60
+    links = {(int(a), int(b)) for a, b in rng.integers(0, n, (200, 2)) if a != b} | {(0, i) for i in range(1, n)} | {(i, 1) for i in range(2, n, 2)}
+    trusted, blocked = [2, 3, 5, 0], [7, 11, 1]
+    judged = [(f"h{i}.io", "allow" if i in trusted else "block" if i in blocked else None) for i in range(n)] + [("h2.io", "block"), ("", "allow"), ("h9.io", "allow"), ("h9.io", None), ("h9.io", None)]
+    got = {r.host: r for r in url_filter.host_scores(spark.createDataFrame(judged, "host string, verdict string"), spark.createDataFrame([(f"h{a}.io", f"h{b}.io") for a, b in links], "src string, dst string"), damping=0.5, tolerance=1e-4).collect()}
+
+    def fixed(edges, seeds):
+        m = np.zeros((n, n))
+        for a, b in edges:
+            m[b, a] = 1
+        m /= np.maximum(m.sum(axis=0), 1)
+        start = np.isin(np.arange(n), seeds).astype(float)
+        return np.linalg.solve(np.eye(n) - 0.5 * m, start)
+
+    trust, distrust = fixed(links, trusted), fixed([(b, a) for a, b in links], [*blocked, 2])  # half of h2's pages are blocked, so it is both
+    for i in range(n):
+        r = got.get(f"h{i}.io")
+        assert (r.trust if r else 0) == pytest.approx(trust[i], abs=1e-3) and (r.distrust if r else 0) == pytest.approx(distrust[i], abs=1e-3), i
+
+
+def test_links_of_any_length(spark):
+    """Long hosts stay whole, white space around the sign has no limit, a hub with repeated rows and a long page is read whole."""
+    host = "a" * 400 + ".io"
+    html = "x" * 200_000 + f'<A HREF{" " * 50}={" " * 50}"//{host}/p">' + "".join(f"<a href=http://n{i}.io>" for i in range(300))
+    rows = [(1, "http://bad.net/", ""), (2, f"http://{host}/", '<a href="http://bad.net">'), (3, "http://hub.io/", html), (3, "http://hub.io/", html), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {(r.page_id, r.host): r.verdict for r in url_filter.judge_urls(pages, least=1e-3).collect()}
+    # distrust 1 -> 0.85 -> 0.7225: both link to what is blocked
+    assert got == {(1, "bad.net"): "block", (2, host): "block", (3, "hub.io"): "block", (None, ""): "allow"}
+
+
 def test_host_scores_converge(spark):
     """On a cycle the scores reach their fixed point, which takes more than 20 rounds."""
     judged = spark.createDataFrame([("a.io", "allow"), ("b.io", None)], "host string, verdict string")
@@ -452,5 +792,5 @@ def test_subspace_pairs_at_the_edge_of_the_radius_meet():
     y[0, 0], y[1, 0] = 0.5 - 0.1583, 0.50001
     assert (y[1, 0] - y[0, 0]) ** 2 < 0.1 * 16 / 64 + subspace_join.SLACK
     batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array((y @ subspace_join.rotation(64).T).tolist())], names=["vec_id", "unit"])
-    placed = [r for b in subspace_join._place(64, 0.1, [pivots] * 4)([batch]) for r in b.to_pylist() if r["block"] == 0]
+    placed = [r for b in subspace_join._place(0.1, 4, {64: np.hstack([pivots] * 4)})([batch]) for r in b.to_pylist() if r["block"] == 0]
     assert (0, 1) in {(r["vec_id"], r["cell"]) for r in placed} and {r["cell"] for r in placed if r["vec_id"] == 1 and r["home"]} == {1}
