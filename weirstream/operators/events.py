@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..registry import Context, StreamNode, function
 from ..types import duration_ms, millis
+from .folds import FIRST, by_key, with_eras
 
 TTL = "table.exec.state.ttl"
 #: Rows of a chunk of arrival numbers in the two-level running maximum.
@@ -24,38 +24,11 @@ def _timed(node: StreamNode, options: dict) -> tuple[StreamNode, str]:
     return node.on(node.df.withColumn("_ms", checked)), options["eventtime"]
 
 
-def with_eras(df: DataFrame, keys: tuple[str, ...], seq: str, ttl_ms: int) -> DataFrame:
-    """Add `_era`, which counts how often a key's state was forgotten before the row.
-
-    State is cleaned at 1.5 * ttl after the row that last set the clean-up time; a row at ts sets it if none is set or ts +
-    ttl lies beyond it. A gap of 1.5 * ttl always forgets, so keys are first cut at such gaps and only the pieces between are
-    folded, in Catalyst.
-    """
-    order = W.partitionBy(*keys).orderBy("_ms", seq)
-    hold = ttl_ms * 3 // 2
-    cut = F.coalesce(F.col("_ms") - F.lag("_ms").over(order) >= hold, F.lit(False)).cast("int")
-    pieces = df.withColumn("_cut", cut).withColumn("_piece", F.sum("_cut").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = F.array_sort(F.collect_list(F.struct(F.col("_ms"), F.col(seq))))
-    start = F.struct(F.lit(-1).cast("bigint").alias("clean"), F.lit(0).alias("era"), F.array().cast("array<struct<seq:bigint,era:int>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fired = (acc["clean"] >= 0) & (x["_ms"] >= acc["clean"])
-        era = acc["era"] + fired.cast("int")
-        clean = F.when(fired | (acc["clean"] < 0) | (x["_ms"] + ttl_ms > acc["clean"]), x["_ms"] + hold).otherwise(acc["clean"])
-        return F.struct(clean.alias("clean"), era.alias("era"), F.concat(acc["out"], F.array(F.struct(x[seq].cast("bigint").alias("seq"), era.alias("era")))).alias("out"))
-
-    folded = pieces.groupBy(*keys, "_piece").agg(F.aggregate(rows, start, step, lambda acc: acc["out"]).alias("_rows"))
-    eras = folded.select(*keys, "_piece", F.inline("_rows")).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_piece").alias("_p"), F.col("seq").alias("_s"), "era")
-    on = [pieces[k].eqNullSafe(eras[f"_k_{k}"]) for k in keys]
-    joined = pieces.join(eras, [*on, pieces["_piece"] == eras["_p"], pieces[seq] == eras["_s"]])
-    return joined.withColumn("_era", F.concat_ws(":", "_piece", "era")).drop(*[f"_k_{k}" for k in keys], "_p", "_s", "era", "_cut", "_piece")
-
-
 @function("deduplicate")
 def deduplicate(ctx: Context, node: StreamNode, options: dict, other=None) -> StreamNode:
     """The earliest row of a key (order.type ASC) or the latest (DESC); equal times: the last arrival.
 
-    With a state lifetime the earliest of each era. `emit`='running' gives, for DESC, every row later than all before it in
+    With a state lifetime the earliest or latest of each era of a key's state. `emit`='running' gives, for DESC, every row later than all before it in
     arrival order, as a stream with one row for each watermark does.
     """
     keys = node.need_keys()
@@ -71,11 +44,14 @@ def deduplicate(ctx: Context, node: StreamNode, options: dict, other=None) -> St
         before = W.partitionBy(*keys).orderBy(node.seq).rowsBetween(W.unboundedPreceding, -1)
         later = F.coalesce(F.col("_ms") > F.max("_ms").over(before), F.lit(True))
         return node.on(node.df.withColumn("_later", later).where("_later").select(*names))
-    df, by = node.df, list(keys)
-    if ttl and asc:
-        df, by = with_eras(node.df, keys, node.seq, duration_ms(ttl)), [*keys, "_era"]
-    order = W.partitionBy(*by).orderBy(F.col("_ms") if asc else F.desc("_ms"), F.desc(node.seq))
-    return node.on(df.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*names))
+    if ttl:
+        eras = with_eras(by_key(node.df, keys, "_ms", node.seq, _next=F.lead("_ms")), duration_ms(ttl))
+        if asc:  # of the rows of an era's first time the last
+            return node.on(eras.where("_ms = _era_ms AND (_next IS NULL OR _next <> _ms)").select(*names))
+        latest = W.partitionBy(*keys, "_era_ms").orderBy(F.desc("_ms"), F.desc(node.seq))
+        return node.on(eras.withColumn("_n", F.row_number().over(latest)).where("_n = 1").select(*names))
+    order = W.partitionBy(*keys).orderBy(F.col("_ms") if asc else F.desc("_ms"), F.desc(node.seq))
+    return node.on(node.df.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*names))
 
 
 @function("field_value_watch_changed_emitter")
@@ -89,12 +65,11 @@ def watch_changed(ctx: Context, node: StreamNode, options: dict, other=None) ->
         return node.on(watch_changed_stream(node, options["eventtime"], field, duration_ms(ttl or "2 min")))
     node, _ = _timed(node, options)
     names = [c for c in node.df.columns if c != "_ms"]
-    df, by = node.df, list(keys)
+    df = by_key(node.df, keys, "_ms", node.seq, _before=F.lag(field))
+    fresh = FIRST
     if ttl:
-        df, by = with_eras(node.df, keys, node.seq, duration_ms(ttl)), [*keys, "_era"]
-    order = W.partitionBy(*by).orderBy("_ms", node.seq)
-    df = df.withColumn("_first", F.row_number().over(order) == 1).withColumn("_before", F.lag(field).over(order))
-    return node.on(df.where(F.col("_first") | ~F.col(field).eqNullSafe(F.col("_before"))).select(*names))
+        df, fresh = with_eras(df, duration_ms(ttl)), "_era_first"
+    return node.on(df.where(F.col(fresh) | ~F.col(field).eqNullSafe(F.col("_before"))).select(*names))
 
 
 @function("disorder_discard")

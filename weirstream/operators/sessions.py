@@ -2,49 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.series import decode_column
 from ..registry import Context, StreamNode, function
 from ..types import duration_ms, field_list, free_name, kind_of, like_event_time, millis
+from .folds import by_key, window_rows
 
 START = "_window_start_timestamp"
 
 
-def _getter(name: str):
-    return lambda r: r[name]
-
-
-def window_starts(df: DataFrame, keys: list[str], duration: int) -> DataFrame:
-    """Add `_start`, the begin of the session-tumble window of each row (columns `_ms` and `_seq_` in df).
-
-    A window opens at a key's first row t0 and holds rows before t0 + D; a row before t0 + 2 D opens the next window at t0 +
-    D, a later one a new session at its own time. The rule is sequential, but a gap of 2 D always ends a session, so keys are
-    cut there first and only the pieces are folded, in Catalyst, over distinct times.
-    """
-    order = W.partitionBy(*keys).orderBy("_ms")
-    far = F.coalesce(F.col("_ms") - F.lag("_ms").over(order) >= 2 * duration, F.lit(False)).cast("int")
-    times = df.select(*keys, "_ms").distinct().withColumn("_far", far)
-    times = times.withColumn("_piece", F.sum("_far").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    start = F.struct(F.lit(None).cast("bigint").alias("s"), F.array().cast("array<struct<ms:bigint,s:bigint>>").alias("out"))
-
-    def step(acc: Column, ms: Column) -> Column:
-        s = (
-            F.when(acc["s"].isNull(), ms)
-            .when(ms < acc["s"] + duration, acc["s"])
-            .when(ms < acc["s"] + 2 * duration, acc["s"] + duration)
-            .otherwise(ms)
-        )
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(F.struct(ms.alias("ms"), s.alias("s")))).alias("out"))
-
-    folded = times.groupBy(*keys, "_piece").agg(F.aggregate(F.array_sort(F.collect_list("_ms")), start, step, lambda acc: acc["out"]).alias("_out"))
-    starts = folded.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.inline("_out"))
-    on = [df[k].eqNullSafe(starts[f"_k{i}"]) for i, k in enumerate(keys)]
-    return df.join(starts, [*on, df["_ms"] == starts["ms"]]).withColumn("_start", F.col("s")).drop("ms", "s", *[f"_k{i}" for i in range(len(keys))])
-
-
 @function("session_tumble_window")
 def session_tumble_window(ctx: Context, node: StreamNode, options: dict, other=None) -> StreamNode:
     """One row for each window: `fields` of its first row, `values` as arrays in time order, event time = window end, the
@@ -61,16 +29,15 @@ def session_tumble_window(ctx: Context, node: StreamNode, options: dict, other=N
         return StreamNode(session_tumble_stream(node, fields, values, time, series, duration, duration_ms(options.get("disorder.max-tolerance.duration", "0"))))
     node = node.sequenced()
     df = node.df.withColumn("_ms", millis(node.df, time)).where("_ms IS NOT NULL")
-    df = window_starts(df, keys, duration)
-    row = F.struct(F.col("_ms"), F.col(node.seq).alias("_s"), *[F.col(a).alias(f"v{i}") for i, (a, _) in enumerate(values)], *[F.col(a).alias(f"f{i}") for i, (a, _) in enumerate(fields)])
-    # order by time and arrival only, by sorting on a pair that leads each struct
-    packed = df.groupBy(*keys, "_start").agg(F.array_sort(F.collect_list(F.struct(F.col("_ms").alias("o1"), F.col(node.seq).alias("o2"), row.alias("row"))), _by_order).alias("_packed"))
-    packed = packed.withColumn("_rows", F.transform("_packed", lambda x: x["row"]))
-    out = [F.element_at("_rows", 1)[f"f{i}"].alias(b) for i, (_, b) in enumerate(fields)]
-    for i, (_, b) in enumerate(values):
-        out.append(F.filter(F.transform("_rows", _getter(f"v{i}")), lambda x: x.isNotNull()).alias(b))
+    packed = window_rows(by_key(df, keys, "_ms", node.seq), [a for a, _ in fields], [a for a, _ in values], duration)
+    out = [F.col(f"f{i}").alias(b) for i, (_, b) in enumerate(fields)] + [F.col(f"v{i}").alias(b) for i, (_, b) in enumerate(values)]
     end = like_event_time(F.col("_start") + duration, kind).alias(time if time not in {b for _, b in fields + values} else free_name(time, [b for _, b in fields + values]))
-    return StreamNode(packed.select(*out, end, F.transform("_rows", _getter("_ms")).alias(series), F.col("_start").alias(START)))
+    return StreamNode(packed.select(*out, end, F.col("_times").alias(series), F.col("_start").alias(START)))
+
+
+def _sorted(rows: Column, kinds: list) -> Column:
+    """Rows in the order of their fields o1 and o2, which are distinct; by plain sorting where the other fields have an order."""
+    return F.array_sort(rows, _by_order) if any("map<" in k.simpleString() for k in kinds) else F.sort_array(rows)
 
 
 def _by_order(a: Column, b: Column) -> Column:
@@ -103,7 +70,7 @@ def session_to_tumble(ctx: Context, node: StreamNode, options: dict, other=None)
     start = F.expr(f"(z.ts div {interval}) * {interval}")
     points = points.where("z.ts IS NOT NULL").withColumn("_start", start)
     row = F.struct(F.col("z.ts").alias("o1"), F.struct("o", "p").alias("o2"), F.col("z"), *[f"f{i}" for i in range(len(fields))])
-    packed = points.groupBy(*[f"k{i}" for i in range(len(keys))], "_start").agg(F.array_sort(F.collect_list(row), _by_order).alias("_rows"))
+    packed = points.groupBy(*[f"k{i}" for i in range(len(keys))], "_start").agg(_sorted(F.collect_list(row), [f.dataType for f in points.schema.fields]).alias("_rows"))
     out = [F.element_at("_rows", 1)[f"f{i}"].alias(b) for i, (_, b) in enumerate(fields)]
     out.append(like_event_time(F.col("_start") + interval - 1, kind_of(node.df, time)).alias(time))
     for i, (_, b) in enumerate(values):
