@@ -102,3 +102,30 @@ def test_idioms(spark):
     spark.createDataFrame([("a", [1, 2])], "k string, xs array<int>").createOrReplaceTempView("arrays")
     text = "SELECT k, total FROM arrays LEFT JOIN LATERAL TABLE(aggregate(xs, 0, (a, x) -> a + x)) AS t(total) ON TRUE"
     assert spark.sql(rewrite_query(spark, text)).first().total == 3
+
+
+def test_lists_of_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "x bigint, y string").createOrReplaceTempView("pairs")
+    table = f"CREATE TABLE o (a BIGINT, b STRING) WITH ('connector'='parquet', 'path'='{tmp_path}/o');\n"
+    run_script(spark, table + "CREATE VIEW vv (p, q) AS SELECT y, x FROM pairs; INSERT INTO o (b, a) SELECT p, q FROM vv; INSERT INTO o (a) SELECT x FROM pairs;")
+    assert sorted((r.a, r.b or "") for r in spark.read.parquet(f"{tmp_path}/o").collect()) == [(1, ""), (1, "a"), (2, ""), (2, "b")]
+    run_script(spark, table + "INSERT OVERWRITE o SELECT 7, 'z';")
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/o").collect()] == [(7, "z")]
+    for bad in ("INSERT INTO o (a, c) SELECT 1, 2;", "INSERT INTO o (a) SELECT 1, 2;", "CREATE VIEW w (p) AS SELECT 1, 2;", "CREATE TABLE q WITH ('connector'='print'); INSERT OVERWRITE q SELECT 1;"):
+        with pytest.raises(ValueError):
+            run_script(spark, table + bad)
+
+
+def test_sketches_by_the_type_of_what_they_take(spark):
+    """Merging partial sketches and digests by the same names; the number of slots and the compression are settings."""
+    spark.range(7 * 500).selectExpr("id % 7 AS k", "id AS v", "CAST(id AS DOUBLE) AS d").createOrReplaceTempView("many")
+    text = """
+    <@template.udf_statistics hyperloglog\\.number\\.slot='65536' percentile\\.compression\\.temporary='4000'/>
+    CREATE VIEW merged AS SELECT hyper_log_log(s) AS n, hyper_log_log(t) AS m, percentile(q, 0.5) AS p, percentile(top, 0.5) AS plain
+      FROM (SELECT k, hyper_log_log_temporary(v) AS s, hyper_log_log_temporary(d) AS t, percentile_temporary(v) AS q, max(v) AS top FROM many GROUP BY k);
+    CREATE VIEW nested AS SELECT hyper_log_log(v) + percentile(d, 0.5) AS x FROM many;
+    """
+    run_script(spark, text)
+    r = spark.table("merged").first()
+    assert abs(r.n - 3500) < 40 and abs(r.m - 3500) < 40 and abs(r.p - 1750) < 20 and r.plain == 3496
+    assert abs(spark.table("nested").first().x - 5250) < 200

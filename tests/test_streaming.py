@@ -50,6 +50,39 @@ def test_running_sum(spark, tmp_path):
     assert sorted(r.value for r in got) == [1, 3, 6]
 
 
+def test_reduce(spark, tmp_path):
+    from weirstream.operators.running import reducer
+
+    reducer("add_values")(lambda total, row: {**row, "value": total["value"] + row["value"]})
+    got = run(spark, tmp_path, [(0, 1), (1, 2), (2, 3)], "REDUCE WITH('identity'='add_values')", timed=False)
+    assert sorted((r.value, r.n) for r in got) == [(1, 0), (3, 1), (6, 2)]
+
+
+def test_rebucket(spark, tmp_path):
+    """Session windows dealt into tumbling windows, which come once the watermark has passed them by a session's length."""
+    chain = "PROCESS WITH('identity'='session_tumble_window', 'eventtime'='ts', 'fields'='name', 'values'='value', 'session.duration'='60 s')"
+    batch = [(0, 1), (59, 2), (100, 3), (300, 4)]
+    windows = run(spark, tmp_path, batch, chain)
+    start = int(BASE.timestamp()) * 1000
+    assert len(windows) == 3
+    schema = "name string, ts timestamp, stamps array<bigint>, value array<int>, n long"
+    rows = [("a", r.ts, r.time_series, r.value, i) for i, r in enumerate(sorted(windows, key=lambda r: r.ts))] + [("zz", BASE + timedelta(days=9 + i), [0], [0], 9 + i) for i in range(2)]
+    for r in rows:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "sessions"))
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "sessions"))
+    e = Engine(spark)
+    e.register("sessions", df.withWatermark("ts", "3 seconds"), seq="n")
+    out = e.execute("PRINT FROM sessions KEY BY WITH('fields'='name') PROCESS WITH('identity'='session_tumble_2_tumble_window', 'fields'='name', 'eventtime'='ts', 'values'='value', 'time-series.name'='stamps', 'session.duration'='60 s', 'tumble.interval'='50 s')").visible()
+    q = out.writeStream.format("memory").queryName("dealt").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck2")).start()
+    q.awaitTermination(120)
+    first = start // 50_000 * 50_000
+    want: dict = {}
+    for s, v in batch:
+        want.setdefault((start + s * 1000) // 50_000 * 50_000, []).append(v)
+    got = {int(r.ts.timestamp() * 1000) // 50_000 * 50_000: r.value for r in spark.table("dealt").collect() if r.name == "a"}
+    assert got == want and first in got
+
+
 def test_temporal_join(spark, tmp_path):
     for side, rows in (("l", [(1, 1), (2, 2), (3, 3)]), ("r", [(0, 10), (2, 20)])):
         data = [("a", BASE + timedelta(seconds=s), v, i) for i, (s, v) in enumerate(rows)] + [("zz", BASE + timedelta(days=9), 0, 99)]

@@ -91,7 +91,7 @@ def reducer(identity: str):
 
 @operator("REDUCE", keyed=True)
 def reduce_(ctx: Context, node: StreamNode, options: dict, other=None) -> StreamNode:
-    """A user's binary function, running: each key's rows pass through one task in arrival order.
+    """A user's binary function, running: each key's rows pass through one task in arrival order; in streams the state is the last row.
 
     An arbitrary Python function has no Catalyst form, so this is the one running aggregate that leaves the JVM; SUM, MIN,
     MAX and their BY forms do not.
@@ -99,7 +99,12 @@ def reduce_(ctx: Context, node: StreamNode, options: dict, other=None) -> Stream
     keys = node.need_keys()
     if options.get("identity") not in reducers:
         raise LookupError(f"unknown reduce function {options.get('identity')}")
-    f, node = reducers[options["identity"]], node.sequenced()
+    f = reducers[options["identity"]]
+    if node.df.isStreaming:
+        from ..streaming.processors import reduce_stream
+
+        return node.on(reduce_stream(node, f))
+    node = node.sequenced()
     seq, names = node.seq, [c for c in node.df.columns if c != node.seq]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

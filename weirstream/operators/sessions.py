@@ -52,7 +52,7 @@ def session_to_tumble(ctx: Context, node: StreamNode, options: dict, other=None)
     less a millisecond; `fields` are those of the first row that falls into the window.
     """
     keys, interval = list(node.need_keys()), duration_ms(options["tumble.interval"])
-    node = node.sequenced()
+    node = node if node.df.isStreaming else node.sequenced()
     names = node.visible().columns
     fields, values = field_list(options["fields"], names), field_list(options.get("values"), names)
     time, series = options["eventtime"], options.get("time-series.name", "time_series")
@@ -62,6 +62,10 @@ def session_to_tumble(ctx: Context, node: StreamNode, options: dict, other=None)
     df = node.df.where(F.col(time).isNotNull())
     stamps = decode_column(df, series, "BIGINT")
     arrays = [decode_column(df, a, types[i] if i < len(types) else None) for i, (a, _) in enumerate(values)]
+    if node.df.isStreaming:
+        from ..streaming.processors import session_to_tumble_stream
+
+        return StreamNode(session_to_tumble_stream(node, stamps, arrays, fields, values, time, series, interval, duration_ms(options["session.duration"])))
     zipped = F.arrays_zip(stamps.alias("ts"), *[x.alias(f"v{i}") for i, x in enumerate(arrays)])
     points = df.select(
         *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(node.seq).alias("o"), *[F.col(a).alias(f"f{i}") for i, (a, _) in enumerate(fields)],

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
+from ..functions.sketches import log_slots
 from ..types import duration_ms, top_level_split
 
 _CALL = re.compile(r"(?i)\b(TUMBLE|HOP|SESSION)(_START|_END|_ROWTIME|_PROCTIME)?\s*\(")
@@ -99,8 +101,9 @@ def _map_literals(text: str) -> str:
     return "".join(out) + text[i:]
 
 
-def rewrite_expression(text: str, created: frozenset[str] | set[str] = frozenset()) -> str:
-    """Rewrite the idioms of one expression."""
+def rewrite_expression(text: str, created: frozenset[str] | set[str] = frozenset(), typed: bool = False) -> str:
+    """Rewrite the idioms of one expression. Sketch functions, whose form depends on the type of what they take, are left as
+    marks if typed, for :func:`resolve_sketches`; else they take values."""
     text = _replace_calls(text, _CALL, _window_call)
     text = _replace_calls(text, re.compile(r"(?i)\bJSON_OBJECT\s*\("), _json_object)
     text = _map_literals(text)
@@ -108,11 +111,13 @@ def rewrite_expression(text: str, created: frozenset[str] | set[str] = frozenset
     text = _replace_calls(text, re.compile(r"(?i)\bPROCTIME\s*\("), lambda m, a: "current_timestamp()")
     for name in created:
         text = _replace_calls(text, re.compile(rf"(?i)(?<![\w.]){re.escape(name)}\s*\("), lambda m, a, n=name: _created(n, a))
-    return text
+    return text if typed else resolve_sketches(None, text)
 
 
 def _created(name: str, args: str) -> str:
-    parts = [rewrite_expression(x, {name}) for x in top_level_split(args)]
+    parts = [rewrite_expression(x, {name}, typed=True) for x in top_level_split(args)]
+    if name in SKETCHES:
+        return f"{MARK}{name}({', '.join(parts)})"
     x = parts[0] if parts else "NULL"
     zone = parts[1] if len(parts) > 1 else "'GMT'"
     m = parts[1] if len(parts) > 1 else "NULL"
@@ -129,32 +134,102 @@ def _created(name: str, args: str) -> str:
         "to_hour": f"hour({local})",
         "line_separator": "'\\n'",
         "modular": f"(CASE WHEN {x} IS NULL OR {m} IS NULL OR {m} <= 0 OR CAST({x} AS BIGINT) = -9223372036854775808 THEN 0 ELSE CAST(abs(CAST({x} AS BIGINT)) % {m} AS INT) END)",
-        "hyper_log_log": f"hll_sketch_estimate(hll_sketch_agg({x}, 12))",
-        "hyper_log_log_temporary": f"hll_sketch_agg({x}, 12)",
         "hyper_log_log_merge": f"hll_sketch_estimate(hll_union_agg({x}))",
-        "percentile_temporary": f"kll_sketch_agg_double(CAST({x} AS DOUBLE))",
         "percentile_merge": f"kll_sketch_get_quantile_double(kll_merge_agg_double({x}), {zone})",
-        "percentile": f"coalesce(percentile_approx(CAST({x} AS DOUBLE), {zone}, 10000), double('NaN'))",
     }[name]
 
 
+#: Functions whose form depends on the type of what they take: partial sketches (binary) are merged, values are sketched.
+SKETCHES = ("hyper_log_log", "hyper_log_log_temporary", "percentile", "percentile_temporary")
+MARK = "__sketch_"
+_MARKED = re.compile(rf"\b{MARK}(\w+)\s*\(")
+
+
+def _sketch_forms(name: str, args: str, settings: dict[str, str]) -> list[str]:
+    """The forms of a call, to be tried in this order; the one for values comes first of those for values."""
+    parts = top_level_split(args)
+    x, q = parts[0], parts[1] if len(parts) > 1 else "0.5"
+    number = lambda key, default: float(settings.get(f"jobparam.{key}", default))
+    slots = log_slots(int(number("hyperloglog.number.slot", 4096)))
+    k = int(min(65535, max(8, 2 * number("percentile.compression.temporary", 100))))
+    accuracy = int(100 * number("percentile.compression", 100))
+    sketched = [f"hll_sketch_agg({v}, {slots})" for v in (x, f"CAST({x} AS STRING)")]
+    if name == "hyper_log_log":
+        return [f"hll_sketch_estimate(hll_union_agg({x}, true))", *[f"hll_sketch_estimate({v})" for v in sketched]]
+    if name == "hyper_log_log_temporary":
+        return sketched
+    if name == "percentile_temporary":
+        return [f"kll_sketch_agg_double(CAST({x} AS DOUBLE), {k})"]
+    merged = f"coalesce(kll_sketch_get_quantile_double(kll_merge_agg_double({x}), CAST({q} AS DOUBLE)), double('NaN'))"
+    return [merged, f"coalesce(percentile_approx(CAST({x} AS DOUBLE), {q}, {accuracy}), double('NaN'))"]
+
+
+def resolve_sketches(spark, text: str, settings: dict[str, str] | None = None) -> str:
+    """Replace marked sketch calls by the first of their forms that the analyser takes, inner calls first.
+
+    A form is tried with a stand-in for the calls that are not decided yet; nothing runs. Without a session calls take values.
+    """
+    while marks := list(_MARKED.finditer(text)):
+        m = marks[-1]  # the last call holds no other
+        end = closing(text, m.end() - 1)
+        forms = _sketch_forms(m[1], text[m.end() : end], settings or {})
+        chosen = forms[1] if m[1] in ("hyper_log_log", "percentile") else forms[0]
+        if spark is not None:
+            errors = []
+            for form in forms:
+                try:
+                    spark.sql(_standing_in(text[: m.start()]) + form + _standing_in(text[end + 1 :]))
+                    chosen = form
+                    break
+                except AnalysisException as e:
+                    errors.append(e)
+            else:
+                raise errors[-1]
+        text = text[: m.start()] + chosen + text[end + 1 :]
+    return text
+
+
+def _standing_in(text: str) -> str:
+    """Undecided calls as aggregates that take anything: partial sketches as binary, estimates as numbers."""
+    while m := _MARKED.search(text):
+        try:
+            end = closing(text, m.end() - 1)
+        except ValueError:  # the call holds the one that is tried
+            text = text[: m.start()] + "max(" + text[m.end() :]
+            continue
+        x = top_level_split(text[m.end() : end])[0]
+        stand = f"CAST(max(typeof({x})) AS BINARY)" if m[1].endswith("_temporary") else f"CAST(max(length(typeof({x}))) AS DOUBLE)"
+        text = text[: m.start()] + stand + text[end + 1 :]
+    return text
+
+
 #: Names that _created knows, to be activated by CREATE FUNCTION.
 CREATABLE = ("to_timestamp", "to_long_timestamp", "to_date", "to_hour", "line_separator", "modular", "hyper_log_log", "hyper_log_log_temporary", "hyper_log_log_merge", "percentile_temporary", "percentile_merge", "percentile")
 
+#: Table functions of Spark; others are known by registration.
+TABLE_FUNCTIONS = {"explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"}
 _LATERAL = re.compile(r"(?is)(,|(?:LEFT\s+|CROSS\s+|INNER\s+)?JOIN)\s+LATERAL\s+TABLE\s*\(")
 
 
-def _laterals(text: str) -> str:
-    """LEFT JOIN LATERAL TABLE(f(x)) AS t(c) ON TRUE to a lateral subquery with one row."""
+def _laterals(text: str, tables: set[str] | frozenset[str] = frozenset()) -> str:
+    """LEFT JOIN LATERAL TABLE(f(x)) AS t(c, ...) ON TRUE: a table function gives its rows, any other function one row.
+
+    Without a list of columns a function's one column is collect_result, as the session functions name it.
+    """
     out, i = [], 0
     for m in iter(lambda: _LATERAL.search(text, i), None):
         end = closing(text, m.end() - 1)
         call = text[m.end() : end]
-        tail = re.match(r"(?is)\s*(?:AS\s+)?(\w+)\s*\(([^)]*)\)", text[end + 1 :])
+        tail = re.match(r"(?is)\s*(?:AS\s+)?(?!ON\b)(\w+)(?:\s*\(([^)]*)\))?", text[end + 1 :])
         if not tail:
-            raise ValueError("LATERAL TABLE needs an alias with columns")
+            raise ValueError("LATERAL TABLE needs an alias")
         join = "CROSS JOIN" if m[1] == "," else m[1]
-        out += [text[i : m.start()], f" {join} LATERAL (SELECT {call} AS {tail[2].strip()}) AS {tail[1]}"]
+        name = re.match(r"\s*([\w.]+)", call)
+        if name and name[1].lower() in {*TABLE_FUNCTIONS, *map(str.lower, tables)}:
+            to = f"LATERAL {call.strip()} AS {tail[1]}" + (f"({tail[2].strip()})" if tail[2] else "")
+        else:
+            to = f"LATERAL (SELECT {call} AS {(tail[2] or 'collect_result').strip()}) AS {tail[1]}"
+        out += [text[i : m.start()], f" {join} {to}"]
         i = end + 1 + tail.end()
     return "".join(out) + text[i:]
 
@@ -192,9 +267,37 @@ def _as_of(spark, text: str, row_times: dict[str, str]) -> str:
     return text[: m.start()] + f"FROM {name} " + text[m.end() :]
 
 
-def rewrite_query(spark, text: str, created: frozenset[str] | set[str] = frozenset(), row_times: dict[str, str] | None = None) -> str:
-    """Rewrite the idioms of a whole query."""
-    return rewrite_expression(_laterals(_as_of(spark, text, row_times or {})), created)
+_WINDOWED = re.compile(r"(?is)\bTABLE\s*\(\s*(TUMBLE|HOP|CUMULATE)\s*\(")
+
+
+def _windowed_tables(text: str) -> str:
+    """TABLE(TUMBLE(TABLE t, DESCRIPTOR(ts), size)), HOP (slide, size) and CUMULATE (step, size) to rows with window_start,
+    window_end and window_time. A cumulating window's rows are in each of its steps that end after them."""
+    while m := _WINDOWED.search(text):
+        inner = closing(text, m.end() - 1)
+        source, descriptor, *spans = top_level_split(text[m.end() : inner])
+        name, column = re.sub(r"(?i)^TABLE\s+", "", source), re.fullmatch(r"(?is)DESCRIPTOR\s*\(\s*(.*?)\s*\)", descriptor)[1]
+        spans = [interval_text(x) for x in spans]
+        kind, end = m[1].upper(), closing(text, text.index("(", m.start()))
+        if kind == "CUMULATE":
+            step, size = (int(x.split()[0]) for x in spans)
+            if size % step:
+                raise ValueError("the size of a cumulating window is no multiple of its step")
+            steps = f"explode(filter(transform(sequence(1, {size // step}), k -> make_dt_interval(0, 0, 0, k * {step} / 1000)), x -> _w.start + x > `{column}`))"
+            rows = f"SELECT * EXCEPT (_w, _x), _w.start AS window_start, _w.start + _x AS window_end FROM (SELECT *, {steps} AS _x FROM (SELECT *, window({column}, '{spans[1]}') AS _w FROM {name}))"
+        else:
+            window = f"window({column}, '{spans[-1]}'" + (f", '{spans[0]}')" if kind == "HOP" else ")")
+            rows = f"SELECT * EXCEPT (_w), _w.start AS window_start, _w.end AS window_end FROM (SELECT *, {window} AS _w FROM {name})"
+        text = text[: m.start()] + f"(SELECT *, window_end - INTERVAL '0.001' SECOND AS window_time FROM ({rows}))" + text[end + 1 :]
+    return text
+
+
+def rewrite_query(spark, text: str, created: frozenset[str] | set[str] = frozenset(), row_times: dict[str, str] | None = None, *, settings: dict[str, str] | None = None, tables: set[str] | frozenset[str] = frozenset()) -> str:
+    """Rewrite the idioms of a whole query; tables: names of registered table functions."""
+    before = None
+    while before != text:  # one temporal join at a time
+        before, text = text, _as_of(spark, text, row_times or {})
+    return resolve_sketches(spark, rewrite_expression(_laterals(_windowed_tables(text), tables), created, typed=True), settings)
 
 
 def window_select(df: DataFrame, chosen: str, grouped: str) -> DataFrame:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
-from .functions import scalar, series, sketches
+from .functions import series
+from .operators.joins import co_process
 from .operators.running import reducer
 from .plans.sqlcompat import rewrite_expression, rewrite_query
+from .registry import Context, StreamNode, function
 from .sources import formats, lake
 from .sources.doris import DorisOptions, csv_line
 from .sources.elasticsearch import index_name
@@ -270,32 +273,88 @@ def udf_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("udf_modular", "SELECT event_id, CAST(abs(user_id - 75) % 7 AS INTEGER) AS m, 0 AS zero FROM events")(sql_query("SELECT event_id, modular(user_id - 75, 7) AS m, modular(user_id, 0) AS zero FROM events", "events", created=("modular",)))
 
 
-@query("hash_code", None)
+def _murmur_sql(source: str, width: int) -> str:
+    """The public MurmurHash3 x64 128 of (id, v, seed), v an unsigned number of up to eight bytes, in wide unsigned arithmetic."""
+    wide, full = "18446744073709551616::UHUGEINT", lambda x: f"({x})::UHUGEINT"
+    times = lambda x, n: f"({full(x)} * {n}::UHUGEINT % {wide})::UBIGINT"
+    plus = lambda x, y: f"(({full(x)} + {full(y)}) % {wide})::UBIGINT"
+    fold = lambda x: f"xor({x}, {x} >> 33)"
+    stages = [
+        ("m1", f"id, seed, {times('v', 0x87C37B91114253D5)} AS k"), ("m2", "id, seed, (((k::UHUGEINT * 2147483648) % " + wide + ")::UBIGINT | (k >> 33)) AS k"),
+        ("m3", f"id, xor(xor({times('k', 0x4CF5AD432745937F)}, seed), {width}::UBIGINT) AS a, xor(seed, {width}::UBIGINT) AS b"),
+        ("m4", f"id, {plus('a', 'b')} AS a, b"), ("m5", f"id, {fold('a')} AS a, {plus('a', 'b')} AS b"), ("m6", f"id, {times('a', 0xFF51AFD7ED558CCD)} AS a, {fold('b')} AS b"),
+        ("m7", f"id, {fold('a')} AS a, {times('b', 0xFF51AFD7ED558CCD)} AS b"), ("m8", f"id, {times('a', 0xC4CEB9FE1A85EC53)} AS a, {fold('b')} AS b"),
+        ("m9", f"id, {fold('a')} AS a, {times('b', 0xC4CEB9FE1A85EC53)} AS b"), ("m10", f"id, {plus('a', fold('b'))} AS c"),
+    ]
+    text, last = f"WITH m0 AS ({source})", "m0"
+    for name, columns in stages:
+        text, last = f"{text}, {name} AS (SELECT {columns} FROM {last})", name
+    return f"({text} SELECT id, CASE WHEN c >= 9223372036854775808 THEN (c::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE c::BIGINT END AS c FROM {last})"
+
+
+@query(
+    "hash_code",
+    f"SELECT x.id AS event_id, x.c AS of_bigint, y.c AS of_int, z.c AS of_smallint, CAST(abs(x.c) % 10 AS INTEGER) AS slot FROM {_murmur_sql('SELECT event_id AS id, event_id::UBIGINT AS v, 12331233::UBIGINT AS seed FROM events', 8)} x"
+    f" JOIN {_murmur_sql('SELECT event_id AS id, user_id::UBIGINT AS v, 12331233::UBIGINT AS seed FROM events', 4)} y USING (id)"
+    f" JOIN {_murmur_sql('SELECT event_id AS id, (user_id % 1000)::UBIGINT AS v, 12331233::UBIGINT AS seed FROM events', 2)} z USING (id)",
+)
 def hash_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = read(spark, sf_dir, "customer")
-    return df.select("c_custkey", scalar.hash_code(F.col("c_name"), df.schema["c_name"].dataType).alias("code"))
+    """Hash codes in SQL of numbers of three widths."""
+    text = "SELECT event_id, hash_code(CAST(event_id AS BIGINT)) AS of_bigint, hash_code(CAST(user_id AS INT)) AS of_int, hash_code(CAST(user_id % 1000 AS SMALLINT)) AS of_smallint, modular(hash_code(CAST(event_id AS BIGINT)), 10) AS slot FROM events"
+    return script_view(spark, sf_dir, f"<@template.udf_math/>\nCREATE VIEW out AS {text};", "events")
+
+
+#: Golden values of hash codes with the default seed.
+CODES = {
+    "CAST(7 AS INT)": 7622035119060863184, "CAST(7 AS BIGINT)": -501830596717637564, "CAST(7 AS SMALLINT)": -2856158084934654830, "CAST(0.5 AS FLOAT)": -993230763432976565, "CAST(0.5 AS DOUBLE)": 5101960142691148586, "'abc'": 9140291133480825749,
+    "'a longer text of more than sixteen bytes'": -4294848910498669387, "''": -8310777800790470800, "CAST(NULL AS STRING)": 0, "CAST(NULL AS INT)": 0,
+}
+
+
+@query("hash_code_golden", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {c})" for i, c in enumerate(CODES.values())) + ") t(i, code)")
+def hash_code_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = " UNION ALL ".join(f"SELECT {i} AS i, hash_code({x}) AS code" for i, x in enumerate(CODES))
+    return script_view(spark, sf_dir, f"<@template.udf_math/>\nCREATE VIEW out AS {text};")
+
+
+def script_view(spark: SparkSession, sf_dir: str, script: str, *tables: str) -> DataFrame:
+    """What a script leaves in its view `out`, over the tables."""
+    from .script.runner import run_script
+
+    for t in tables:
+        read(spark, sf_dir, t).createOrReplaceTempView(t)
+    run_script(spark, script, start=False)
+    return spark.table("out")
+
+
+TWO_PHASE = """
+<@template.udf_statistics />
+<@template.udf_math />
+CREATE VIEW out AS
+SELECT event_type, unix_millis(CAST(TUMBLE_START(event_time, INTERVAL '1' DAY) AS TIMESTAMP)) - {zero} AS start_ms, {full}
+FROM (
+    SELECT event_type, TUMBLE_ROWTIME(ts, INTERVAL '1' HOUR) AS event_time, {part}
+    FROM events
+    GROUP BY TUMBLE(ts, INTERVAL '1' HOUR), event_type, modular(hash_code(user_id), 10)
+) GROUP BY TUMBLE(event_time, INTERVAL '1' DAY), event_type;
+"""
 
 
-@query("hll_two_phase", "SELECT l_returnflag, true AS close FROM lineitem GROUP BY 1")
+@query("hll_two_phase", f"SELECT event_type, {MS} // 86400000 * 86400000 AS start_ms, count(DISTINCT user_id)::BIGINT AS users, count(DISTINCT value)::BIGINT AS kinds, true AS n_close FROM events GROUP BY 1, 2")
 def hll_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partial sketches by key and salt, then merged; near the exact count."""
-    df = read(spark, sf_dir, "lineitem")
-    part = df.groupBy("l_returnflag", scalar.modular(F.xxhash64("l_orderkey"), F.lit(10)).alias("salt")).agg(sketches.hyper_log_log_temporary(F.col("l_partkey")).alias("s"))
-    full = part.groupBy("l_returnflag").agg(sketches.hyper_log_log_merge(F.col("s")).alias("n"))
-    exact = df.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("e"))
-    return full.join(exact, "l_returnflag").select("l_returnflag", (F.abs(F.col("n") - F.col("e")) <= 0.08 * F.col("e")).alias("close"))
+    """Partial sketches by hour and salt, merged by day through the same function; exact for counts as small as these."""
+    text = TWO_PHASE.format(zero=ZERO, full="hyper_log_log(s) AS users, hyper_log_log(d) AS kinds, abs(hyper_log_log(s) - sum(n)) <= sum(n) AS n_close", part="hyper_log_log_temporary(user_id) AS s, hyper_log_log_temporary(value) AS d, count(*) AS n")
+    return script_view(spark, sf_dir, text, "events")
 
 
-@query("percentile_two_phase", "SELECT l_returnflag, true AS close, true AS one_phase FROM lineitem GROUP BY 1")
+@query(
+    "percentile_two_phase",
+    f"SELECT user_id, {MS} // 86400000 * 86400000 AS start_ms, quantile_disc(value, 0.5)::DOUBLE AS p50, quantile_disc(value, 0.9)::DOUBLE AS p90, max(value)::DOUBLE AS once FROM events GROUP BY 1, 2",
+)
 def percentile_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partial quantile sketches by key and salt, then merged, and in one phase; both near the exact quantile in rank."""
-    df = read(spark, sf_dir, "lineitem")
-    part = df.groupBy("l_returnflag", (F.col("l_orderkey") % 10).alias("salt")).agg(sketches.percentile_temporary(F.col("l_extendedprice")).alias("s"))
-    full = part.groupBy("l_returnflag").agg(sketches.percentile_merge(F.col("s"), 0.9).alias("p"))
-    once = df.groupBy("l_returnflag").agg(sketches.percentile(F.col("l_extendedprice"), 0.9).alias("o"))
-    both = full.join(once, "l_returnflag")
-    rank = lambda c: F.abs(F.avg((F.col("l_extendedprice") <= F.col(c)).cast("double")) - 0.9) <= 0.02
-    return df.join(F.broadcast(both), "l_returnflag").groupBy("l_returnflag").agg(rank("p").alias("close"), rank("o").alias("one_phase"))
+    """Partial digests by hour, event type and salt, merged by day through the same function, and a percentile in one phase."""
+    text = TWO_PHASE.format(zero=ZERO, full="percentile(s, 0.5) AS p50, percentile(s, 0.9) AS p90, percentile(top, 1.0) AS once", part="percentile_temporary(value) AS s, max(value) AS top")
+    return script_view(spark, sf_dir, text.replace("event_type, unix", "user_id, unix").replace("SELECT event_type, TUMBLE", "SELECT user_id, TUMBLE").replace("DAY), event_type;", "DAY), user_id;").replace("event_type, modular", "event_type, user_id, modular"), "events")
 
 
 query(
@@ -303,12 +362,155 @@ query(
     "SELECT event_type, 'n' AS metric, count(*)::BIGINT AS v FROM events GROUP BY 1 UNION ALL SELECT event_type, 'users', count(DISTINCT user_id)::BIGINT FROM events GROUP BY 1 UNION ALL SELECT event_type, 'top', max(CAST(round(value * 100) AS BIGINT))::BIGINT FROM events GROUP BY 1",
 )(
     sql_query(
-        "SELECT event_type, metric, v FROM (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, max(CAST(round(value * 100) AS BIGINT)) AS top FROM events GROUP BY event_type) LATERAL VIEW stack(3, 'n', n, 'users', users, 'top', top) s AS metric, v",
+        "SELECT event_type, metric, v FROM (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, max(CAST(round(value * 100) AS BIGINT)) AS top FROM events GROUP BY event_type) AS m LEFT JOIN LATERAL TABLE(stack(3, 'n', n, 'users', users, 'top', top)) AS s(metric, v) ON TRUE",
         "events",
     )
 )
 
 
+@F.udtf(returnType="place int, word string")
+class WordsOf:
+    """A table function of several rows and columns: the words of a text with their places."""
+
+    def eval(self, text: str):
+        for i, word in enumerate((text or "").split()):
+            yield i, word
+
+
+@query("lateral_udtf", "SELECT p_partkey, i::INTEGER AS place, w[i + 1] AS word FROM (SELECT p_partkey, w, unnest(range(len(w))) AS i FROM (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part))")
+def lateral_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "CREATE TEMPORARY FUNCTION words_of AS 'weirstream.queries.WordsOf' LANGUAGE PYTHON;\nCREATE VIEW out AS SELECT p_partkey, t.place, t.word FROM part LEFT JOIN LATERAL TABLE(words_of(p_type)) AS t(place, word) ON TRUE;"
+    return script_view(spark, sf_dir, text, "part")
+
+
+@query("view_columns", "SELECT n_nationkey AS p, upper(n_name) AS q FROM nation")
+def view_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return script_view(spark, sf_dir, "CREATE VIEW out (p, q) AS SELECT n_nationkey, upper(n_name) FROM nation;", "nation")
+
+
+def _written(spark: SparkSession, sf_dir: str, inserts: str) -> DataFrame:
+    from uuid import uuid4
+
+    from .script.runner import run_script
+
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/weirstream-{uuid4().hex}"
+    read(spark, sf_dir, "nation").createOrReplaceTempView("nation")
+    run_script(spark, f"CREATE TABLE o (k BIGINT, region BIGINT, name STRING, note STRING) WITH ('connector' = 'parquet', 'path' = '{path}');\n{inserts}")
+    return spark.read.parquet(path)
+
+
+@query("insert_columns", "SELECT n_nationkey::BIGINT AS k, NULL::BIGINT AS region, n_name AS name, NULL::VARCHAR AS note FROM nation")
+def insert_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir, "INSERT INTO o (name, k) SELECT n_name, n_nationkey FROM nation;")
+
+
+@query("insert_overwrite", "SELECT n_nationkey::BIGINT AS k, n_regionkey::BIGINT AS region, n_name AS name, 'b' AS note FROM nation WHERE n_regionkey = 1")
+def insert_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir, "INSERT INTO o SELECT n_nationkey, n_regionkey, n_name, 'a' FROM nation;\nINSERT OVERWRITE o (note, k, region, name) SELECT 'b', n_nationkey, n_regionkey, n_name FROM nation WHERE n_regionkey = 1;")
+
+
+@query("time_functions", f"SELECT event_id, {MS} AS back, {MS} // 1000 * 1000 AS from_seconds, chr(10) AS mark FROM events")
+def time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.unix_millis(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+    read(spark, sf_dir, "events").select("event_id", at.alias("ms")).createOrReplaceTempView("stamped")
+    text = "SELECT event_id, to_long_timestamp(to_timestamp(ms)) AS back, to_long_timestamp(to_timestamp(CAST(ms div 1000 AS INT))) AS from_seconds, line_separator() AS mark FROM stamped"
+    return script_view(spark, sf_dir, f"<@template.udf_time/>\n<@template.udf_basic/>\nCREATE VIEW out AS {text};")
+
+
+@query("packed_collects", "SELECT user_id, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS longs, sum(user_id)::BIGINT AS ints, sum(event_id % 100)::BIGINT AS shorts, sum(event_id % 10)::BIGINT AS bytes, sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS bools, sum(event_id)::DOUBLE AS doubles, sum(event_id % 8)::DOUBLE AS floats, string_agg(event_type, ',' ORDER BY event_id) AS strings, string_agg(event_type, ',' ORDER BY event_id) AS binaries FROM events GROUP BY 1")
+def packed_collects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine session_*_collect functions as table functions over packed bytes."""
+    kinds = {"long": ("BIGINT", "event_id"), "int": ("INT", "user_id"), "short": ("SMALLINT", "event_id % 100"), "byte": ("TINYINT", "event_id % 10"), "bool": ("BOOLEAN", "event_id % 2 = 0"), "double": ("DOUBLE", "event_id"), "float": ("FLOAT", "event_id % 8"), "string": ("STRING", "event_type"), "binary": ("BINARY", "event_type")}
+    row = F.struct("event_id", *[F.expr(f"CAST({x} AS {kind})").alias(k) for k, (kind, x) in kinds.items()])
+    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    rows.select("user_id", *[series.encode_series(kind)(F.col(f"rows.{k}")).alias(k) for k, (kind, _) in kinds.items()]).createOrReplaceTempView("packed_all")
+    joins = " ".join(f"LEFT JOIN LATERAL TABLE(session_{k}_collect(p.{k})) AS t_{k} ON TRUE" for k in kinds)
+    total = lambda k, kind: f"aggregate(t_{k}.collect_result, CAST(0 AS {kind}), (a, x) -> a + CAST(x AS {kind})) AS {k}s"
+    columns = ["CAST(size(t_long.collect_result) AS BIGINT) AS n", *[total(k, "BIGINT") for k in ("long", "int", "short", "byte")], "aggregate(t_bool.collect_result, CAST(0 AS BIGINT), (a, x) -> a + IF(x, 1, 0)) AS bools", total("double", "DOUBLE"), total("float", "DOUBLE")]
+    columns += ["array_join(t_string.collect_result, ',') AS strings", "array_join(transform(t_binary.collect_result, x -> CAST(x AS STRING)), ',') AS binaries"]
+    return script_view(spark, sf_dir, f"<@template.udf_session_value/>\nCREATE VIEW out AS SELECT p.user_id, {', '.join(columns)} FROM packed_all AS p {joins};")
+
+
+@function("shout")
+def shout(ctx: Context, node: StreamNode, options: dict, other=None) -> StreamNode:
+    """A registered function for MAP and TRANSFORM: a text column in capitals."""
+    return node.on(node.df.withColumn(options["field"], F.upper(options["field"])))
+
+
+@function("only_in_both")
+def only_in_both(ctx: Context, node: StreamNode, options: dict, other: StreamNode | None = None) -> StreamNode:
+    """A registered function of two streams: rows whose keys the other stream holds."""
+    on = [node.df[a] == other.df[b] for a, b in zip(node.need_keys(), other.need_keys())]
+    return node.on(node.df.join(other.df, on, "left_semi"))
+
+
+for _word in ("MAP", "TRANSFORM"):
+    query(f"{_word.lower()}_function", "SELECT n_nationkey, upper(n_name) AS n_name FROM nation")(
+        lambda spark, sf_dir, word=_word: engine(spark, sf_dir, "nation").execute(f"PRINT FROM nation {word} WITH('identity'='shout', 'field'='n_name')").visible().select("n_nationkey", "n_name")
+    )
+
+
+@query("transform_with", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 0)")
+def transform_with(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "supplier", "customer")
+    e.execute("CREATE STREAM some FROM customer FILTER WITH('expression'='c_custkey % 50 = 0') KEY BY WITH('fields'='c_nationkey')")
+    return e.execute("PRINT FROM supplier KEY BY WITH('fields'='s_nationkey') TRANSFORM some WITH('identity'='only_in_both')").visible().select("s_suppkey")
+
+
+@co_process("counts_of_both", "nation bigint, customers bigint, suppliers bigint")
+def counts_of_both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    key = left["c_nationkey"].iloc[0] if len(left) else right["s_nationkey"].iloc[0]
+    return pd.DataFrame({"nation": [int(key)], "customers": [len(left)], "suppliers": [len(right)]})
+
+
+@query("co_process", "SELECT coalesce(c.k, s.k)::BIGINT AS nation, coalesce(c.n, 0)::BIGINT AS customers, coalesce(s.n, 0)::BIGINT AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) c FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) s ON c.k = s.k")
+def co_process_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir, "supplier", "customer")
+    e.execute("CREATE STREAM s FROM supplier MAP WITH('expression'='s_nationkey') KEY BY WITH('fields'='s_nationkey')")
+    return e.execute("PRINT FROM customer MAP WITH('expression'='c_nationkey') KEY BY WITH('fields'='c_nationkey') CONNECT s WITH('identity'='counts_of_both')").visible()
+
+
+query("sql_interval_join", f"SELECT p.event_id AS purchase_id, v.event_id AS view_id FROM events p JOIN events v ON p.user_id = v.user_id AND p.event_type = 'purchase' AND v.event_type = 'view' AND v.ts BETWEEN p.ts - INTERVAL 1 HOUR AND p.ts")(
+    sql_query("SELECT p.event_id AS purchase_id, v.event_id AS view_id FROM events AS p JOIN events AS v ON p.user_id = v.user_id AND p.event_type = 'purchase' AND v.event_type = 'view' AND v.ts BETWEEN p.ts - INTERVAL '1' HOUR AND p.ts", "events")
+)
+
+
+@query("temporal_table_function", f"WITH {SIDES} SELECT {OUT} FROM p ASOF JOIN v ON p.user_id = v.user_id AND p.ms >= v.ms")
+def temporal_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events")
+    events.where("event_type = 'purchase'").createOrReplaceTempView("purchase_log")
+    events.where("event_type = 'view'").createOrReplaceTempView("view_log")
+    text = """
+    CREATE TEMPORARY TABLE FUNCTION latest_view KEY user_id TIMESTAMP ts FROM view_log;
+    CREATE VIEW out AS SELECT p.event_id AS purchase_id, p.user_id, v.event_id AS view_id, v.value AS view_value
+      FROM purchase_log AS p, LATERAL TABLE(latest_view(p.ts)) AS v WHERE p.user_id = v.user_id;
+    """
+    return script_view(spark, sf_dir, text)
+
+
+for _kind, _spans, _windows in (
+    ("TUMBLE", "INTERVAL '1' DAY", "unnest([ms // 86400000 * 86400000]) AS s, 86400000 AS d"),
+    ("HOP", "INTERVAL '12' HOUR, INTERVAL '1' DAY", "unnest([ms // 43200000 * 43200000, ms // 43200000 * 43200000 - 43200000]) AS s, 86400000 AS d"),
+    ("CUMULATE", "INTERVAL '6' HOUR, INTERVAL '1' DAY", "ms // 86400000 * 86400000 AS s, unnest(range(ms % 86400000 // 21600000 + 1, 5)) * 21600000 AS d"),
+):
+    query(f"{_kind.lower()}_table", f"SELECT event_type, s AS start_ms, s + d AS end_ms, count(*) AS n FROM (SELECT event_type, {_windows} FROM (SELECT *, {MS} AS ms FROM events)) GROUP BY ALL")(
+        sql_query(f"SELECT event_type, unix_millis(CAST(window_start AS TIMESTAMP)) - {ZERO} AS start_ms, unix_millis(CAST(window_end AS TIMESTAMP)) - {ZERO} AS end_ms, count(*) AS n FROM TABLE({_kind}(TABLE events, DESCRIPTOR(ts), {_spans})) GROUP BY event_type, window_start, window_end", "events")
+    )
+
+_REBUCKET = "PROCESS WITH('identity'='session_tumble_2_tumble_window', 'fields'='user_id', 'eventtime'='at', 'values'='ids', 'values.origin-type'='BIGINT', 'time-series.name'='stamps', 'session.duration'='12 h', 'tumble.interval'='3 h')"
+
+
+@query("rebucket_packed", f"SELECT user_id, {MS} // 10800000 * 10800000 + 10799999 AS event_ms, string_agg(event_id::VARCHAR, ',' ORDER BY {MS}, event_id) AS ids FROM events GROUP BY user_id, {MS} // 10800000")
+def rebucket_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed bytes of each user's times and ids, dealt in windows."""
+    at = F.unix_millis(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()))
+    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(at.alias("ms"), F.col("event_id").alias("id")))).alias("rows"))
+    packed = rows.select("user_id", F.element_at("rows", -1)["ms"].alias("at"), series.encode_series("BIGINT")(F.col("rows.ms")).alias("stamps"), series.encode_series("BIGINT")(F.col("rows.id")).alias("ids"))
+    e = Engine(spark)
+    e.register("packed_sessions", packed)
+    return e.execute(f"PRINT FROM packed_sessions {BY_USER} {_REBUCKET}").visible().selectExpr("user_id", "at AS event_ms", "array_join(ids, ',') AS ids")
+
+
 @query("json_object", "SELECT n_nationkey, n_name AS name, n_regionkey AS region, true AS kept_null FROM nation")
 def json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = read(spark, sf_dir, "nation").selectExpr("n_nationkey", rewrite_expression("JSON_OBJECT('name' VALUE n_name, 'region' VALUE n_regionkey, 'none' VALUE CAST(NULL AS STRING)) AS j"))

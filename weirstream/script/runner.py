@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from importlib import import_module
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..dialect import ParseError, parse
 from ..engine import Engine, watermark
@@ -31,13 +31,21 @@ CLASSES = {
 }
 
 
+class Insert(NamedTuple):
+    """A sink's name, what goes there, and whether it replaces what is there."""
+
+    name: str
+    df: DataFrame
+    overwrite: bool = False
+
+
 @dataclass
 class Result:
     """What a script leaves: its engine, printed frames, and its sinks with what they started."""
 
     engine: Engine
     printed: list[DataFrame] = field(default_factory=list)
-    inserts: list[tuple[str, DataFrame]] = field(default_factory=list)
+    inserts: list[Insert] = field(default_factory=list)
     started: list = field(default_factory=list)
 
 
@@ -46,8 +54,13 @@ _TABLE = re.compile(r"(?is)CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXIST
 _TABLE_REST = re.compile(r"(?is)\s*(?:COMMENT\s+'[^']*'\s*)?(?:PARTITIONED\s+BY\s*\(([^)]*)\)\s*)?WITH\s*\((.*)\)")
 _FUNCTION = re.compile(r"(?is)CREATE\s+(?:TEMPORARY\s+)?(?:SYSTEM\s+)?FUNCTION\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.]+)\s+AS\s+'([^']+)'(?:\s+LANGUAGE\s+\w+)?")
 _TEMPORAL = re.compile(r"(?is)CREATE\s+TEMPORARY\s+TABLE\s+FUNCTION\s+(\w+)\s+KEY\s+(\w+)\s+TIMESTAMP\s+(\w+)\s+FROM\s+([\w.]+)")
-_VIEW = re.compile(r"(?is)CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMPORARY\s+)?VIEW\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.`]+)\s*(?:\([^)]*\)\s*)?AS\s+(.*)")
-_INSERT = re.compile(r"(?is)INSERT\s+(?:INTO|OVERWRITE)\s+([\w.`]+)\s*(?:\(([^)]*)\))?\s*((?:SELECT|WITH|VALUES)\b.*)")
+_VIEW = re.compile(r"(?is)CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMPORARY\s+)?VIEW\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.`]+)\s*(?:\(([^)]*)\)\s*)?AS\s+(.*)")
+_INSERT = re.compile(r"(?is)INSERT\s+(INTO|OVERWRITE)\s+([\w.`]+)\s*(?:\(([^)]*)\))?\s*((?:SELECT|WITH|VALUES)\b.*)")
+
+
+def _names(text: str) -> list[str]:
+    """A list of column names; comments after them are dropped."""
+    return [re.match(r"`?([^`\s]+)`?", x)[1] for x in top_level_split(text)]
 
 
 def _pairs(text: str) -> dict[str, str]:
@@ -107,6 +120,7 @@ class Runner:
         self.tables: dict[str, TableDef] = {}
         self.created: set[str] = set()
         self.lookups: dict[str, tuple[str, str, str]] = {}
+        self.table_functions: set[str] = set()
         self.result = Result(self.engine)
 
     def run(self, statement: str) -> None:
@@ -146,12 +160,23 @@ class Runner:
         elif re.match(r"(?is)CREATE\s+VIEW\s+\S+\s+(WITH\s*\(|FROM\b)", text):
             raise Unsupported(text)
         elif m := _VIEW.fullmatch(text):
-            self.sql(m[2]).createOrReplaceTempView(m[1].strip("`"))
+            df = self.sql(m[3])
+            if m[2] is not None:
+                names = _names(m[2])
+                if len(names) != len(df.columns):
+                    raise ValueError(f"view {m[1]} names {len(names)} columns of {len(df.columns)}")
+                df = df.toDF(*names)
+            df.createOrReplaceTempView(m[1].strip("`"))
         elif m := _INSERT.fullmatch(text):
-            name = m[1].strip("`")
+            name, overwrite = m[2].strip("`"), m[1].upper() == "OVERWRITE"
             if name not in self.tables:
                 raise ValueError(f"unknown table {name}")
-            self.result.inserts.append((name, self.sql(m[3])))
+            df = self.sql(m[4])
+            if overwrite and df.isStreaming:
+                raise ValueError("a stream cannot overwrite a table")
+            if m[3] is not None:
+                df = self._arranged(self.tables[name], df, _names(m[3]))
+            self.result.inserts.append(Insert(name, df, overwrite))
         elif m := re.fullmatch(r"(?is)CREATE\s+CATALOG\s+(\w+)\s+WITH\s*\((.*)\)", text):
             self.engine.context.settings |= {f"catalog.{m[1]}.{k}": v for k, v in _pairs(m[2]).items()}
         elif m := re.fullmatch(r"(?is)CREATE\s+DATABASE\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.]+)", text):
@@ -163,6 +188,18 @@ class Runner:
         else:
             raise Unsupported(f"statement is not supported: {text[:80]}")
 
+    @staticmethod
+    def _arranged(t: TableDef, df: DataFrame, names: list[str]) -> DataFrame:
+        """The columns of a row by the names of an INSERT's list, in the order of the table; those not named are null."""
+        if len(names) != len(df.columns) or len(set(names)) < len(names):
+            raise ValueError(f"INSERT INTO {t.name} names {names} for {len(df.columns)} columns")
+        df, types = df.toDF(*names), dict(t.columns)
+        if not types:
+            return df
+        if unknown := [n for n in names if n not in types]:
+            raise ValueError(f"table {t.name} has no columns {unknown}")
+        return df.select(*[F.col(n) if n in names else F.lit(None).cast(kind).alias(n) for n, kind in types.items()])
+
     def _function(self, name: str, path: str) -> None:
         last = path.rpartition(".")[2].lower()
         builtin = name if name in CREATABLE or name in ("hash_code",) or name in {f"session_{k}_collect" for k in series.COLLECTS} else CLASSES.get(last, last)
@@ -170,14 +207,17 @@ class Runner:
             self.created.add(builtin)
         elif builtin == "hash_code":
             seed = int(self.engine.context.settings.get("jobparam.hashcode.seed", scalar.HASH_SEED))
-            run = lambda x: 0 if x is None else scalar.murmur3_x64_128(str(x).encode(), seed) if isinstance(x, str) else scalar.murmur3_x64_128(scalar._bytes_of(x, T.LongType() if isinstance(x, int) else T.DoubleType()), seed)
-            self.spark.udf.register(name, F.udf(run, "bigint"))
+            self.spark.udf.register(name, scalar.hash_code_function(seed))
         elif (kind := re.fullmatch(r"session_(\w+)_collect", builtin)) and kind[1] in series.COLLECTS:
             self.spark.udf.register(name, series.collect_function(kind[1]))
         else:
             module, _, attribute = path.rpartition(".")
             f = getattr(import_module(module), attribute)
-            (self.spark.udtf if hasattr(f, "evalType") and type(f).__name__ == "UserDefinedTableFunction" else self.spark.udf).register(name, f)
+            if type(f).__name__ == "UserDefinedTableFunction":
+                self.spark.udtf.register(name, f)
+                self.table_functions.add(name)
+            else:
+                self.spark.udf.register(name, f)
 
     def _ensure(self, name: str) -> None:
         """Open a declared table when it is first read."""
@@ -199,7 +239,7 @@ class Runner:
                 self._ensure(name)
         text = self._lookup(text)
         times = {k: v[0] for k, v in self.engine.row_times.items()}
-        return self.spark.sql(rewrite_query(self.spark, text, self.created, times))
+        return self.spark.sql(rewrite_query(self.spark, text, self.created, times, settings=self.engine.context.settings, tables=self.table_functions))
 
     def _lookup(self, text: str) -> str:
         """A temporal table function, LATERAL TABLE(f(l.ts)) AS r WHERE l.k = r.k, as FOR SYSTEM_TIME AS OF."""
@@ -219,8 +259,8 @@ def run_script(spark: SparkSession, text: str, settings: list[str] | None = None
     for statement in [*(settings or []), *split_statements(prepare(text, values), strict)]:
         runner.run(statement.strip().rstrip(";"))
     if start:
-        for name, df in runner.result.inserts:
-            runner.result.started.append(write_sink(df, runner.tables[name]))
+        for name, df, overwrite in runner.result.inserts:
+            runner.result.started.append(write_sink(df, runner.tables[name], overwrite))
         for df in runner.result.printed:
             runner.result.started.append(write_sink(df, TableDef("print", options={"connector": "print"})))
     return runner.result

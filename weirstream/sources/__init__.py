@@ -61,9 +61,12 @@ def open_source(spark: SparkSession, t: TableDef) -> DataFrame:
     raise ValueError(f"connector {kind!r} has no source")
 
 
-def write_sink(df: DataFrame, t: TableDef):
-    """Write a batch, or start a stream, to a declared table; a batch returns None."""
+def write_sink(df: DataFrame, t: TableDef, overwrite: bool = False):
+    """Write a batch, or start a stream, to a declared table; a batch returns None. Only files can be overwritten: a partitioned
+    table in the partitions that rows come for, another whole."""
     kind = t.options.get("connector", "")
+    if overwrite and kind not in ("parquet", "paimon", "filesystem"):
+        raise ValueError(f"connector {kind!r} cannot overwrite")
     if t.columns and len(t.columns) == len(df.columns):
         df = df.toDF(*[n for n, _ in t.columns])
     if kind.endswith("elasticsearch-6"):
@@ -84,7 +87,7 @@ def write_sink(df: DataFrame, t: TableDef):
     if kind in ("parquet", "paimon", "filesystem"):
         from .lake import write_lake
 
-        return write_lake(df, t)
+        return write_lake(df, t, overwrite)
     if kind == "hbase-2.2":
         from .lake import hbase_cells
 

@@ -101,8 +101,15 @@ def alive_backends(rows: list[dict]) -> list[str]:
 
 
 def write_stream_load(df: DataFrame, table, options: DorisOptions, batch_id: int) -> int:
-    """Load all rows before the batch ends; returns the number of lines. Labels name batch, part and piece."""
-    columns, run = df.columns, uuid.uuid4().hex[:8]
+    """Load all rows before the batch ends; returns the number of lines.
+
+    Labels name the streaming query, which keeps its id over restarts, batch, part and piece, so a batch that runs again loads
+    nothing twice; a batch outside of a stream is a load of its own. Rows are dealt and sorted by their text, so that parts and
+    pieces are the same when a batch runs again.
+    """
+    columns = df.columns
+    query = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    run = query.replace("-", "")[:12] if query else uuid.uuid4().hex[:12]
     db, name = options.table.split(".")
     nodes = [x.strip() for x in options.fenodes.split(",")]
 
@@ -136,7 +143,10 @@ def write_stream_load(df: DataFrame, table, options: DorisOptions, batch_id: int
             load(held, f"{db}_{name}_{run}_{batch_id}_{at}_{piece}")
         yield pd.DataFrame({"n": [n]})
 
-    return df.select(csv_line(df, options).alias("line")).mapInPandas(part, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lines = df.select(csv_line(df, options).alias("line"))
+    if query:
+        lines = lines.repartition(max(1, df.sparkSession.sparkContext.defaultParallelism), F.xxhash64("line")).sortWithinPartitions("line")
+    return lines.mapInPandas(part, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def doris_type(kind: T.DataType) -> str:

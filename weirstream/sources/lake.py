@@ -12,13 +12,14 @@ def partition_time(date: Column, hour: Column) -> Column:
     return F.to_timestamp(F.concat(date, hour), "yyyyMMddHH")
 
 
-def write_lake(df: DataFrame, table):
-    """Append to Parquet files with zstd, partitioned as declared; rows are dealt by partition, so each writes few files."""
-    options = {"compression": table.options.get("compression", "zstd")}
+def write_lake(df: DataFrame, table, overwrite: bool = False):
+    """Append to Parquet files with zstd, or replace them, partitioned as declared; rows are dealt by partition, so each writes few
+    files. Replacing a partitioned table leaves the partitions that no row is for."""
+    options = {"compression": table.options.get("compression", "zstd")} | ({"partitionOverwriteMode": "dynamic"} if overwrite else {})
     if df.isStreaming:
         writer = df.writeStream.format("parquet").options(**options, path=table.options["path"], checkpointLocation=table.options["checkpoint"])
         return (writer.partitionBy(*table.partitions) if table.partitions else writer).start()
-    writer = (df.hint("rebalance", *table.partitions) if table.partitions else df).write.mode(table.options.get("mode", "append")).options(**options)
+    writer = (df.hint("rebalance", *table.partitions) if table.partitions else df).write.mode("overwrite" if overwrite else table.options.get("mode", "append")).options(**options)
     return (writer.partitionBy(*table.partitions) if table.partitions else writer).parquet(table.options["path"])
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..registry import SEQ, StreamNode
-from ..types import field_list, millis
+from ..types import field_list, like_event_time, millis
 
 BLOB = T.StructType([T.StructField("blob", T.BinaryType())])
 MS = "_ms"
@@ -229,6 +229,57 @@ class Running(StatefulProcessor):
         pass
 
 
+class Reducing(Running):
+    """A user's binary function over rows (dicts) in order of arrival."""
+
+    def __init__(self, names: list[str], function):
+        self.names, self.function = names, function
+
+    def _step(self, state: dict, row: dict) -> dict:
+        keep = {n: state[n] for n in self.names}
+        return {**state, **self.function(keep, {n: row[n] for n in self.names})}
+
+
+class Rebucketing(Timed):
+    """Points of session windows in tumbling windows, given out once the watermark has passed a window's end and a session's length."""
+
+    def __init__(self, fields: list[str], values: list[str], interval: int, duration: int, out: list[str]):
+        self.fields, self.values, self.interval, self.duration, self.out = fields, values, interval, duration, out
+
+    def handleInputRows(self, key, rows, timerValues):
+        memo = pickle.loads(bytes(self.memo.get()[0])) if self.memo.exists() else {}
+        now = timerValues.getCurrentWatermarkInMs()
+        for row in sorted((r.asDict() for r in rows), key=lambda r: r.get(SEQ) or 0):
+            for i, ts in enumerate(row["_stamps"] or ()):
+                start = ts // self.interval * self.interval if ts is not None else None
+                if start is None or start + self.interval + self.duration <= now:
+                    continue  # too late for its window
+                window = memo.setdefault(start, {"first": [row[f] for f in self.fields], "stamps": [], "series": [[] for _ in self.values]})
+                window["stamps"].append(ts)
+                for series, name in zip(window["series"], self.values):
+                    value = row[name][i] if row[name] is not None and i < len(row[name]) else None
+                    if value is not None:
+                        series.append(value)
+        return self._left(memo, now, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        memo = pickle.loads(bytes(self.memo.get()[0])) if self.memo.exists() else {}
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        for start in sorted(memo):
+            if start + self.interval + self.duration <= now:
+                w = memo.pop(start)
+                out.append(named(self.out, [*w["first"], start + self.interval - 1, *w["series"], w["stamps"]]))
+        return self._left(memo, now, out)
+
+    def _left(self, memo: dict, now: int, out: list[Row]) -> Iterator[Row]:
+        if memo:
+            self.memo.update((pickle.dumps(memo),))
+            self.handle.registerTimer(max(min(memo) + self.interval + self.duration, now + 1))
+        else:
+            self.memo.clear()
+        return iter(out)
+
+
 def _prepared(node: StreamNode, event_time: str) -> tuple[DataFrame, list[str]]:
     names = node.visible().columns
     df = node.df.withColumn(MS, millis(node.df, event_time))
@@ -284,3 +335,25 @@ def session_tumble_stream(node: StreamNode, fields, values, event_time: str, ser
     )
     out = _run(df, node.keys, SessionTumble([a for a, _ in fields], [a for a, _ in values], duration, schema.names), schema)
     return out.select(*[b for _, b in [*fields, *values]], F.timestamp_millis("_end").alias(event_time), series, "_window_start_timestamp")
+
+
+def reduce_stream(node: StreamNode, function) -> DataFrame:
+    df = node.df.withColumn(SEQ, F.col(node.seq)) if node.seq and node.seq != SEQ else node.df
+    return _run(df, node.keys, Reducing(node.visible().columns, function), node.visible().schema, time=False)
+
+
+def session_to_tumble_stream(node: StreamNode, stamps, arrays, fields, values, event_time: str, series: str, interval: int, duration: int) -> DataFrame:
+    """stamps and arrays: columns of the decoded series; rows whose event time is null are dropped."""
+    df = node.df.withColumn(SEQ, F.col(node.seq)) if node.seq and node.seq != SEQ else node.df
+    names = [f"_v{i}" for i in range(len(values))]
+    df = df.where(F.col(event_time).isNotNull()).withColumn("_stamps", stamps)
+    for name, array in zip(names, arrays):
+        df = df.withColumn(name, array)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    schema = T.StructType(
+        [T.StructField(b, kinds[a]) for a, b in fields] + [T.StructField("_end", T.LongType())] + [T.StructField(b, kinds[n]) for n, (_, b) in zip(names, values)]
+        + [T.StructField(series, T.ArrayType(T.LongType()))]
+    )
+    out = _run(df, node.keys, Rebucketing([a for a, _ in fields], names, interval, duration, schema.names), schema)
+    end = like_event_time(F.col("_end"), kinds[event_time]).alias(event_time)
+    return out.select(*[b for _, b in fields], end, *[b for _, b in values], series)
