@@ -7,6 +7,7 @@ def test_pipeline(spark, documents, sentence, tmp_path):
     bad = ["grumblot", "vexnard", "slimewort"]
     rows = [(i, sentence(i, 60) + (f" {bad[i % 3]} x {bad[(i + 1) % 3]}" if i % 4 == 0 else ""), f"s{i % 2}") for i in range(240)]
     rows += [(1000, rows[1][1], "s0"), (1001, sentence(77, 40) + " " + sentence(5555, 20), "s1"), (1002, "mail jo@x.org " + sentence(8, 30), "s0"), (1003, None, "s1")]
+    rows += [(1010 + i, "mail " + sentence(3000 + i, 40), "s0") for i in range(12)]  # else the word would disclose the one address
     documents(rows).drop("h").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(240)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(0, sentence(5555, 20))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
