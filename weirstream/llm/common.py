@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,23 +69,36 @@ def unit_hash(key: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-#: Words (of 64 bits) of a bitmap of hashes: 128 kB, whatever the size of the table.
-BITMAP_WORDS = 1 << 14
+#: Words (of 64 bits) of a bitmap of hashes: 128 kB, whatever the size of the table; and at most, where it is sized by the table.
+BITMAP_WORDS, MAX_BITMAP_WORDS = 1 << 14, 1 << 18
 
 
-def bitmap_of(hashes: DataFrame) -> Column:
-    """A constant array of BITMAP_WORDS numbers with a bit set for each hash of a table (h); at most so many rows are gathered.
+def bitmap_words(keys: int) -> int:
+    """Words of a bitmap with 32 bits or more for each key, up to 2 MB: 500,000 keys, beyond which more hashes pass for nothing."""
+    return min(max(BITMAP_WORDS, 1 << max(keys // 2 - 1, 0).bit_length()), MAX_BITMAP_WORDS)
 
-    It lets every hash of the table through and, while the table has up to some hundred thousand rows, few others.
+
+def _places(h: Column, size: int, probes: int) -> list[Column]:
+    """The bits of a hash: as many as probes, from the hash and hashes of it."""
+    return [F.pmod(h if k == 0 else F.xxhash64(h, F.lit(k)), F.lit(64 * size)) for k in range(probes)]
+
+
+def bitmap_of(hashes: DataFrame, size: int = BITMAP_WORDS, probes: int = 1) -> Column:
+    """A constant array of `size` numbers with `probes` bits set for each hash of a table (h); at most `size` rows are gathered.
+
+    It lets every hash of the table through. With one probe it lets few others through while the table has up to some hundred
+    thousand rows; with three and a size of bitmap_words, fewer than 1 in 1000 of the others.
     """
-    bits = hashes.select(F.expr(f"CAST(pmod(h, {64 * BITMAP_WORDS}) div 64 AS INT)").alias("w"), F.expr("shiftleft(1L, CAST(pmod(h, 64) AS INT))").alias("b"))
-    words = [0] * BITMAP_WORDS
+    places = hashes.select(F.explode(F.array(*_places(F.col("h"), size, probes))).alias("p"))
+    bits = places.select(F.shiftright("p", 6).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(p % 64 AS INT))").alias("b"))
+    words = [0] * size
     for r in bits.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
         words[r["w"]] = r["b"]
     # one literal, which the optimiser turns into a constant array
     return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
 
 
-def in_bitmap(bitmap: Column, h: Column) -> Column:
-    word = F.shiftright(F.pmod(h, F.lit(64 * BITMAP_WORDS)), 6).cast("int")
-    return F.getbit(F.get(bitmap, word), F.pmod(h, F.lit(64)).cast("int")) == 1
+def in_bitmap(bitmap: Column, h: Column, size: int = BITMAP_WORDS, probes: int = 1) -> Column:
+    """Whether all bits of a hash are set in a bitmap of the same size and probes."""
+    found = [F.getbit(F.get(bitmap, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1 for p in _places(h, size, probes)]
+    return reduce(Column.__and__, found)

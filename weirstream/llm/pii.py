@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, bitmap_of, bounded, in_bitmap, lower_az, materialise, table
+from .common import SPACE, WORD, bitmap_of, bitmap_words, bounded, in_bitmap, lower_az, materialise, table
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -37,6 +37,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "phone": "+"}
 REACH, ERRORS, THRESHOLD = 80, 1.64, 0.8
 BROADCAST_TERMS = 100_000
+#: Bits of a word that are looked up before it becomes a row.
+PROBES = 3
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 _EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 #: The edges of all words of a text that have a letter or digit.
@@ -121,6 +123,13 @@ def _terms(window: Column) -> Column:
     return F.array_distinct(F.filter(bare_words(window), lambda w: w.rlike(_LN)))
 
 
+def filter_of(terms: DataFrame):
+    """A test of words that all terms of a table (term) pass and, at any size of the table up to 500,000, hardly any other word."""
+    size = bitmap_words(terms.count())
+    bitmap = bitmap_of(terms.select(F.xxhash64("term").alias("h")), size, PROBES)
+    return lambda w: in_bitmap(bitmap, F.xxhash64(w), size, PROBES)
+
+
 def disclosing_terms(marked: DataFrame, text: str, spans: str, *, errors: float = ERRORS, threshold: float = THRESHOLD) -> DataFrame:
     """(term, disclosure): the terms whose disclosure of some entity reaches the threshold; read from all texts."""
     # windows are cut before mentions become rows, so a row holds its window alone
@@ -144,8 +153,8 @@ def disclosing_terms(marked: DataFrame, text: str, spans: str, *, errors: float
     if pairs.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("disclosure"))
     wanted = materialise(pairs.select("term").distinct(), "terms")
-    bitmap = bitmap_of(wanted.select(F.xxhash64("term").alias("h")))
-    words = marked.select(F.explode_outer(F.filter(bare_words(F.col(text)), lambda w: in_bitmap(bitmap, F.xxhash64(w)))).alias("term")).where("term <> ''")
+    likely = filter_of(wanted)
+    words = marked.select(F.explode_outer(F.filter(bare_words(F.col(text)), likely)).alias("term")).where("term <> ''")
     n_t = F.count("*").alias("n_t")
     if bounded(wanted, BROADCAST_TERMS):
         counted = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(n_t)
@@ -200,10 +209,10 @@ def _spans(docs: DataFrame, text_col: str, **options) -> DataFrame:
         return marked.withColumn("pii_terms", none)
     terms = terms.select("term")
     hint = F.broadcast if bounded(terms, BROADCAST_TERMS) else (lambda df: df)
-    bitmap = bitmap_of(terms.select(F.xxhash64("term").alias("h")))
+    likely = filter_of(terms)
     # 96 bits of a text's content stand for it: copies share their hits, and rows need no id
     key = [F.xxhash64("pii_text").alias("h1"), F.hash("pii_text").alias("h2")]
-    near = F.transform(bare_words(F.col("pii_text")), lambda w, i: F.when(in_bitmap(bitmap, F.xxhash64(w)), F.struct(i.alias("place"), w.alias("term"))))
+    near = F.transform(bare_words(F.col("pii_text")), lambda w, i: F.when(likely(w), F.struct(i.alias("place"), w.alias("term"))))
     words = rows.select(*key, F.explode_outer(F.filter(near, lambda x: x.isNotNull())).alias("x")).where("x IS NOT NULL").select("h1", "h2", "x.place", "x.term")
     hits = words.join(hint(terms), "term", "left_semi").groupBy("h1", "h2").agg(F.sort_array(F.collect_set("place")).alias("pii_hits"))
     hits = materialise(hits, "hits")
