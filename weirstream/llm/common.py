@@ -70,11 +70,11 @@ def unit_hash(key: Column, seed: int) -> Column:
 
 
 #: Words (of 64 bits) of a bitmap of hashes: 128 kB, whatever the size of the table; and at most, where it is sized by the table.
-BITMAP_WORDS, MAX_BITMAP_WORDS = 1 << 14, 1 << 18
+BITMAP_WORDS, MAX_BITMAP_WORDS = 1 << 14, 1 << 15
 
 
 def bitmap_words(keys: int) -> int:
-    """Words of a bitmap with 32 bits or more for each key, up to 2 MB: 500,000 keys, beyond which more hashes pass for nothing."""
+    """Words of a bitmap for 32 bits a key, up to 256 kB (65,000 keys), beyond which more hashes pass for nothing."""
     return min(max(BITMAP_WORDS, 1 << max(keys // 2 - 1, 0).bit_length()), MAX_BITMAP_WORDS)
 
 
